@@ -134,3 +134,13 @@ def cidr_check(c: Column) -> Column:
         addresses.alias("num_addresses"),
         F.coalesce((bits < CIDR_MIN_PREFIX) | (bits > CIDR_MAX_PREFIX), F.lit(False)).alias("prefix_warning"),
     )
+
+
+def hive_path(ts: Column) -> Column:
+    """``year=yyyy/month=MM/day=dd/hour=HH`` of a timestamp."""
+    return F.date_format(ts, "'year='yyyy'/month='MM'/day='dd'/hour='HH")
+
+
+def compact_date(ts: Column) -> Column:
+    """``yyyyMMdd``, the date partition of change-feed files."""
+    return F.date_format(ts, "yyyyMMdd")

@@ -97,3 +97,9 @@ def missing_required(df: DataFrame, present: Column, required: Sequence[str], ou
     wanted = F.array(*[F.lit(r) for r in required])
     absent = F.array_except(wanted, F.coalesce(present, F.array().cast("array<string>")))
     return df.withColumn(out, F.explode(absent))
+
+
+def except_required(required: DataFrame, present: DataFrame) -> DataFrame:
+    """Required rows that are not present. Both sides are reduced to distinct rows
+    first, so copies of a present row never reach the comparison."""
+    return required.distinct().subtract(present.distinct())
