@@ -100,7 +100,7 @@ def correlate(df: DataFrame, correlation: str = "correlation_id", service: str =
 def mask_variables(message):
     """Message with quoted text, hexadecimal words and numbers replaced by markers."""
     quoted = F.regexp_replace(message, "\"[^\"]*\"", "<str>")
-    hexed = F.regexp_replace(quoted, "\\b0x[0-9a-fA-F]+\\b", "<hex>")
+    hexed = F.regexp_replace(quoted, "0x[0-9a-fA-F]+", "<hex>")
     return F.regexp_replace(hexed, "[0-9]+", "<num>")
 
 

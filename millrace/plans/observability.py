@@ -105,7 +105,7 @@ def log_correlation(spark, sf):
 @query("log_patterns", r"""
 with lines as (select unnest(string_split(text, chr(10))) as line from documents),
 masked as (select regexp_replace(regexp_replace(regexp_replace(line, '"[^"]*"', '<str>', 'g'),
-             '\b0x[0-9a-fA-F]+\b', '<hex>', 'g'), '[0-9]+', '<num>', 'g') as pattern from lines)
+             '0x[0-9a-fA-F]+', '<hex>', 'g'), '[0-9]+', '<num>', 'g') as pattern from lines)
 select md5(pattern) as pattern_id, count(*) as n,
        count(*)::double / (select count(*) from lines)::double * 100.0 as share from masked group by pattern
 """)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,3 +120,26 @@ def append_lineage(
         F.lit(job_run_id).alias("job_run_id"),
     )
     record.coalesce(1).write.mode("append").parquet(path)
+
+
+def split_write(df: DataFrame, good: Column, good_path: str, bad_path: str) -> tuple[DataFrame, DataFrame]:
+    """Write rows that pass and rows that fail to separate tables; returns both tables.
+
+    The judged rows are persisted (memory, then disk) for the two writes.
+    """
+    judged = df.withColumn("_good", F.coalesce(good, F.lit(False))).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        judged.where("_good").drop("_good").write.mode("overwrite").parquet(good_path)
+        judged.where("not _good").drop("_good").write.mode("overwrite").parquet(bad_path)
+    finally:
+        judged.unpersist()
+    spark = df.sparkSession
+    return spark.read.schema(df.schema).parquet(good_path), spark.read.schema(df.schema).parquet(bad_path)
+
+
+def append_features(df: DataFrame, path: str, event_time: str) -> None:
+    """Append feature rows to an offline store, partitioned by event date."""
+    (
+        df.withColumn("event_date", F.to_date(event_time)).hint("rebalance", F.col("event_date"))
+        .write.mode("append").partitionBy("event_date").parquet(path)
+    )
