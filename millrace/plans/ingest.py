@@ -96,10 +96,9 @@ def write_time_hive_layout(spark, sf):
     root = shared_dir(spark, "layout")
     source = f"{root}/in"
     events = table(spark, sf, "events")
-    # One directory of source files keeps the stream's listing small.
     events.write.parquet(source)
     stream = jobs.file_stream(spark, source, events.schema, "parquet")
-    jobs.run_available(jobs.hive_layout_writer(stream, "ts", f"{root}/out"), f"{root}/checkpoint")
+    jobs.run_available(jobs.hive_layout_writer(stream, "ts", f"{root}/out", files_per_part=1), f"{root}/checkpoint")
     stored = tables.read_partitioned(spark, f"{root}/out", events.schema, jobs.HIVE_PARTS)
     return stored.select("event_id", *jobs.HIVE_PARTS)
 

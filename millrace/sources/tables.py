@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,24 @@ CODECS = {"GZIP": "gzip", "SNAPPY": "snappy", "UNCOMPRESSED": "none", "NONE": "n
 _PARTS = {"year": "yyyy", "month": "MM", "day": "dd", "hour": "HH"}
 
 
+#: Opening many small files is slow, so even a small write is spread over the cores.
+MIN_WRITE_TASK = "4k"
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """Run a block with a session setting and put the old one back."""
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
 def codec(name: str) -> str:
     """Map a delivery compression name to the writer option."""
     try:
@@ -50,16 +69,17 @@ def write_partitioned(
     ``mode="overwrite"`` only the partitions present in ``df`` are replaced,
     which makes a re-run idempotent.
     """
-    (
-        df.hint("rebalance", *[F.col(c) for c in partition_by])
-        .write.mode(mode)
-        .format(fmt)
-        .option("compression", codec(compression))
-        .option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", max_records_per_file)
-        .partitionBy(*partition_by)
-        .save(path)
-    )
+    with setting(df.sparkSession, "spark.sql.adaptive.coalescePartitions.minPartitionSize", MIN_WRITE_TASK):
+        (
+            df.hint("rebalance", *[F.col(c) for c in partition_by])
+            .write.mode(mode)
+            .format(fmt)
+            .option("compression", codec(compression))
+            .option("partitionOverwriteMode", "dynamic")
+            .option("maxRecordsPerFile", max_records_per_file)
+            .partitionBy(*partition_by)
+            .save(path)
+        )
 
 
 def read_partitioned(

@@ -145,10 +145,18 @@ def backup_writer(stream: DataFrame, root: str, prefix: str = BACKUP_PREFIX) ->
     return stream.writeStream.format("parquet").option("path", f"{root.rstrip('/')}/{prefix}")
 
 
-def hive_layout_writer(stream: DataFrame, ts: str, path: str, parts: Sequence[str] = HIVE_PARTS, fmt: str = "parquet") -> DataStreamWriter:
-    """Append a stream to the zero-padded time layout through the exactly-once file sink."""
+def hive_layout_writer(
+    stream: DataFrame, ts: str, path: str, parts: Sequence[str] = HIVE_PARTS, fmt: str = "parquet", files_per_part: int = 4
+) -> DataStreamWriter:
+    """Append a stream to the zero-padded time layout through the exactly-once file sink.
+
+    Rows meet by partition, so a micro-batch writes at most ``files_per_part``
+    files to each; a live batch, nearly all of one hour, is split into as many tasks.
+    """
+    laid_out = stream.withColumns(text_date_parts(F.col(ts), parts))
+    split = F.pmod(F.xxhash64(*stream.columns), F.lit(files_per_part))
     return (
-        stream.withColumns(text_date_parts(F.col(ts), parts))
+        laid_out.repartition(*[F.col(p) for p in parts], split)
         .writeStream.format(fmt).option("path", path).partitionBy(*parts)
     )
 
