@@ -96,7 +96,7 @@ def ipv4_number(c: Column) -> Column:
     parts = F.split(c, r"\.")
     number = F.lit(0).cast("long")
     for i in range(4):
-        number = number * 256 + F.get(parts, i).cast("long")
+        number = number * 256 + F.get(parts, i).try_cast("long")
     return F.when(c.rlike(IPV4_PATTERN), number)
 
 

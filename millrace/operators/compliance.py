@@ -124,8 +124,8 @@ def _text(file: str, pattern: str) -> str:
     return f"text:{file}:{pattern}"
 
 
-def _setting(file: str, key: str) -> str:
-    return f"set:{file}:{key}"
+def _setting(file: str, key: str, value) -> str:
+    return f"set:{file}:{key}={json.dumps(value)}"
 
 
 def _broken(file: str) -> str:
@@ -180,7 +180,7 @@ def _config_facts(listing: DataFrame, rules: Sequence[ComplianceRule]) -> DataFr
     wanted = {}
     for r in rules:
         if r.check_type == "configuration" and _structured(r.file):
-            wanted.setdefault(r.file, {}).update(r.settings)
+            wanted.setdefault(r.file, []).extend(s for s in r.settings.items() if s not in wanted.get(r.file, []))
     if not wanted:
         return None
     parts = []
@@ -191,8 +191,8 @@ def _config_facts(listing: DataFrame, rules: Sequence[ComplianceRule]) -> DataFr
         hits = [
             F.when(
                 F.to_json(F.try_variant_get("v", "$" + "".join(f'["{p}"]' for p in key.split(".")), "variant"))
-                == json.dumps(expected), F.lit(_setting(file, key)))
-            for key, expected in settings.items()
+                == json.dumps(expected), F.lit(_setting(file, key, expected)))
+            for key, expected in settings
         ]
         broken = F.when(F.col("v").isNull(), F.lit(_broken(file)))
         parts.append(parsed.select("repo", F.explode(F.array_compact(F.array(broken, *hits))).alias("fact")))
@@ -262,7 +262,7 @@ def _check(rule: ComplianceRule, facts: Column) -> Column:
         return absent.when(
             F.array_contains(facts, _broken(rule.file)), _outcome("ERROR", "Error reading configuration", none)
         ).otherwise(_by_evidence(
-            _lacking(facts, [(f"{k}={v}", _setting(rule.file, k)) for k, v in rule.settings.items()]),
+            _lacking(facts, [(f"{k}={v}", _setting(rule.file, k, v)) for k, v in rule.settings.items()]),
             "Missing or incorrect settings", "Configuration is compliant"))
     if kind == "security_policy":
         gaps = _lacking(facts, [(p, _text(IGNORE_FILE, p)) for p in IGNORE_PATTERNS])

@@ -129,11 +129,11 @@ def missing_required(spark, sf):
 
 
 @query("except_required", """
-select c_custkey as required_key from customer except select o_custkey from orders
+select c_custkey as required_key from customer except select o_custkey from orders where o_totalprice > 400000
 """)
 def except_required(spark, sf):
     required = table(spark, sf, "customer").select(F.col("c_custkey").alias("required_key"))
-    present = table(spark, sf, "orders").select(F.col("o_custkey").alias("required_key"))
+    present = table(spark, sf, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("required_key"))
     return findings.except_required(required, present)
 
 

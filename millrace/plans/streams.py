@@ -172,7 +172,7 @@ def stream_cdc_apply(spark, sf):
     for late_first in (F.col("seq") >= 2, F.col("seq") < 2):
         changes.where(late_first).coalesce(1).write.mode("append").parquet(f"{root}/in")
     stream = jobs.file_stream(spark, f"{root}/in", load.schema, "parquet", max_files=1)
-    jobs.run_available(state.apply_change_stream(stream, f"{root}/table", ["o_orderkey"]), f"{root}/checkpoint")
+    jobs.run_available(state.apply_change_stream(stream, f"{root}/table", ["o_orderkey"], buckets=8), f"{root}/checkpoint")
     return state.current_rows(spark, f"{root}/table", "op").drop("seq")
 
 
@@ -183,7 +183,7 @@ def stream_keyed_state(spark, sf):
     root = shared_dir(spark, "keyed")
     running = replay(table(spark, sf, "events"), root).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"), F.max("ts").alias("last_seen"))
-    jobs.run_available(state.keyed_state_stream(running, f"{root}/table", ["user_id"], "events"), f"{root}/checkpoint")
+    jobs.run_available(state.keyed_state_stream(running, f"{root}/table", ["user_id"], "events", buckets=8), f"{root}/checkpoint")
     return state.current_rows(spark, f"{root}/table").withColumn("total", F.round("total", 4))
 
 

@@ -17,10 +17,6 @@ CODECS = {"GZIP": "gzip", "SNAPPY": "snappy", "UNCOMPRESSED": "none", "NONE": "n
 _PARTS = {"year": "yyyy", "month": "MM", "day": "dd", "hour": "HH"}
 
 
-#: Opening many small files is slow, so even a small write is spread over the cores.
-MIN_WRITE_TASK = "4k"
-
-
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str):
     """Run a block with a session setting and put the old one back."""
@@ -69,7 +65,9 @@ def write_partitioned(
     ``mode="overwrite"`` only the partitions present in ``df`` are replaced,
     which makes a re-run idempotent.
     """
-    with setting(df.sparkSession, "spark.sql.adaptive.coalescePartitions.minPartitionSize", MIN_WRITE_TASK):
+    # Files follow the partition values, not the tasks, so merging tasks would
+    # save no file and only make the write slower.
+    with setting(df.sparkSession, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
         (
             df.hint("rebalance", *[F.col(c) for c in partition_by])
             .write.mode(mode)

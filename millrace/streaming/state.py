@@ -64,16 +64,20 @@ def current_rows(spark: SparkSession, table: str, op: str | None = None) -> Data
     return rows if op is None else rows.where(F.col(op) != "D").drop(op)
 
 
-def apply_change_stream(stream: DataFrame, table: str, keys: Sequence[str], seq: str = "seq") -> DataStreamWriter:
+def apply_change_stream(
+    stream: DataFrame, table: str, keys: Sequence[str], seq: str = "seq", buckets: int = KEY_BUCKETS
+) -> DataStreamWriter:
     """Keep a table current with a change feed, whatever the batch boundaries."""
-    return stream.writeStream.foreachBatch(lambda batch, _: upsert_batch(batch, table, keys, seq))
+    return stream.writeStream.foreachBatch(lambda batch, _: upsert_batch(batch, table, keys, seq, buckets))
 
 
-def keyed_state_stream(grouped: DataFrame, table: str, keys: Sequence[str], version: str) -> DataStreamWriter:
+def keyed_state_stream(
+    grouped: DataFrame, table: str, keys: Sequence[str], version: str, buckets: int = KEY_BUCKETS
+) -> DataStreamWriter:
     """Upsert the running aggregates of a stream; ``version`` grows with each update of a key."""
     return (
         grouped.writeStream.outputMode("update")
-        .foreachBatch(lambda batch, _: upsert_batch(batch, table, keys, version))
+        .foreachBatch(lambda batch, _: upsert_batch(batch, table, keys, version, buckets))
     )
 
 
