@@ -20,7 +20,7 @@ MAX_LITERAL_ROWS = 10_000
 #: Number of hash buckets for sampling and splitting (0.01 % steps).
 HASH_BUCKETS = 10_000
 
-_ARROW = {
+ARROW_TYPES = {
     T.StringType(): pa.string(),
     T.LongType(): pa.int64(),
     T.IntegerType(): pa.int32(),
@@ -41,7 +41,7 @@ def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Da
     struct = T._parse_datatype_string(schema)
     table = pa.table(
         {
-            f.name: pa.array([r[i] for r in rows], type=_ARROW[f.dataType])
+            f.name: pa.array([r[i] for r in rows], type=ARROW_TYPES[f.dataType])
             for i, f in enumerate(struct.fields)
         }
     )

@@ -32,6 +32,9 @@ SECRET_PATTERNS = {
     "access_key_id": r"AKIA[0-9A-Z]{16}",
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
 }
+#: Literals without which a pattern cannot match; looking for them is much
+#: cheaper than matching.
+NEEDED_LITERALS = {"email": "@", "access_key_id": "AKIA", "private_key": "-----BEGIN"}
 # -------------------------------------------------------------------------------
 
 
@@ -93,9 +96,13 @@ def tag_text(text: Column, rules: Sequence[TagRule]) -> Column:
 
 def pattern_counts(text: Column, patterns: Mapping[str, str]) -> Column:
     """Array of struct kind, n with the matches of every pattern that occurs."""
-    counts = F.array(*[
-        F.struct(F.lit(k).alias("kind"), F.regexp_count(text, F.lit(p)).alias("n")) for k, p in patterns.items()
-    ])
+    def count(kind: str, pattern: str) -> Column:
+        matches = F.regexp_count(text, F.lit(pattern))
+        if kind not in NEEDED_LITERALS:
+            return matches
+        return F.when(F.contains(text, F.lit(NEEDED_LITERALS[kind])), matches).otherwise(F.lit(0))
+
+    counts = F.array(*[F.struct(F.lit(k).alias("kind"), count(k, p).alias("n")) for k, p in patterns.items()])
     return F.filter(counts, lambda c: c["n"] > 0)
 
 

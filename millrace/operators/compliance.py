@@ -140,23 +140,29 @@ def _structured(file: str) -> bool:
 
 
 def _facts_wanted(rules: Sequence[ComplianceRule]):
-    paths, dirs, texts = set(), set(), set()
+    """Paths, directories and (file to patterns) that the rules ask about."""
+    paths, dirs, texts = set(), set(), {}
     for r in rules:
         if r.check_type == "file_exists":
-            paths.update(r.items)
+            paths.update(i.rstrip("/") for i in r.items)
         elif r.check_type == "directory_structure":
-            dirs.update(r.items)
+            dirs.update(i.rstrip("/") for i in r.items)
         elif r.check_type == "file_content":
             paths.add(r.file)
-            texts.update((r.file, p) for p in r.items)
+            texts.setdefault(r.file, set()).update(r.items)
         elif r.check_type == "configuration":
             paths.add(r.file)
         elif r.check_type == "security_policy":
             paths.update((*SECURITY_FILES, IGNORE_FILE, HOOKS_FILE))
-            texts.update((IGNORE_FILE, p) for p in IGNORE_PATTERNS)
+            texts.setdefault(IGNORE_FILE, set()).update(IGNORE_PATTERNS)
         elif r.check_type == "data_governance":
             paths.update((*CLASSIFICATION_FILES, *RETENTION_FILES))
-    return sorted(paths), sorted(dirs), sorted(texts)
+    return sorted(paths), sorted(dirs), {f: sorted(p) for f, p in texts.items()}
+
+
+def _constant(value, kind: str) -> Column:
+    """Nested constant; folded once by the optimizer."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 @F.pandas_udf(T.StringType())
@@ -203,85 +209,97 @@ def _config_facts(listing: DataFrame, rules: Sequence[ComplianceRule]) -> DataFr
 
 
 def repo_facts(listing: DataFrame, rules: Sequence[ComplianceRule] = RULES) -> DataFrame:
-    """One row per repo with the set of facts its files prove."""
+    """One row per repo with the set of facts its files prove.
+
+    A row looks up its own path and the directories above it, so its cost does
+    not grow with the number of rules.
+    """
     paths, dirs, texts = _facts_wanted(rules)
-    path, content = F.col("path"), F.col("content")
-    tests = [
-        F.when((path == p.rstrip("/")) | path.startswith(p.rstrip("/") + "/"), F.lit(_exists(p))) for p in paths
-    ]
-    tests += [F.when(path.startswith(d.rstrip("/") + "/"), F.lit(_directory(d))) for d in dirs]
-    tests += [F.when((path == f) & content.contains(p), F.lit(_text(f, p))) for f, p in texts]
-    tests.append(F.when(F.regexp_extract(path, r"(\.[^./]+)$", 1).isin(*DATA_EXTENSIONS), F.lit(_DATA)))
-    facts = listing.select("repo", F.explode_outer(F.array_compact(F.array(*tests))).alias("fact"))
+    names = "array<string>"
+    parts = F.split("path", "/")
+    above = F.transform(
+        F.slice(F.sequence(F.lit(0), F.size(parts) - 1), 2, F.size(parts)),
+        lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    seen = F.array_append(F.col("_above"), F.col("path"))
+    patterns = F.coalesce(F.element_at(_constant(texts, "map<string,array<string>>"), F.col("path")), F.array().cast(names))
+    is_data = F.regexp_extract("path", r"(\.[^./]+)$", 1).isin(*DATA_EXTENSIONS)
+    facts = F.concat(
+        F.transform(F.array_intersect(seen, _constant(paths, names)), lambda p: F.concat(F.lit("path:"), p)),
+        F.transform(F.array_intersect(F.col("_above"), _constant(dirs, names)), lambda p: F.concat(F.lit("dir:"), p)),
+        F.transform(F.filter(patterns, lambda p: F.contains(F.col("content"), p)),
+                    lambda p: F.concat(F.lit("text:"), F.col("path"), F.lit(":"), p)),
+        F.when(is_data, F.array(F.lit(_DATA))).otherwise(F.array().cast(names)),
+    )
+    proven = listing.withColumn("_above", above).select("repo", F.explode_outer(facts).alias("fact"))
     config = _config_facts(listing, rules)
     if config is not None:
-        facts = facts.unionByName(config)
-    return facts.groupBy("repo").agg(F.collect_set("fact").alias("facts"))
+        proven = proven.unionByName(config)
+    return proven.groupBy("repo").agg(F.collect_set("fact").alias("facts"))
+
+
+_NONE = "array<string>"
+
+#: Result messages per check type: (passed, failed, subject file absent).
+MESSAGES = {
+    "file_exists": ("All required files exist", "Missing required files", None),
+    "directory_structure": ("All required directories exist", "Missing required directories", None),
+    "file_content": ("All required patterns found", "Missing required patterns", "File not found"),
+    "configuration": ("Configuration is compliant", "Missing or incorrect settings", "Configuration file not found"),
+    "security_policy": ("Security policy compliance verified", "Security policy issues", None),
+    "data_governance": ("Data governance compliance verified", "Data governance issues", None),
+}
+
+
+def _rule_entry(r: ComplianceRule) -> dict:
+    """A rule as the evaluator needs it: the facts to find and what to call them."""
+    needs = {
+        "file_exists": lambda: [(i, _exists(i)) for i in r.items],
+        "directory_structure": lambda: [(i, _directory(i)) for i in r.items],
+        "file_content": lambda: [(p, _text(r.file, p)) for p in r.items],
+        "configuration": lambda: [(f"{k}={v}", _setting(r.file, k, v)) for k, v in r.settings.items()],
+    }.get(r.check_type, list)()
+    passed, failed, absent = MESSAGES.get(r.check_type, (None, None, None))
+    config = r.check_type == "configuration"
+    return {
+        "rule_id": r.rule_id, "framework": r.framework, "severity": r.severity, "check_type": r.check_type,
+        "subject": _exists(r.file) if absent else None,
+        "broken": _broken(r.file) if config else None,
+        "known": r.check_type in MESSAGES,
+        "readable": not config or _structured(r.file),
+        "needs": [{"label": label, "fact": fact} for label, fact in needs],
+        "passed": passed, "failed": failed, "absent": absent,
+    }
+
+
+_ENTRY = (
+    "array<struct<rule_id:string,framework:string,severity:string,check_type:string,subject:string,broken:string,"
+    "known:boolean,readable:boolean,needs:array<struct<label:string,fact:string>>,passed:string,failed:string,absent:string>>"
+)
+
+
+def _policy_issues(facts: Column) -> Column:
+    gaps = F.filter(
+        _constant(list(IGNORE_PATTERNS), _NONE),
+        lambda p: ~F.array_contains(facts, F.concat(F.lit(f"text:{IGNORE_FILE}:"), p)))
+    ignore = F.when(~F.array_contains(facts, _exists(IGNORE_FILE)), F.lit(NO_IGNORE)).when(
+        F.size(gaps) > 0, F.concat(F.lit(BAD_IGNORE), F.array_join(gaps, ", ")))
+    return F.array_compact(F.array(
+        F.when(~_any_fact(facts, SECURITY_FILES), F.lit(NO_POLICY)),
+        ignore,
+        F.when(~F.array_contains(facts, _exists(HOOKS_FILE)), F.lit(NO_HOOKS)),
+    ))
 
 
-def _lacking(facts: Column, pairs: Sequence[tuple[str, str]]) -> Column:
-    """Labels of the pairs (label, fact) whose fact is not proven."""
-    return F.array_compact(F.array(*[
-        F.when(~F.array_contains(facts, fact), F.lit(label)) for label, fact in pairs
-    ]).cast("array<string>"))
+def _governance_issues(facts: Column) -> Column:
+    data = F.array_contains(facts, _DATA)
+    return F.array_compact(F.array(
+        F.when(data & ~_any_fact(facts, CLASSIFICATION_FILES), F.lit(NO_CLASSIFICATION)),
+        F.when(data & ~_any_fact(facts, RETENTION_FILES), F.lit(NO_RETENTION)),
+    ))
 
 
 def _any_fact(facts: Column, items: Sequence[str]) -> Column:
-    return F.arrays_overlap(facts, F.array(*[F.lit(_exists(i)) for i in items]))
-
-
-def _outcome(status: Column | str, message: str, evidence: Column) -> Column:
-    status = F.lit(status) if isinstance(status, str) else status
-    return F.struct(status.alias("status"), F.lit(message).alias("message"), evidence.alias("evidence"))
-
-
-def _by_evidence(evidence: Column, fail: str, good: str) -> Column:
-    none = F.array().cast("array<string>")
-    return F.when(F.size(evidence) > 0, _outcome("FAIL", fail, evidence)).otherwise(_outcome("PASS", good, none))
-
-
-def _check(rule: ComplianceRule, facts: Column) -> Column:
-    none = F.array().cast("array<string>")
-    kind = rule.check_type
-    if kind == "file_exists":
-        return _by_evidence(_lacking(facts, [(i, _exists(i)) for i in rule.items]),
-                            "Missing required files", "All required files exist")
-    if kind == "directory_structure":
-        return _by_evidence(_lacking(facts, [(i, _directory(i)) for i in rule.items]),
-                            "Missing required directories", "All required directories exist")
-    if kind == "file_content":
-        found = F.array_contains(facts, _exists(rule.file))
-        return F.when(~found, _outcome("FAIL", "File not found", none)).otherwise(
-            _by_evidence(_lacking(facts, [(p, _text(rule.file, p)) for p in rule.items]),
-                         "Missing required patterns", "All required patterns found"))
-    if kind == "configuration":
-        found = F.array_contains(facts, _exists(rule.file))
-        absent = F.when(~found, _outcome("FAIL", "Configuration file not found", none))
-        if not _structured(rule.file):
-            return absent.otherwise(_outcome("NOT_APPLICABLE", "Unsupported configuration file format", none))
-        return absent.when(
-            F.array_contains(facts, _broken(rule.file)), _outcome("ERROR", "Error reading configuration", none)
-        ).otherwise(_by_evidence(
-            _lacking(facts, [(f"{k}={v}", _setting(rule.file, k, v)) for k, v in rule.settings.items()]),
-            "Missing or incorrect settings", "Configuration is compliant"))
-    if kind == "security_policy":
-        gaps = _lacking(facts, [(p, _text(IGNORE_FILE, p)) for p in IGNORE_PATTERNS])
-        ignore = F.when(~F.array_contains(facts, _exists(IGNORE_FILE)), F.lit(NO_IGNORE)).when(
-            F.size(gaps) > 0, F.concat(F.lit(BAD_IGNORE), F.array_join(gaps, ", ")))
-        issues = F.array_compact(F.array(
-            F.when(~_any_fact(facts, SECURITY_FILES), F.lit(NO_POLICY)),
-            ignore,
-            F.when(~F.array_contains(facts, _exists(HOOKS_FILE)), F.lit(NO_HOOKS)),
-        ))
-        return _by_evidence(issues, "Security policy issues", "Security policy compliance verified")
-    if kind == "data_governance":
-        data = F.array_contains(facts, _DATA)
-        issues = F.array_compact(F.array(
-            F.when(data & ~_any_fact(facts, CLASSIFICATION_FILES), F.lit(NO_CLASSIFICATION)),
-            F.when(data & ~_any_fact(facts, RETENTION_FILES), F.lit(NO_RETENTION)),
-        ))
-        return _by_evidence(issues, "Data governance issues", "Data governance compliance verified")
-    return _outcome("NOT_APPLICABLE", f"Unknown check type: {kind}", none)
+    return F.arrays_overlap(facts, _constant([_exists(i) for i in items], _NONE))
 
 
 def evaluate_rules(
@@ -291,20 +309,41 @@ def evaluate_rules(
 
     The listing is reduced to the facts of each repo in one shuffle (with a
     map-side combine, so a repo with most of the files is no hot spot); every
-    rule is then decided from its repo's small fact set.
+    rule is then decided from its repo's small fact set. The rules themselves
+    are one constant, so the plan stays the same size for any rule pack.
     """
     chosen = [r for r in rules if not frameworks or r.framework in frameworks]
-    outcomes = F.array(*[
-        F.struct(
-            F.lit(r.rule_id).alias("rule_id"), F.lit(r.framework).alias("framework"),
-            F.lit(r.severity).alias("severity"), _check(r, F.col("facts")).alias("o"),
-        )
-        for r in chosen
-    ])
+    pack = _constant([_rule_entry(r) for r in chosen], _ENTRY)
+    facts, r = F.col("facts"), F.col("r")
+    none = F.array().cast(_NONE)
+    lacking = F.transform(
+        F.filter(r["needs"], lambda n: ~F.array_contains(facts, n["fact"])), lambda n: n["label"])
+    issues = (
+        F.when(r["check_type"] == "security_policy", F.col("_policy"))
+        .when(r["check_type"] == "data_governance", F.col("_governance"))
+        .otherwise(lacking)
+    )
+    absent = r["subject"].isNotNull() & ~F.array_contains(facts, r["subject"])
+    broken = r["broken"].isNotNull() & F.array_contains(facts, r["broken"])
+
+    def outcome(status: str, message: Column, evidence: Column = none) -> Column:
+        return F.struct(F.lit(status).alias("status"), message.alias("message"), evidence.alias("evidence"))
+
+    decided = (
+        F.when(~r["known"], outcome("NOT_APPLICABLE", F.concat(F.lit("Unknown check type: "), r["check_type"])))
+        .when(absent, outcome("FAIL", r["absent"]))
+        .when(~r["readable"], outcome("NOT_APPLICABLE", F.lit("Unsupported configuration file format")))
+        .when(broken, outcome("ERROR", F.lit("Error reading configuration")))
+        .when(F.size("issues") > 0, outcome("FAIL", r["failed"], F.col("issues")))
+        .otherwise(outcome("PASS", r["passed"]))
+    )
     return (
         repo_facts(listing, chosen)
-        .select("repo", F.inline(outcomes))
-        .select("repo", "rule_id", "framework", "severity", "o.*")
+        .withColumns({"_policy": _policy_issues(facts), "_governance": _governance_issues(facts)})
+        .withColumn("r", F.explode(pack))
+        .withColumn("issues", issues)
+        .withColumn("o", decided)
+        .select("repo", r["rule_id"].alias("rule_id"), r["framework"].alias("framework"), r["severity"].alias("severity"), "o.*")
     )
 
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.common import HASH_BUCKETS, count_if, hash_bucket
+from millrace.common import ARROW_TYPES, HASH_BUCKETS, count_if, hash_bucket
 
 #: Encoders keep one row per category; more than this is not a category column.
 MAX_CATEGORIES = 1_000_000
@@ -25,17 +27,15 @@ PSI_EPSILON = 1e-6
 
 def standard_scale(df: DataFrame, columns: Sequence[str], suffix: str = "_scaled") -> DataFrame:
     """z-scores with the population deviation; a constant column scales to 0."""
-    stats = df.agg(
-        *[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns]
-    )
-    # One row, so the join only attaches constants.
-    joined = df.join(F.broadcast(stats))
+    stats = df.agg(F.struct(
+        *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]
+    ).alias("s"))
     scaled = {
-        f"{c}{suffix}": (F.col(c) - F.col(f"_m_{c}"))
-        / F.when(F.col(f"_s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_s_{c}"))
+        f"{c}{suffix}": (F.col(c) - F.col(f"_stats.m_{c}"))
+        / F.when(F.col(f"_stats.s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_stats.s_{c}"))
         for c in columns
     }
-    return joined.withColumns(scaled).select(*df.columns, *scaled)
+    return df.withColumn("_stats", stats.scalar()).withColumns(scaled).drop("_stats")
 
 
 def label_encode(df: DataFrame, column: str, suffix: str = "_encoded") -> DataFrame:
@@ -123,21 +123,23 @@ def population_stability(
     """
     v = F.col(value)
     valued = df.where(v.isNotNull())
-    span = valued.where(F.col(group) == F.lit(reference)).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))).otherwise(F.lit(1.0))
-    slot = F.least(F.greatest(F.floor((v - F.col("_lo")) / width).cast("int"), F.lit(0)), F.lit(bins - 1))
-    hist = valued.join(F.broadcast(span)).groupBy(group, slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    span = valued.where(F.col(group) == F.lit(reference)).agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")).alias("s"))
+    lo, hi = F.col("_span.lo"), F.col("_span.hi")
+    width = F.when(hi > lo, (hi - lo) / F.lit(float(bins))).otherwise(F.lit(1.0))
+    slot = F.least(F.greatest(F.floor((v - lo) / width).cast("int"), F.lit(0)), F.lit(bins - 1))
+    ranged = valued.withColumn("_span", span.scalar())
+    hist = ranged.groupBy(group, slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     shares = hist.groupBy(group).agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_h"), F.sum("n").alias("_t"))
     share = lambda h, t, b: F.greatest(
         F.coalesce(F.element_at(h, F.lit(b)), F.lit(0)) / t, F.lit(PSI_EPSILON))
-    base = shares.where(F.col(group) == F.lit(reference)).select(F.col("_h").alias("_rh"), F.col("_t").alias("_rt"))
+    base = shares.where(F.col(group) == F.lit(reference)).select(F.struct("_h", "_t").alias("s"))
     terms = [
-        (share(F.col("_h"), F.col("_t"), b) - share(F.col("_rh"), F.col("_rt"), b))
-        * F.log(share(F.col("_h"), F.col("_t"), b) / share(F.col("_rh"), F.col("_rt"), b))
+        (share(F.col("_h"), F.col("_t"), b) - share(F.col("_ref._h"), F.col("_ref._t"), b))
+        * F.log(share(F.col("_h"), F.col("_t"), b) / share(F.col("_ref._h"), F.col("_ref._t"), b))
         for b in range(bins)
     ]
-    others = shares.where(F.col(group) != F.lit(reference)).join(F.broadcast(base))
+    others = shares.where(F.col(group) != F.lit(reference)).withColumn("_ref", base.scalar())
     return others.select(group, sum(terms[1:], terms[0]).alias("psi")).withColumn("drift", F.col("psi") > threshold)
 
 
@@ -151,17 +153,6 @@ def retrain_decision(state: DataFrame, min_accuracy: float = MIN_ACCURACY, max_d
     return state.withColumn("reasons", F.array_join(reasons, ",")).withColumn("retrain", F.col("reasons") != "")
 
 
-def unit_vector(c: Column) -> Column:
-    """Array scaled to length 1; NULL for a zero vector."""
-    d = c.cast("array<double>")
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(d, lambda x: x / norm))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     """Mean vector per group: averaged per dimension, with a map-side combine."""
     spread = df.select(group, F.posexplode(vector).alias("_dim", "_x"))
@@ -170,27 +161,80 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     return means.groupBy(group).agg(F.transform(ordered, lambda s: s["_mean"]).alias(vector))
 
 
-#: Query vectors are sent to every task; more than this is a join, not a lookup.
+#: Query vectors are sent to every task, so their number is bounded.
 MAX_QUERY_VECTORS = 10_000
 
+#: Queries scored at a time, which bounds the score matrix of an Arrow batch.
+QUERY_BLOCK = 256
+
+
+def _unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled to length 1, and which rows have a direction at all."""
+    norms = np.sqrt((matrix * matrix).sum(axis=1))
+    usable = norms > 0
+    return matrix[usable] / norms[usable, None], usable
+
+
+def _best_in_task(query_ids: pa.Array, unit_queries: np.ndarray, k: int, digits: int | None):
+    """Map function: the ``k`` best stored vectors of each query among a task's batches."""
+
+    def run(batches):
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        id_type = None
+        for batch in batches:
+            id_type = batch.column(0).type
+            ids = np.asarray(batch.column(0).to_pylist())
+            if not len(ids):
+                continue
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            vectors, usable = _unit_rows(flat.reshape(len(ids), -1))
+            ids = ids[usable]
+            for start in range(0, len(unit_queries), QUERY_BLOCK):
+                scores = vectors @ unit_queries[start:start + QUERY_BLOCK].T
+                if digits is not None:
+                    scores = scores.round(digits)
+                for j in range(scores.shape[1]):
+                    column, known = scores[:, j], ids
+                    if start + j in best:
+                        column = np.concatenate([column, best[start + j][0]])
+                        known = np.concatenate([known, best[start + j][1]])
+                    if len(column) > k:  # keep ties with the k-th score, then break them by id
+                        near = column >= np.partition(column, -k)[-k]
+                        column, known = column[near], known[near]
+                    order = np.lexsort((known, -column))[:k]
+                    best[start + j] = (column[order], known[order])
+        for q, (scores, ids) in best.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(query_ids[q], len(ids)), pa.array(ids.tolist(), type=id_type), pa.array(scores)],
+                names=["q", "i", "score"])
+
+    return run
+
 
 def vector_topk(
     store: DataFrame, queries: DataFrame, store_id: str, query_id: str, vector: str, k: int = 5, digits: int | None = None
 ) -> DataFrame:
     """The ``k`` stored vectors most similar (cosine) to each query vector, ties by id.
 
-    Exact: every stored vector is scored once against each of the few queries.
-    The rank filter lets Spark keep the best ``k`` per query inside each task
-    before the shuffle, so what moves is tasks x queries x k rows.
+    Exact: every stored vector is scored against each of the few queries, as
+    matrix products over Arrow batches. A task keeps its best ``k`` per query,
+    so no scores but those leave it: tasks x queries x k rows are ranked.
     """
-    q = queries.select(query_id, unit_vector(F.col(vector)).alias("_q")).where(F.col("_q").isNotNull())
-    n = q.limit(MAX_QUERY_VECTORS + 1).count()
-    if n > MAX_QUERY_VECTORS:
+    found = queries.select(query_id, F.col(vector).cast("array<double>")).limit(MAX_QUERY_VECTORS + 1).collect()
+    if len(found) > MAX_QUERY_VECTORS:
         raise ValueError(f"more than {MAX_QUERY_VECTORS} query vectors; split them into several calls")
-    packed = q.agg(F.collect_list(F.struct(query_id, "_q")).alias("_queries"))
-    unit = store.select(store_id, unit_vector(F.col(vector)).alias("_v")).where(F.col("_v").isNotNull())
-    each = unit.join(F.broadcast(packed)).select(store_id, "_v", F.inline("_queries"))
-    score = dot(F.col("_v"), F.col("_q"))
-    scored = each.select(query_id, store_id, (score if digits is None else F.round(score, digits)).alias("score"))
-    best = Window.partitionBy(query_id).orderBy(F.desc("score"), store_id)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    present = [r for r in found if r[1] is not None]
+    matrix = np.array([r[1] for r in present], dtype=np.float64).reshape(len(present), -1)
+    unit, usable = _unit_rows(matrix)
+    ids = pa.array(
+        [r[0] for r, u in zip(present, usable) if u], type=ARROW_TYPES[queries.schema[query_id].dataType])
+
+    stored = store.select(store_id, vector).where(F.col(vector).isNotNull())
+    types = dict(store.dtypes) | {query_id: dict(queries.dtypes)[query_id]}
+    schema = f"q {types[query_id]}, i {types[store_id]}, score double"
+    candidates = stored.mapInArrow(_best_in_task(ids, unit, k, digits), schema)
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "i")
+    return (
+        candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        .select(F.col("q").alias(query_id), F.col("i").alias(store_id), "score", "rank")
+    )

@@ -76,8 +76,7 @@ def search(
         found = found.where(F.col("service").isin(list(services)))
     total = found.agg(F.count(F.lit(1)).alias("total"))
     page = found.orderBy(F.desc(ts), tie).limit(limit)
-    # The total is a single row, so this attaches a constant to at most ``limit`` rows.
-    return page.join(F.broadcast(total)).withColumn("has_more", F.col("total") > limit)
+    return page.withColumn("total", total.scalar()).withColumn("has_more", F.col("total") > limit)
 
 
 def correlate(df: DataFrame, correlation: str = "correlation_id", service: str = "service", ts: str = "ts") -> DataFrame:
@@ -107,7 +106,5 @@ def mask_variables(message):
 def patterns(df: DataFrame, message: str) -> DataFrame:
     """Rows and share per masked message; copies combine map-side."""
     counted = df.groupBy(mask_variables(F.col(message)).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return counted.join(F.broadcast(total)).select(
-        "pattern", "n", pct(F.col("n"), F.col("_total")).alias("share")
-    )
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return counted.withColumn("share", pct(F.col("n"), total.scalar()))

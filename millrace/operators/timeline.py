@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.common import durable, micros
+from millrace.common import all_of, durable, micros
 
 #: A key with more rows than this is split by range instead of windowed whole.
 HOT_KEY_ROWS = 5_000_000
@@ -96,8 +96,13 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Keys that own more than ``limit`` rows (counted with a map-side combine)."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
+    """Keys that own more than ``limit`` rows, with their count (map-side combined)."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+
+
+def _same(left: str, right: str, keys: Sequence[str]) -> Column:
+    """Key equality in which NULL equals NULL, as it does in a window."""
+    return all_of([F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
 def carry_forward(
@@ -122,32 +127,36 @@ def carry_forward(
     valued = df.withColumn("_v", value)
 
     hot = durable(hot_keys(df, keys, hot_key_rows))
-    n_hot = hot.count()
+    n_hot, n_rows = hot.agg(F.count(F.lit(1)), F.sum("_n")).first()
     whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     seen = F.last("_v", ignorenulls=True)
     if n_hot == 0:
         return valued.withColumn(out, seen.over(whole)).drop("_v")
+    hot = hot.select(*keys)
     if n_hot <= MAX_BROADCAST_KEYS:
         hot = F.broadcast(hot)
 
-    cold = valued.join(hot, list(keys), "left_anti").withColumn(out, seen.over(whole))
+    is_hot = _same("d", "h", keys)
+    cold = valued.alias("d").join(hot.alias("h"), is_hot, "left_anti").withColumn(out, seen.over(whole))
 
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_rows // HOT_KEY_ROWS + 1)
     # Stored, because the range bounds are sampled: both uses below must see the same ranges.
     ranged = durable(
-        valued.join(hot, list(keys), "left_semi")
+        valued.alias("d").join(hot.alias("h"), is_hot, "left_semi")
         .repartitionByRange(tasks, *keys, *order)
         .withColumn("_range", F.spark_partition_id())
     )
-    tails = ranged.groupBy("_range", *keys).agg(
+    part_keys = ["_range", *keys]
+    tails = ranged.groupBy(*part_keys).agg(
         F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_tail")
     )
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tails.select("_range", *keys, F.last("_tail", ignorenulls=True).over(earlier).alias("_carried"))
-    part = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+    carried = tails.select(*part_keys, F.last("_tail", ignorenulls=True).over(earlier).alias("_carried"))
+    part = Window.partitionBy(*part_keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     split = (
-        ranged.withColumn(out, seen.over(part))
-        .join(carried, ["_range", *keys], "left")
+        ranged.withColumn(out, seen.over(part)).alias("d")
+        .join(carried.alias("h"), _same("d", "h", part_keys), "left")
+        .select("d.*", "_carried")
         .withColumn(out, F.coalesce(F.col(out), F.col("_carried")))
     )
     return cold.unionByName(split.select(*cold.columns)).drop("_v")

@@ -169,7 +169,7 @@ def lineage_log(spark, sf):
     tables.append_lineage(spark, f"{root}/log", "clean_orders", source, target, "deduplicate", "run-1")
     log = spark.read.parquet(f"{root}/log")
     written = spark.read.parquet(target).agg(F.count(F.lit(1)).alias("rows_written"))
-    return log.join(F.broadcast(written)).select("job_name", "transformation_type", "rows_written")
+    return log.withColumn("rows_written", written.scalar()).select("job_name", "transformation_type", "rows_written")
 
 
 @query("feature_offline_append", """

@@ -141,8 +141,8 @@ def retrain_trigger(spark, sf):
     state = weekly_drift(spark, sf).select(
         "week", F.col("psi").alias("drift"),
         F.datediff("week", F.lit("2024-01-01").cast("date")).alias("days_since_training"))
-    # The accuracy is one row.
-    return ML.retrain_decision(state.join(F.broadcast(accuracy)), every_days=14).select("week", "reasons", "retrain")
+    state = state.withColumn("accuracy", accuracy.scalar())
+    return ML.retrain_decision(state, every_days=14).select("week", "reasons", "retrain")
 
 
 @query("vector_topk", """

@@ -128,11 +128,25 @@ def test_recent_errors_is_a_bounded_sort(spark):
     assert "TakeOrderedAndProject" in plan_of(L.recent_errors(df))
 
 
-def test_topk_limits_before_the_shuffle(spark):
-    store = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id int, v array<double>")
-    best = ML.vector_topk(store, store.where("id < 2").withColumnRenamed("id", "q"), "id", "q", "v", 3)
-    assert plan_of(best).count("WindowGroupLimit") >= 2
-    assert [r.id for r in best.where("q = 1").orderBy("rank").collect()][0] == 1
+@pytest.mark.parametrize("block", [1, 256])
+def test_topk_equals_brute_force(spark, monkeypatch, block):
+    import math
+    import random
+
+    monkeypatch.setattr(ML, "QUERY_BLOCK", block)
+    rnd = random.Random(5)
+    vectors = {i: [rnd.choice([0.0, 1.0, 2.0]) for _ in range(3)] for i in range(60)} | {60: [0.0, 0.0, 0.0]}
+    store = spark.createDataFrame([(i, v) for i, v in vectors.items()] + [(99, None)], "id int, v array<float>").repartition(5)
+    got = {(r.q, r["rank"]): r.id for r in ML.vector_topk(
+        store, store.where("id in (0, 1, 2, 60, 99)").withColumnRenamed("id", "q"), "id", "q", "v", 4, digits=6).collect()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    for q in (0, 1, 2):
+        if not norm(vectors[q]):
+            continue
+        scored = sorted((-round(sum(a * b for a, b in zip(v, vectors[q])) / norm(v) / norm(vectors[q]), 6), i)
+                        for i, v in vectors.items() if norm(v))
+        assert [got[q, n] for n in (1, 2, 3, 4)] == [i for _, i in scored[:4]]
+    assert (60, 1) not in got and (99, 1) not in got
 
 
 def test_scaling_and_encoding(spark, rows):

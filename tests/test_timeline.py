@@ -42,7 +42,7 @@ def test_sliding_count_is_never_one_task(spark):
 @pytest.mark.parametrize("hot_rows", [10**9, 40])
 def test_carry_forward_hot_and_cold(spark, hot_rows):
     rnd = random.Random(3)
-    data = [(rnd.choice([1, 1, 1, 2, 3]), rnd.randrange(50), i, rnd.choice([None, None, i])) for i in range(400)]
+    data = [(rnd.choice([1, 1, None, None, 2, 3]), rnd.randrange(50), i, rnd.choice([None, None, i])) for i in range(400)]
     df = spark.createDataFrame(data, "k int, t int, id int, v int")
     for current in (True, False):
         got = timeline.carry_forward(df, ["k"], ["t", "id"], F.col("v"), "seen", current, hot_key_rows=hot_rows)
