@@ -36,37 +36,33 @@ def sliding_count(
     """
     if window_us % slice_us:
         raise ValueError("window_us must be a multiple of slice_us")
-    k = window_us // slice_us
+    floor_to = lambda us, width: us - F.pmod(us, F.lit(width).cast("long"))
     rows = df.withColumn("_us", micros(F.col(ts)))
-    slice_of = lambda us: F.floor(us / F.lit(slice_us)).cast("long")
-    arrivals = (
-        rows.where(F.col("_us").isNotNull()).groupBy("_us").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("s", slice_of(F.col("_us")))
-    )
-
-    # Rows held by the k slices before s. Each total is copied to its own block
-    # of k slices and to the next one, so that a block sees all it needs.
-    totals = arrivals.groupBy("s").agg(F.sum("n").alias("n"))
-    block = F.floor(F.col("s") / F.lit(k)).cast("long")
-    copies = totals.withColumn("b", F.explode(F.array(block, block + 1)))
-    before = F.sum("n").over(Window.partitionBy("b").orderBy("s").rangeBetween(-k, -1))
+    timed = rows.where(F.col("_us").isNotNull())
+
+    # Rows held by the whole slices before slice s: one entry per slice, copied
+    # to its own block of slices and to the next one, so that a block sees all it needs.
+    totals = timed.groupBy(floor_to(F.col("_us"), slice_us).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    block = floor_to(F.col("s"), window_us)
+    copies = totals.withColumn("b", F.explode(F.array(block, block + window_us)))
+    held = F.sum("n").over(Window.partitionBy("b").orderBy("s").rangeBetween(-window_us, -slice_us))
     base = (
-        copies.withColumn("before", F.coalesce(before, F.lit(0)))
+        copies.withColumn("before", F.coalesce(held, F.lit(0)))
         .where(F.col("b") == block)
         .select("s", "before")
     )
 
-    arrive = arrivals.select("s", F.col("_us").alias("at"), F.col("n").alias("delta"), F.lit(True).alias("own"))
-    leave = arrivals.select(
-        (F.col("s") + k).alias("s"),
-        (F.col("_us") + window_us + 1).alias("at"),
-        (-F.col("n")).alias("delta"),
-        F.lit(False).alias("own"),
-    )
+    # Each instant arrives in its own slice and leaves in the slice one window later.
+    arrivals = timed.groupBy("_us").agg(F.count(F.lit(1)).alias("n"))
+    us = F.col("_us")
+    moves = arrivals.select(F.inline(F.array(
+        F.struct(floor_to(us, slice_us).alias("s"), us.alias("at"), F.col("n").alias("delta"), F.lit(True).alias("own")),
+        F.struct((floor_to(us, slice_us) + window_us).alias("s"), (us + window_us + 1).alias("at"),
+                 (-F.col("n")).alias("delta"), F.lit(False).alias("own")),
+    )))
     upto = Window.partitionBy("s").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
     counts = (
-        arrive.unionByName(leave)
-        .withColumn("inside", F.sum("delta").over(upto))
+        moves.withColumn("inside", F.sum("delta").over(upto))
         .where("own")
         .join(base, "s")
         .select(F.col("at").alias("_us"), (F.col("before") + F.col("inside")).cast("int").alias(out))
