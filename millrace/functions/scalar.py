@@ -20,7 +20,12 @@ PRIVATE_RANGES = (
     ("127.0.0.0", 8),
     ("169.254.0.0", 16),
     ("172.16.0.0", 12),
+    ("192.0.2.0", 24),
     ("192.168.0.0", 16),
+    ("198.18.0.0", 15),
+    ("198.51.100.0", 24),
+    ("203.0.113.0", 24),
+    ("240.0.0.0", 4),
 )
 # ----------------------------------------------------------------------------
 
@@ -51,6 +56,15 @@ def name_valid(c: Column) -> Column:
     )
 
 
+def resource_name_valid(c: Column, resource_type: str = "general") -> Column:
+    """Name rules of a resource: general, ``s3`` (stricter) or ``lambda``."""
+    tests = [c != "", F.length(c) <= NAME_MAX_LENGTH, c.rlike(NAME_PATTERN)]
+    if resource_type == "s3":
+        tests += [F.length(c) >= NAME_MIN_LENGTH, ~c.contains(".."), ~c.contains(".-"), ~c.contains("-."),
+                  ~c.startswith("xn--"), ~c.endswith("-s3alias")]
+    return F.coalesce(all_of(tests), F.lit(False))
+
+
 def clean_name(c: Column) -> Column:
     """Lower-case, other characters to hyphens, hyphen runs to one, none at the ends."""
     hyphened = F.regexp_replace(F.lower(c), "[^a-z0-9-]", "-")

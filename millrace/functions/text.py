@@ -109,7 +109,10 @@ def pattern_counts(text: Column, patterns: Mapping[str, str]) -> Column:
 def mask_patterns(text: Column, patterns: Mapping[str, str]) -> Column:
     """Text with every match replaced by the bracketed kind."""
     for kind, pattern in patterns.items():
-        text = F.regexp_replace(text, pattern, f"[{kind}]")
+        masked = F.regexp_replace(text, pattern, f"[{kind}]")
+        if kind in NEEDED_LITERALS:
+            masked = F.when(F.contains(text, F.lit(NEEDED_LITERALS[kind])), masked).otherwise(text)
+        text = masked
     return text
 
 

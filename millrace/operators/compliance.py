@@ -359,6 +359,42 @@ def data_governance(listing: DataFrame) -> DataFrame:
     return flags.withColumn("status", F.when(fine, "PASS").otherwise("FAIL"))
 
 
+# --- fixed values: repository policy findings ----------------------------------
+POLICY_FILES = ("SECURITY.md", ".github/SECURITY.md", "security.md")
+SECRET_IGNORES = ("*.key", "*.pem", "secrets", ".env")
+SCANNED_DATA = (".csv", ".json", ".parquet")
+SCANNED_CLASSIFICATION = ("DATA_CLASSIFICATION.md", "data-classification.md", "docs/data-classification.md")
+# -------------------------------------------------------------------------------
+
+
+def policy_findings(listing: DataFrame) -> DataFrame:
+    """Findings per repo: kind, message, level. One shuffle of per-repo flags."""
+    path = F.col("path")
+    ignores = F.filter(
+        _constant(list(SECRET_IGNORES), _NONE), lambda p: ~F.contains(F.col("content"), p))
+    flags = listing.groupBy("repo").agg(
+        count_if(path.isin(*POLICY_FILES)).alias("policies"),
+        count_if(path == IGNORE_FILE).alias("ignore_files"),
+        F.max(F.when(path == IGNORE_FILE, F.array_join(ignores, ", "))).alias("gaps"),
+        count_if(F.regexp_extract(path, r"(\.[^./]+)$", 1).isin(*SCANNED_DATA)).alias("data"),
+        count_if(path.isin(*SCANNED_CLASSIFICATION)).alias("classified"),
+    )
+
+    def finding(when: Column, kind: str, message: Column, level: str) -> Column:
+        return F.when(when, F.struct(
+            F.lit(kind).alias("kind"), message.alias("message"), F.lit(level).alias("level")))
+
+    found = F.array_compact(F.array(
+        finding(F.col("policies") == 0, "missing_security_policy", F.lit("No security policy file found"), "medium"),
+        finding(F.col("ignore_files") == 0, "missing_gitignore", F.lit(NO_IGNORE), "low"),
+        finding(F.col("gaps") != "", "gitignore_secrets",
+                F.concat(F.lit("Missing secret patterns in .gitignore: "), F.col("gaps")), "medium"),
+        finding((F.col("data") > 0) & (F.col("classified") == 0), "missing_data_classification",
+                F.lit(NO_CLASSIFICATION), "medium"),
+    ))
+    return flags.select("repo", F.inline(found))
+
+
 def report(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Totals per status and the share of passed checks, rounded to two digits."""
     status = F.col("status")

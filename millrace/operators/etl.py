@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +70,17 @@ def label_required(
     return df.withColumn(error_column, F.when(~good, F.lit("Validation failed")))
 
 
+def transform_hook(df: DataFrame, hook: Callable[[Iterator], Iterator] | None, schema: str | None = None) -> DataFrame:
+    """Optional user code per Arrow batch of a partition; without a hook the frame is unchanged.
+
+    ``hook`` gets and yields pandas frames. It sees the rows of one task batch by
+    batch, never a whole group.
+    """
+    if hook is None:
+        return df
+    return df.mapInPandas(hook, schema or df.schema)
+
+
 def apply_transformation_rules(df: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
     """Run an ordered list of declarative rules.
 

@@ -207,8 +207,8 @@ def scan_patterns(df: DataFrame, keys: Sequence[str], text: str, patterns: Mappi
 
 def block_patterns(df: DataFrame, text: str, patterns: Mapping[str, str]) -> DataFrame:
     """Add ``blocked`` and ``masked``; the whole text is searched."""
-    found = F.size(pattern_counts(F.col(text), patterns)) > 0
-    return df.withColumns({"blocked": found, "masked": mask_patterns(F.col(text), patterns)})
+    masked = df.withColumn("masked", mask_patterns(F.col(text), patterns))
+    return masked.withColumn("blocked", F.coalesce(F.col("masked") != F.col(text), F.lit(False)))
 
 
 def guard_text(df: DataFrame, text: str, words: Sequence[str] = (), topics: Mapping[str, Sequence[str]] | None = None) -> DataFrame:

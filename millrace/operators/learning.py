@@ -44,7 +44,8 @@ def label_encode(df: DataFrame, column: str, suffix: str = "_encoded") -> DataFr
     Only the distinct categories are ordered; the codes then meet the rows in a
     join whose strategy follows the measured size of the category table.
     """
-    categories = df.where(F.col(column).isNotNull()).select(column).distinct()
+    # The limit bounds what is ordered in one task; passing it is an error below, not a cut.
+    categories = df.where(F.col(column).isNotNull()).select(column).distinct().limit(MAX_CATEGORIES + 1)
     code = F.row_number().over(Window.orderBy(column)) - 1
     checked = F.when(
         F.col("_code") >= MAX_CATEGORIES, F.raise_error(F.lit(f"{column} has more than {MAX_CATEGORIES} categories"))

@@ -100,6 +100,53 @@ def custom(name: str, validator: Callable[[DataFrame], Column], message: str, se
     return Rule(name, lambda d: ~F.coalesce(validator(d), F.lit(False)), message, severity)
 
 
+def declare(
+    property_name: str,
+    data_type: str,
+    required_value: bool = True,
+    low=None,
+    high=None,
+    shortest: int | None = None,
+    longest: int | None = None,
+    pattern: str | None = None,
+    allowed_values: Sequence | None = None,
+    validator: Callable[[DataFrame], Column] | None = None,
+    severity: str = ERROR,
+) -> list[Rule]:
+    """All rules of one declared property. Bounds apply to the value read as ``data_type``."""
+    c = property_name
+    rules = [required(c, severity)] if required_value else []
+    rules.append(of_type(c, data_type, severity))
+    typed = lambda: F.expr(f"try_cast(`{c}` as {data_type})")
+    if low is not None:
+        rules.append(Rule(c, lambda d: typed() < low, f"value is below {low}", severity, f"Use a value of at least {low}"))
+    if high is not None:
+        rules.append(Rule(c, lambda d: typed() > high, f"value is above {high}", severity, f"Use a value of at most {high}"))
+    if shortest is not None:
+        rules.append(min_length(c, shortest, severity))
+    if longest is not None:
+        rules.append(max_length(c, longest, severity))
+    if pattern is not None:
+        rules.append(matches(c, pattern, severity))
+    if allowed_values is not None:
+        rules.append(allowed(c, allowed_values, severity))
+    if validator is not None:
+        rules.append(custom(c, validator, "custom check failed", severity))
+    return rules
+
+
+# --- fixed values: common properties as arguments of ``declare`` ---------------
+COMMON_PROPERTIES = {
+    "environment": {"data_type": "string", "pattern": "^(dev|staging|prod|sandbox|dr)$"},
+    "instance_type": {"data_type": "string", "pattern": r"^[a-z][0-9]+[a-z]*\.[a-z0-9]+$"},
+    "port": {"data_type": "int", "low": 1, "high": 65535},
+    "retention_days": {"data_type": "int", "low": 1, "high": 3653},
+    "memory_size": {"data_type": "int", "low": 128, "high": 10240},
+    "timeout_seconds": {"data_type": "int", "low": 1, "high": 900},
+}
+# -------------------------------------------------------------------------------
+
+
 def violations(df: DataFrame, keys: Sequence[str], rules: Sequence[Rule]) -> DataFrame:
     """One row per violated rule: keys, severity, message, property_name, suggested_fix."""
     found = F.array_compact(F.array(*[r.compile(df) for r in rules]))

@@ -264,6 +264,23 @@ def data_governance_check(spark, sf):
     return C.data_governance(listing_rows(spark, sf))
 
 
+@query("repo_policy_findings", f"""
+with {LISTING},
+g as (select repo, count(*) filter (where path in ({", ".join(repr(p) for p in C.POLICY_FILES)})) as pol,
+             any_value(content) filter (where path = '.gitignore') as body,
+             count(*) filter (where regexp_matches(path, '\\.(csv|json|parquet)$')) as data,
+             count(*) filter (where path in ({", ".join(repr(p) for p in C.SCANNED_CLASSIFICATION)})) as cls from listing group by 1),
+m as (select repo, string_agg(p.x, ', ' order by p.i) as gaps from g, (values {", ".join(f"({i}, '{x}')" for i, x in enumerate(C.SECRET_IGNORES))}) as p(i, x)
+      where body is not null and not contains(body, p.x) group by 1)
+select repo, 'missing_security_policy' as kind, 'No security policy file found' as message, 'medium' as level from g where pol = 0
+union all select repo, 'missing_gitignore', '{C.NO_IGNORE}', 'low' from g where body is null
+union all select repo, 'gitignore_secrets', 'Missing secret patterns in .gitignore: ' || gaps, 'medium' from m
+union all select repo, 'missing_data_classification', '{C.NO_CLASSIFICATION}', 'medium' from g where data > 0 and cls = 0
+""")
+def repo_policy_findings(spark, sf):
+    return C.policy_findings(listing_rows(spark, sf))
+
+
 @query("incident_route", """
 select event_id, case event_type when 'error' then 'ImmediateResponse' when 'purchase' then 'StandardResponse'
        else 'LogIncident' end as route from events

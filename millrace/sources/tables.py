@@ -6,11 +6,13 @@ from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.common import shared_dir
+from millrace.operators.etl import process_orders
+from millrace.sources.files import read_csv
 
 CODECS = {"GZIP": "gzip", "SNAPPY": "snappy", "UNCOMPRESSED": "none", "NONE": "none"}
 
@@ -105,10 +107,16 @@ def convert_format(
     target_format: str,
     schema: T.StructType | str,
     compression: str = "SNAPPY",
+    report: Observation | None = None,
     **options,
 ) -> DataFrame:
-    """Rewrite files in another format under a declared schema; returns the target."""
+    """Rewrite files in another format under a declared schema; returns the target.
+
+    ``report`` receives ``records_processed``, counted while writing.
+    """
     frame = spark.read.format(source_format).schema(schema).options(**options).load(source)
+    if report is not None:
+        frame = frame.observe(report, F.count(F.lit(1)).alias("records_processed"))
     frame.write.mode("overwrite").format(target_format).option("compression", codec(compression)).save(target)
     return spark.read.format(target_format).schema(frame.schema).load(target)
 
@@ -157,7 +165,10 @@ def split_write(df: DataFrame, good: Column, good_path: str, bad_path: str) -> t
 
 def append_features(df: DataFrame, path: str, event_time: str) -> None:
     """Append feature rows to an offline store, partitioned by event date."""
-    (
-        df.withColumn("event_date", F.to_date(event_time)).hint("rebalance", F.col("event_date"))
-        .write.mode("append").partitionBy("event_date").parquet(path)
-    )
+    write_partitioned(df.withColumn("event_date", F.to_date(event_time)), path, ["event_date"], mode="append")
+
+
+def clean_csv_to_lake(spark: SparkSession, source: str, target: str, schema: T.StructType | str, **options) -> None:
+    """Daily batch: delimited files, cleaned and dated, into the partitioned zone. One write job."""
+    clean = process_orders(read_csv(spark, source, schema, **options), stamp=True)
+    write_partitioned(clean, target, ["order_year", "order_month", "order_day"])

@@ -134,3 +134,26 @@ def test_block_countries_off_by_default(spark):
     df = spark.createDataFrame([("DE",), ("FR",), (None,)], "c string")
     assert routing.block_countries(df, "c").count() == 3
     assert routing.block_countries(df, "c", ["DE"]).count() == 2
+
+
+def test_declared_property(spark, rows):
+    df = spark.createDataFrame([(1, "443"), (2, "70000"), (3, "x"), (4, None)], "id int, port string")
+    declared = rules.declare("port", **rules.COMMON_PROPERTIES["port"])
+    assert rows(rules.violations(df, ["id"], declared).select("id", "message")) == [
+        (2, "value is above 65535"), (3, "value is not a int"), (4, "required value is missing")]
+    everything = rules.declare(
+        "port", "string", False, shortest=2, longest=4, pattern="^[0-9]+$", allowed_values=["443"],
+        validator=lambda d: F.col("port") != "443")
+    found = rules.violations(df.where("id in (1, 3)"), ["id"], everything).groupBy("id").count()
+    assert rows(found) == [(1, 1), (3, 3)]
+
+
+def test_transform_hook_is_off_by_default(spark, rows):
+    df = spark.range(3)
+    assert etl.transform_hook(df, None) is df
+
+    def double(frames):
+        for frame in frames:
+            yield frame.assign(id=frame["id"] * 2)
+
+    assert rows(etl.transform_hook(df, double)) == [(0,), (2,), (4,)]

@@ -46,6 +46,23 @@ def test_private_ip(spark, ip, private):
     assert one(spark, S.ip_private(F.lit(ip).cast("string"))) is private
 
 
+def test_private_ranges_agree_with_the_standard_library(spark):
+    import ipaddress
+
+    addresses = [f"{a}.{b}.{c}.7" for a in (0, 1, 9, 10, 100, 127, 169, 172, 192, 198, 203, 239, 240, 255)
+                 for b in (0, 15, 16, 18, 19, 20, 31, 32, 51, 168, 254) for c in (0, 2, 100, 113)]
+    addresses = [a for a in addresses if not a.startswith("192.0.0.")]  # registry exceptions, not covered
+    df = spark.createDataFrame([(a,) for a in addresses], "ip string").withColumn("p", S.ip_private(F.col("ip")))
+    assert [r.ip for r in df.collect() if r.p != ipaddress.ip_address(r.ip).is_private] == []
+
+
+@pytest.mark.parametrize("name, kind, valid", [
+    ("ab", "general", True), ("ab", "s3", False), ("xn--abc", "s3", False), ("abc-s3alias", "s3", False), ("a--b", "s3", True),
+    ("Abc", "lambda", False), ("", "general", False)])
+def test_resource_names(spark, name, kind, valid):
+    assert one(spark, S.resource_name_valid(F.lit(name), kind)) is valid
+
+
 @pytest.mark.parametrize("name, valid", [
     ("my-project", True), ("ab", False), ("-abc", False), ("a--b", False), ("Abc", False), ("a" * 63, True), ("a" * 64, False), (None, False)])
 def test_names(spark, name, valid):

@@ -168,3 +168,22 @@ def test_progress_metrics(spark, tmp_path):
     stream = jobs.file_stream(spark, str(tmp_path / "in"), "id bigint", "parquet")
     query = jobs.run_available(stream.writeStream.format("parquet").option("path", str(tmp_path / "out")), str(tmp_path / "cp"))
     assert sum(n for _, n, _ in jobs.progress_metrics(query)) == 5
+
+
+def test_convert_reports_records(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    spark.range(7).write.json(str(tmp_path / "in"))
+    seen = Observation()
+    out = tables.convert_format(spark, str(tmp_path / "in"), "json", str(tmp_path / "out"), "orc", "id bigint", report=seen)
+    assert out.count() == 7 and seen.get == {"records_processed": 7}
+
+
+def test_daily_batch(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "deep" / "a.csv").write_text("customer_id,order_date,amount\na,2024-01-05,5\na,2024-01-05,5\n,2024-01-05,1\n")
+    target = str(tmp_path / "lake")
+    for _ in range(2):
+        tables.clean_csv_to_lake(spark, str(tmp_path / "in"), target, "customer_id string, order_date date, amount decimal(10,2)")
+    stored = spark.read.parquet(target).collect()
+    assert [(r.customer_id, r.order_year, r.order_month, r.order_day) for r in stored] == [("a", 2024, 1, 5)]
