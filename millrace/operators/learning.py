@@ -130,18 +130,20 @@ def population_stability(
     slot = F.least(F.greatest(F.floor((v - lo) / width).cast("int"), F.lit(0)), F.lit(bins - 1))
     ranged = valued.withColumn("_span", span.scalar())
     hist = ranged.groupBy(group, slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    shares = hist.groupBy(group).agg(
+    counts = hist.groupBy(group).agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_h"), F.sum("n").alias("_t"))
-    share = lambda h, t, b: F.greatest(
-        F.coalesce(F.element_at(h, F.lit(b)), F.lit(0)) / t, F.lit(PSI_EPSILON))
-    base = shares.where(F.col(group) == F.lit(reference)).select(F.struct("_h", "_t").alias("s"))
-    terms = [
-        (share(F.col("_h"), F.col("_t"), b) - share(F.col("_ref._h"), F.col("_ref._t"), b))
-        * F.log(share(F.col("_h"), F.col("_t"), b) / share(F.col("_ref._h"), F.col("_ref._t"), b))
-        for b in range(bins)
-    ]
-    others = shares.where(F.col(group) != F.lit(reference)).withColumn("_ref", base.scalar())
-    return others.select(group, sum(terms[1:], terms[0]).alias("psi")).withColumn("drift", F.col("psi") > threshold)
+    share = F.transform(
+        F.sequence(F.lit(0), F.lit(bins - 1)),
+        lambda b: F.greatest(F.coalesce(F.element_at(F.col("_h"), b), F.lit(0)) / F.col("_t"), F.lit(PSI_EPSILON)))
+    shares = counts.select(group, share.alias("_p"))
+    base = shares.where(F.col(group) == F.lit(reference)).select("_p")
+    terms = F.zip_with("_p", "_ref", lambda p, r: (p - r) * F.log(p / r))
+    return (
+        shares.where(F.col(group) != F.lit(reference))
+        .withColumn("_ref", base.scalar())
+        .select(group, F.aggregate(terms, F.lit(0.0), lambda a, x: a + x).alias("psi"))
+        .withColumn("drift", F.col("psi") > threshold)
+    )
 
 
 def retrain_decision(state: DataFrame, min_accuracy: float = MIN_ACCURACY, max_drift: float = MAX_DRIFT, every_days: int = 7) -> DataFrame:

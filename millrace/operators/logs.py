@@ -106,5 +106,6 @@ def mask_variables(message):
 def patterns(df: DataFrame, message: str) -> DataFrame:
     """Rows and share per masked message; copies combine map-side."""
     counted = df.groupBy(mask_variables(F.col(message)).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
+    # Summed over the patterns, so the subquery reuses the shuffle of the counts.
+    total = counted.agg(F.sum("n").alias("total"))
     return counted.withColumn("share", pct(F.col("n"), total.scalar()))
