@@ -98,7 +98,7 @@ def write_time_hive_layout(spark, sf):
     events = table(spark, sf, "events")
     events.write.parquet(source)
     stream = jobs.file_stream(spark, source, events.schema, "parquet")
-    jobs.run_available(jobs.hive_layout_writer(stream, "ts", f"{root}/out", files_per_part=1), f"{root}/checkpoint")
+    jobs.run_available(jobs.hive_layout_writer(stream, "ts", f"{root}/out", files_per_part=2), f"{root}/checkpoint")
     stored = tables.read_partitioned(spark, f"{root}/out", events.schema, jobs.HIVE_PARTS)
     return stored.select("event_id", *jobs.HIVE_PARTS)
 

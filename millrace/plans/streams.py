@@ -13,13 +13,25 @@ from millrace.streaming import jobs, state
 WEEKS = ("2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "2024-02-01")
 
 
-def replay(events, root):
-    """Write events as weekly drops, oldest first, and open them as a stream of one file set per batch."""
+def replay(events, root, writer_of):
+    """Deliver events as weekly drops, oldest first, and run the stream after each drop.
+
+    Every run starts from the checkpoint of the one before and sees only the new
+    files; returns the last run.
+    """
     spark = events.sparkSession
     day = lambda d: F.lit(d).cast("timestamp_ntz")
+    done = None
     for lo, hi in zip(WEEKS, WEEKS[1:]):
-        events.where((F.col("ts") >= day(lo)) & (F.col("ts") < day(hi))).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    return jobs.file_stream(spark, f"{root}/in", events.schema, "parquet", max_files=1)
+        drop = events.where((F.col("ts") >= day(lo)) & (F.col("ts") < day(hi)))
+        done = deliver(drop, root, writer_of)
+    return done
+
+
+def deliver(drop, root, writer_of):
+    drop.write.mode("append").parquet(f"{root}/in")
+    stream = jobs.file_stream(drop.sparkSession, f"{root}/in", drop.schema, "parquet")
+    return jobs.run_available(writer_of(stream), f"{root}/checkpoint")
 
 
 def last_batch(query):
@@ -112,9 +124,8 @@ union all select 'large', event_id from events where value > 50
 """)
 def multi_sink_fanout(spark, sf):
     root = shared_dir(spark, "fanout")
-    stream = replay(table(spark, sf, "events"), root)
     consumers = {"all": F.lit(True), "errors": F.col("event_type") == "error", "large": F.col("value") > 50}
-    jobs.run_available(jobs.fan_out(stream, consumers, f"{root}/out"), f"{root}/checkpoint")
+    replay(table(spark, sf, "events"), root, lambda stream: jobs.fan_out(stream, consumers, f"{root}/out"))
     parts = [spark.read.parquet(f"{root}/out/{c}").select(F.lit(c).alias("consumer"), "event_id") for c in consumers]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -125,9 +136,8 @@ from events
 """)
 def stream_sliding_count(spark, sf):
     root = shared_dir(spark, "sliding")
-    stream = replay(table(spark, sf, "events").select("event_id", "ts"), root)
     job = state.SlidingCountStream(root)
-    done = jobs.run_available(job.writer(stream), f"{root}/checkpoint")
+    done = replay(table(spark, sf, "events").select("event_id", "ts"), root, job.writer)
     return job.finish(spark, last_batch(done))
 
 
@@ -138,10 +148,13 @@ having time_bucket(interval 5 minutes, min(ts)) + interval 5 minutes <= (select
 """)
 def stream_tumbling_metrics(spark, sf):
     root = shared_dir(spark, "tumbling")
-    stream = replay(table(spark, sf, "events"), root)
-    stats = jobs.tumbling(stream, "ts", "5 minutes", "1 hour", ["event_type"], {
-        "n": F.count(F.lit(1)), "avg_value": F.avg("value"), "max_value": F.max("value")})
-    jobs.run_available(stats.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/checkpoint")
+
+    def writer(stream):
+        stats = jobs.tumbling(stream, "ts", "5 minutes", "1 hour", ["event_type"], {
+            "n": F.count(F.lit(1)), "avg_value": F.avg("value"), "max_value": F.max("value")})
+        return stats.writeStream.format("parquet").option("path", f"{root}/out")
+
+    replay(table(spark, sf, "events"), root, writer)
     return spark.read.parquet(f"{root}/out").withColumn("avg_value", F.round("avg_value", 6))
 
 
@@ -150,9 +163,13 @@ def stream_dedup(spark, sf):
     root = shared_dir(spark, "dedup")
     copies = F.when(F.col("event_type") == "view", F.array(F.lit(1), F.lit(2), F.lit(3))).otherwise(F.array(F.lit(1)))
     repeated = table(spark, sf, "events").withColumn("copy", F.explode(copies)).drop("copy")
-    unique = jobs.dedupe(replay(repeated, root), "ts", ["event_id", "event_type", "props"], "1 hour", ["user_id"])
-    writer = unique.select("event_id", "event_type", "user_id").writeStream.format("parquet").option("path", f"{root}/out")
-    jobs.run_available(writer, f"{root}/checkpoint")
+
+    def writer(stream):
+        unique = jobs.dedupe(stream, "ts", ["event_id", "event_type", "props"], "1 hour", ["user_id"])
+        kept = unique.select("event_id", "event_type", "user_id")
+        return kept.writeStream.format("parquet").option("path", f"{root}/out")
+
+    replay(repeated, root, writer)
     return spark.read.parquet(f"{root}/out")
 
 
@@ -167,12 +184,9 @@ def stream_cdc_apply(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     load = orders.select("o_orderkey", F.lit("I").alias("op"), F.lit(0).cast("long").alias("seq"), "o_totalprice", "o_orderstatus")
     changes = order_changes(orders)
-    load.coalesce(1).write.parquet(f"{root}/in")
     # Later changes are delivered first: the order of arrival must not matter.
-    for late_first in (F.col("seq") >= 2, F.col("seq") < 2):
-        changes.where(late_first).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = jobs.file_stream(spark, f"{root}/in", load.schema, "parquet", max_files=1)
-    jobs.run_available(state.apply_change_stream(stream, f"{root}/table", ["o_orderkey"], buckets=8), f"{root}/checkpoint")
+    for drop in (load, changes.where("seq >= 2"), changes.where("seq < 2")):
+        deliver(drop, root, lambda stream: state.apply_change_stream(stream, f"{root}/table", ["o_orderkey"], buckets=8))
     return state.current_rows(spark, f"{root}/table", "op").drop("seq")
 
 
@@ -181,9 +195,13 @@ select user_id, count(*) as events, round(sum(value), 4) as total, max(ts) as la
 """)
 def stream_keyed_state(spark, sf):
     root = shared_dir(spark, "keyed")
-    running = replay(table(spark, sf, "events"), root).groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"), F.max("ts").alias("last_seen"))
-    jobs.run_available(state.keyed_state_stream(running, f"{root}/table", ["user_id"], "events", buckets=8), f"{root}/checkpoint")
+
+    def writer(stream):
+        running = stream.groupBy("user_id").agg(
+            F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"), F.max("ts").alias("last_seen"))
+        return state.keyed_state_stream(running, f"{root}/table", ["user_id"], "events", buckets=8)
+
+    replay(table(spark, sf, "events"), root, writer)
     return state.current_rows(spark, f"{root}/table").withColumn("total", F.round("total", 4))
 
 
@@ -196,9 +214,8 @@ from w group by 1
 """)
 def stream_lag_monitor(spark, sf):
     root = shared_dir(spark, "lag")
-    stream = replay(table(spark, sf, "events"), root)
-    writer = jobs.lag_rows(stream, "ts", f"{root}/out", F.lit(EVENTS_AS_OF).cast("timestamp_ntz"))
-    jobs.run_available(writer, f"{root}/checkpoint")
+    now = F.lit(EVENTS_AS_OF).cast("timestamp_ntz")
+    replay(table(spark, sf, "events"), root, lambda stream: jobs.lag_rows(stream, "ts", f"{root}/out", now))
     return spark.read.parquet(f"{root}/out")
 
 
@@ -210,16 +227,15 @@ from events a where a.event_type = 'error'
 """)
 def stream_alert_escalation(spark, sf):
     root = shared_dir(spark, "alerts")
-    stream = replay(table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type"), root)
     job = state.AlertEscalationStream(
         root, "user_id", "ts", "event_id", F.col("event_type") == "error", F.col("event_type") == "click", 6 * 3600)
-    done = jobs.run_available(job.writer(stream), f"{root}/checkpoint")
+    events = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
+    done = replay(events, root, job.writer)
     return job.finish(spark, last_batch(done)).select("event_id", "user_id", "status")
 
 
 @query("raw_stream_backup", "select event_id, ts, user_id, event_type, value, props from events")
 def raw_stream_backup(spark, sf):
     root = shared_dir(spark, "backup")
-    stream = replay(table(spark, sf, "events"), root)
-    jobs.run_available(jobs.backup_writer(stream, root), f"{root}/backup-checkpoint")
+    replay(table(spark, sf, "events"), root, lambda stream: jobs.backup_writer(stream, root))
     return spark.read.parquet(f"{root}/{jobs.BACKUP_PREFIX}")

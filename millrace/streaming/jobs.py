@@ -171,11 +171,21 @@ def tumbling(
         F.col("window.start").cast("timestamp_ntz").alias("bin"), *by, *aggregates)
 
 
-def dedupe(stream: DataFrame, ts: str, content: Sequence[str], delay: str, scope: Sequence[str] = ()) -> DataFrame:
-    """Drop repeats of equal content (within ``scope``) that arrive within the delay."""
+def dedupe(
+    stream: DataFrame, ts: str, content: Sequence[str], delay: str, scope: Sequence[str] = (), splits: int = 8
+) -> DataFrame:
+    """Drop repeats of equal content (within ``scope``) that arrive within the delay.
+
+    Copies first meet copies of the same input split, then the survivors meet.
+    So a message that makes up much of the stream is spread over ``splits`` state
+    partitions, and at most that many of its copies reach the second step.
+    """
     body = F.to_json(F.struct(*content), {"ignoreNullFields": "false"})
-    hashed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withColumn("_hash", F.sha2(body, 256))
-    return hashed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["_hash", *scope]).drop("_hash")
+    hashed = stream.withColumns({
+        ts: F.col(ts).cast("timestamp"), "_hash": F.sha2(body, 256),
+        "_split": F.spark_partition_id() % F.lit(splits)})
+    near = hashed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["_hash", "_split", *scope])
+    return near.dropDuplicatesWithinWatermark(["_hash", *scope]).drop("_hash", "_split")
 
 
 def lag_rows(stream: DataFrame, ts: str, path: str, now: Column, alarm_seconds: int = BUFFER_SECONDS) -> DataStreamWriter:
