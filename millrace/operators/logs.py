@@ -75,8 +75,10 @@ def search(
     if services:
         found = found.where(F.col("service").isin(list(services)))
     total = found.agg(F.count(F.lit(1)).alias("total"))
-    page = found.orderBy(F.desc(ts), tie).limit(limit)
-    return page.withColumn("total", total.scalar()).withColumn("has_more", F.col("total") > limit)
+    # The total is attached first, so that sort and limit stay adjacent and every
+    # task keeps only its own best rows.
+    counted = found.withColumn("total", total.scalar()).withColumn("has_more", F.col("total") > limit)
+    return counted.orderBy(F.desc(ts), tie).limit(limit)
 
 
 def correlate(df: DataFrame, correlation: str = "correlation_id", service: str = "service", ts: str = "ts") -> DataFrame:

@@ -113,7 +113,8 @@ def queue_backlog(
     max_visible: int, max_age_seconds: int,
 ) -> DataFrame:
     """Visible messages and age of the oldest per queue, with both alarm flags."""
-    visible = messages.join(acks.select(message_id), message_id, "left_anti")
+    # Repeated acknowledgements collapse before the join, on its own partitioning.
+    visible = messages.join(acks.select(message_id).distinct(), message_id, "left_anti")
     now = micros(F.lit(as_of).cast("timestamp_ntz"))
     age = F.floor((now - micros(F.min(ts))) / 1_000_000).cast("long")
     return (

@@ -11,9 +11,9 @@ from millrace.plans.registry import query, table
 
 @query("reconcile", """
 with target as (
-  select o_orderkey, case when o_orderkey % 70 = 1 then o_totalprice + 1 else o_totalprice end as o_totalprice, o_orderstatus
-  from orders where o_orderkey % 50 <> 0
-  union all select o_orderkey + 10000000, o_totalprice, o_orderstatus from orders where o_orderkey % 50 = 0)
+  select o_orderkey, case when o_orderstatus = 'P' then o_totalprice + 1 else o_totalprice end as o_totalprice, o_orderstatus
+  from orders where o_totalprice <= 450000
+  union all select o_orderkey + 10000000000, o_totalprice, o_orderstatus from orders where o_totalprice > 450000)
 select coalesce(s.o_orderkey, t.o_orderkey) as o_orderkey,
        case when t.o_orderkey is null then 'MISSING_IN_TARGET' when s.o_orderkey is null then 'EXTRA_IN_TARGET'
             when s.o_totalprice is distinct from t.o_totalprice then 'MISMATCH' else 'MATCH' end as status,
@@ -23,11 +23,11 @@ from orders s full outer join target t on s.o_orderkey = t.o_orderkey
 """)
 def reconcile(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    dropped = F.col("o_orderkey") % 50 == 0
+    dropped = F.col("o_totalprice") > 450_000
     # Rows leave the target under their own key and come back under a new one.
     target = orders.select(
-        F.when(dropped, F.col("o_orderkey") + 10_000_000).otherwise(F.col("o_orderkey")).alias("o_orderkey"),
-        F.when(~dropped & (F.col("o_orderkey") % 70 == 1), F.col("o_totalprice") + 1)
+        F.when(dropped, F.col("o_orderkey") + 10_000_000_000).otherwise(F.col("o_orderkey")).alias("o_orderkey"),
+        F.when(~dropped & (F.col("o_orderstatus") == "P"), F.col("o_totalprice") + 1)
         .otherwise(F.col("o_totalprice")).alias("o_totalprice"),
         "o_orderstatus",
     )
@@ -36,16 +36,20 @@ def reconcile(spark, sf):
 
 CHANGES_SQL = """
 changes as (
-  select o_orderkey, 'U' as op, 1::bigint as seq, o_totalprice * 2 as o_totalprice, 'X' as o_orderstatus from orders where o_orderkey % 11 = 0
-  union all select o_orderkey, 'D', 2, null, null from orders where o_orderkey % 13 = 0
-  union all select o_orderkey, 'I', 3, 1.0, 'N' from orders where o_orderkey % 143 = 0
-  union all select o_orderkey + 10000000, 'I', 1, o_totalprice, o_orderstatus from orders where o_orderkey % 11 = 0)
+  select o_orderkey, 'U' as op, 1::bigint as seq, o_totalprice * 2 as o_totalprice, 'X' as o_orderstatus from orders where o_orderstatus = 'P'
+  union all select o_orderkey, 'D', 2, null, null from orders where o_totalprice > 400000
+  union all select o_orderkey, 'I', 3, 1.0, 'N' from orders where o_totalprice > 400000 and o_orderstatus = 'P'
+  union all select o_orderkey + 10000000000, 'I', 1, o_totalprice, o_orderstatus from orders where o_orderpriority = '1-URGENT')
 """
 
+ORDER_COLUMNS = ("o_orderkey", "o_totalprice", "o_orderstatus")
+
 
 def order_changes(orders):
-    """Change feed in one scan: update, then delete, then re-insert of some keys, and new keys."""
+    """Change feed in one scan: pending orders are updated, large ones deleted (and
+    re-inserted when pending), and urgent ones arrive again under new keys."""
     key = F.col("o_orderkey")
+    pending, large = F.col("o_orderstatus") == "P", F.col("o_totalprice") > 400_000
 
     def change(when, k, op, seq, price, status):
         return F.when(when, F.struct(
@@ -54,10 +58,10 @@ def order_changes(orders):
 
     none = F.lit(None)
     feed = F.array(
-        change(key % 11 == 0, key, "U", 1, F.col("o_totalprice") * 2, F.lit("X")),
-        change(key % 13 == 0, key, "D", 2, none, none),
-        change(key % 143 == 0, key, "I", 3, F.lit(1.0), F.lit("N")),
-        change(key % 11 == 0, key + 10_000_000, "I", 1, F.col("o_totalprice"), F.col("o_orderstatus")),
+        change(pending, key, "U", 1, F.col("o_totalprice") * 2, F.lit("X")),
+        change(large, key, "D", 2, none, none),
+        change(large & pending, key, "I", 3, F.lit(1.0), F.lit("N")),
+        change(F.col("o_orderpriority") == "1-URGENT", key + 10_000_000_000, "I", 1, F.col("o_totalprice"), F.col("o_orderstatus")),
     )
     return orders.select(F.inline(F.array_compact(feed)))
 
@@ -69,8 +73,8 @@ select o_orderkey, o_totalprice, o_orderstatus from orders where o_orderkey not
 union all select o_orderkey, o_totalprice, o_orderstatus from last where op <> 'D'
 """)
 def cdc_apply(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    return cdc.apply_changes(orders, order_changes(orders), ["o_orderkey"])
+    orders = table(spark, sf, "orders")
+    return cdc.apply_changes(orders.select(*ORDER_COLUMNS), order_changes(orders), ["o_orderkey"])
 
 
 @query("cdc_table_selection", """

@@ -126,6 +126,10 @@ def test_envelope_cases(spark, rows):
 def test_recent_errors_is_a_bounded_sort(spark):
     df = spark.createDataFrame([(1, "ERROR", "t")], "log_id int, level string, ts string")
     assert "TakeOrderedAndProject" in plan_of(L.recent_errors(df))
+    logs = spark.range(5).selectExpr("id as log_id", "timestamp_ntz '2024-01-01' as ts", "'ERROR' as level", "'s' as service")
+    page = L.search(logs, "2024-01-01", "2024-01-02", ["ERROR"], ["s"], limit=2)
+    assert "TakeOrderedAndProject" in plan_of(page.select("log_id", "total", "has_more"))
+    assert [tuple(r) for r in page.select("log_id", "total", "has_more").collect()] == [(0, 5, True), (1, 5, True)]
 
 
 @pytest.mark.parametrize("block", [1, 256])
