@@ -191,3 +191,51 @@ def test_daily_batch(spark, tmp_path):
         tables.clean_csv_to_lake(spark, str(tmp_path / "in"), target, "customer_id string, order_date date, amount decimal(10,2)")
     stored = spark.read.parquet(target).collect()
     assert [(r.customer_id, r.order_year, r.order_month, r.order_day) for r in stored] == [("a", 2024, 1, 5)]
+
+
+def test_files_outside_the_prefix_are_not_opened(spark, tmp_path):
+    root = str(tmp_path)
+    spark.range(3).write.parquet(f"{root}/incoming/a")
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "broken.parquet").write_text("not parquet")
+    everything = spark.read.schema("id bigint").option("recursiveFileLookup", True).parquet(root)
+    assert files.with_prefixes(everything, root).count() == 3
+
+
+def test_replayed_batch_changes_nothing(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    make = lambda *m: spark.createDataFrame([(i, t0 + dt.timedelta(minutes=i)) for i in m], "id int, ts timestamp_ntz")
+    job = state.SlidingCountStream(str(tmp_path))
+    for batch, number in ((make(1, 2), 0), (make(3, 4), 1), (make(3, 4), 1)):
+        job.on_batch(batch, number)
+    done = job.finish(spark, 1)
+    assert sorted((r.id, r.record_count) for r in done.collect()) == [(1, 1), (2, 2), (3, 2), (4, 2)]
+    path = str(tmp_path / "rows")
+    for _ in range(2):
+        jobs.write_batch(spark.range(4), path, 7)
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_alert_stream_waits_for_its_deadline(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    schema = "user_id int, event_id int, ts timestamp_ntz, event_type string"
+    at = lambda u, e, s, kind: (u, e, t0 + dt.timedelta(seconds=s), kind)
+    job = state.AlertEscalationStream(
+        str(tmp_path), "user_id", "ts", "event_id", F.col("event_type") == "error", F.col("event_type") == "click")
+    job.on_batch(spark.createDataFrame([at(1, 1, 0, "error"), at(2, 2, 0, "error")], schema), 0)
+    job.on_batch(spark.createDataFrame([at(1, 3, 200, "click"), at(2, 4, 301, "click")], schema), 1)
+    job.on_batch(spark.createDataFrame([at(3, 5, 1000, "error")], schema), 2)
+    early = {(r.event_id, r.status) for r in spark.read.parquet(job.out).collect()}
+    assert early == {(1, "RESOLVED"), (2, "ESCALATED")}
+    done = {(r.event_id, r.status) for r in job.finish(spark, 2).collect()}
+    assert done == early | {(5, "ESCALATED")}
+
+
+def test_stream_dedup_across_splits(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    copies = spark.createDataFrame([(1, t0)] * 40 + [(2, t0)], "id int, ts timestamp_ntz").repartition(6)
+    copies.write.parquet(str(tmp_path / "in"))
+    stream = jobs.file_stream(spark, str(tmp_path / "in"), copies.schema, "parquet")
+    writer = jobs.dedupe(stream, "ts", ["id"], "1 hour").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    jobs.run_available(writer, str(tmp_path / "checkpoint"))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]

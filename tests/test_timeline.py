@@ -52,6 +52,13 @@ def test_carry_forward_hot_and_cold(spark, hot_rows):
         assert got.count() == 400
 
 
+def test_carry_forward_with_many_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(timeline, "MAX_BROADCAST_KEYS", 0)
+    df = spark.range(300).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"), F.when(F.col("id") < 3, F.col("id")).alias("v"))
+    got = timeline.carry_forward(df, ["k"], ["t"], F.col("v"), "seen", hot_key_rows=10)
+    assert got.where("seen = k").count() == 300
+
+
 def test_carry_forward_hot_key_spans_tasks(spark):
     df = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("t"), F.when(F.col("id") == 0, F.lit(7)).alias("v"))
     got = timeline.carry_forward(df, ["k"], ["t"], F.col("v"), "seen", hot_key_rows=10)
