@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry_module
 from harness import compare, connect
+from millrace.plans import load
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLES = load()
 
 
 @pytest.fixture(scope="module")
