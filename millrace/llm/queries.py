@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import line_dedup
+from millrace.llm import line_dedup, mixing, packing, quality
 from millrace.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +53,79 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(docs).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.train(docs, labels, quality.remainder("doc_id", 4) != 2)
+    return quality.score(docs, model).select(
+        "doc_id",
+        (quality.remainder("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.KEEP).cast("int").alias("predicted"),
+    )
+
+
+@query("op6_retrieval_packing")
+def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query(
+    "op8_mix_sources",
+    """
+    with sized as (
+      select doc_id, source,
+             len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
+             ('0x' || substr(md5(doc_id::varchar), 1, 15))::bigint as hash
+      from documents
+    ), sources as (
+      select source, sum(size)::bigint as total,
+             [5, 2, 1][1 + (row_number() over (order by source nulls last) - 1) % 3]::double as weight
+      from sized group by source
+    ), steps as (
+      select *, 2.0::double * total as cap, 2.0::double * total / weight as reached from sources
+    ), levels as (
+      select *,
+             (1.5::double * sum(total) over ()
+              - coalesce(sum(cap) over (order by reached, source rows between unbounded preceding and 1 preceding), 0))
+             / sum(weight) over (order by reached, source rows between current row and unbounded following) as level
+      from steps
+    ), goal as (
+      select source, total, least(cap, weight * (select level from levels where level < reached order by reached, source limit 1)) as target
+      from steps
+      where exists (select 1 from levels where level < reached)
+      union all
+      select source, total, cap from steps where not exists (select 1 from levels where level < reached)
+    ), budgets as (
+      select *, case when total > 0 then floor(target / total)::bigint else 0 end as full_copies,
+             target - (case when total > 0 then floor(target / total) else 0 end) * total as budget
+      from goal
+    ), running as (
+      select d.*, b.total, b.target, b.full_copies, b.budget,
+             sum(size) over (partition by d.source order by hash) as upto,
+             sum(size) over (partition by d.source order by hash) -
+             sum(size) over (partition by d.source, hash) as before
+      from sized d join budgets b on d.source is not distinct from b.source
+    )
+    select doc_id, size, total as source_size, target,
+           size * (full_copies + case
+             when budget <= 0 then 0
+             when upto <= budget then 1
+             when before <= budget and upto - budget < budget - before then 1
+             else 0 end) as taken
+    from running
+    """,
+)
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mixing.mix_sources(docs)
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken")
+    )
