@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import line_dedup, mixing, packing, quality
+from millrace.llm import (
+    chats, fingerprints, line_dedup, mixing, near_dedup, neighbours, packing, ppm, quality, sharding,
+)
 from millrace.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +131,112 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken")
     )
+
+
+@query("op2_order_minhash")
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicate_classes(docs).withColumnRenamed("id", "doc_id")
+
+
+@query("op5_scaled_fingerprints")
+def op5_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    compared = fingerprints.compare_with_edited(docs)
+    return compared.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("print")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_print")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
+        fingerprints.likeness(F.col("print"), F.col("next_print")).alias("near_next"),
+        fingerprints.containment(F.col("edited_print"), F.col("print")).alias("edited_in_text"),
+    )
+
+
+@query("op7_uniform_shards")
+def op7_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text").cast("binary")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce(text, F.lit(b""))).alias("text_crc32"),
+    )
+    return sharding.shuffle_into_shards(docs).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op10_ppm_scores")
+def op10_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = ppm.score_documents(docs, quality.remainder("doc_id", 5) != 1)
+    return scored.select(
+        F.col("id").alias("doc_id"), (~F.col("trained_on")).alias("held_out"), "n_tokens", "n_known",
+        "train_tokens", "base_score", "score",
+    )
+
+
+@query("op3_hilbert_neighbours")
+def op3_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+#: The one tool of the derived traffic: a user turn asks it, the next turn is its result.
+ANSWER_TOOL = {"answer": {"prompt": ("string", True), "turn": ("integer", True)}}
+
+
+def tool_traffic(conversations: DataFrame) -> DataFrame:
+    """Conversations as tool traffic: user turns become calls, assistant turns results of the turn before."""
+    conv = F.col("conv_id").cast("string")
+    call = F.struct(
+        F.array(F.struct(
+            F.concat(F.lit("c"), conv, F.lit("-"), F.col("turn").cast("string")).alias("id"),
+            F.lit("answer").alias("name"),
+            F.struct(F.col("turn").alias("turn"), F.col("text").alias("prompt")).alias("arguments"),
+        )).alias("tool_calls")
+    )
+    result = F.struct(
+        F.concat(F.lit("c"), conv, F.lit("-"), (F.col("turn") - 1).cast("string")).alias("tool_call_id"),
+        F.col("text").alias("content"),
+    )
+    return conversations.select(
+        "conv_id", "turn",
+        F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool")
+        .otherwise(F.col("role")).alias("role"),
+        F.when(F.col("role") == "user", F.to_json(call)).when(F.col("role") == "assistant", F.to_json(result))
+        .otherwise(F.col("text")).alias("text"),
+    )
+
+
+@query(
+    "op9_tool_chats",
+    """
+    with rows as (
+      select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    ), asked as (
+      select distinct conv_id, turn from rows where role = 'user'
+    ), messages as (
+      select r.conv_id, r.turn, r.role, case when r.role = 'assistant' then 1 else 0 end as kind,
+             r.role = 'assistant' and a.turn is not null as linked,
+             case r.role
+               when 'user' then '{"role":"assistant","tool_calls":[{"arguments":{"prompt":' || to_json(r.text)
+                 || ',"turn":' || r.turn || '},"id":"c' || r.conv_id || '-' || r.turn || '","name":"answer"}]}'
+               when 'assistant' then '{"content":' || to_json(r.text) || ',"role":"tool","tool_call_id":"c'
+                 || r.conv_id || '-' || (r.turn - 1) || '"}'
+               else '{"content":' || to_json(r.text) || ',"role":' || to_json(r.role) || '}' end as json
+      from rows r left join asked a on r.conv_id = a.conv_id and r.turn - 1 = a.turn and r.role = 'assistant'
+    )
+    select conv_id, (turn // 256)::bigint as part, count(*) as n_messages,
+           count(*) filter (where role = 'user') as n_calls, count(*) filter (where linked) as n_linked,
+           count(*) filter (where kind = 1 and not linked) as n_orphans, 0::bigint as n_errors,
+           '[' || string_agg(json, ',' order by turn, kind, json) || ']' as chat
+    from messages group by conv_id, part
+    """,
+)
+def op9_tool_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chats.format_chats(tool_traffic(conversations), ANSWER_TOOL)
