@@ -51,9 +51,9 @@ def _counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first], np.diff(np.concatenate([first, [len(ordered)]]))
 
 
-def _tokenise(path: str, end_id: int):
+def _tokenise(end_id: int, *vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(*vocabulary)
         end = np.array([end_id], encoder.dtype).tobytes()
         df = np.zeros(encoder.size, np.int64)
         for batch in batches:
@@ -283,15 +283,23 @@ def _pack(dtype: str, idf: np.ndarray, average: float):
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1
+    docs: DataFrame,
+    tokenizer_path: str,
+    ranks_path: str | None = None,
+    pattern: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    end_id: int = 1,
 ) -> DataFrame:
-    """One row per piece: its document, place there, ids (little-endian 32-bit), sequence and offset."""
-    spark = docs.sparkSession
+    """One row per piece: its document, place there, ids (little-endian 32-bit), sequence and offset.
+
+    ``ranks_path`` and ``pattern``: the same vocabulary as ranks, see ``tokens.Encoder``.
+    """
     encoder = Encoder(tokenizer_path)
     dtype, size = encoder.dtype.str, encoder.size
     tokens = staged(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-            _tokenise(tokenizer_path, end_id), TOKENS
+            _tokenise(end_id, tokenizer_path, ranks_path, pattern), TOKENS
         ),
         "packing-tokens",
     )

@@ -13,6 +13,12 @@ from millrace.llm import (
 )
 from millrace.llm.common import table
 
+#: Tokenizer file, the same vocabulary as ranks, and its split pattern.
+VOCABULARY = (
+    public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    public_tokenizers.PATTERN,
+)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -73,7 +79,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_retrieval_packing")
 def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.pack_documents(docs, *VOCABULARY)
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
