@@ -123,7 +123,7 @@ def mix_sources(
             F.col("source").alias("s"), "bucket", "upto", "low", "high", F.col("size").alias("bucket_size")
         )
         opened = (
-            state.join(summed, F.col("source").eqNullSafe(F.col("s")))
+            state.select("source", "budget", "below").join(summed, F.col("source").eqNullSafe(F.col("s")))
             .where(F.col("below") + F.col("upto") > F.col("budget"))
             .groupBy("source")
             .agg(F.min(F.struct("bucket", "upto", "bucket_size", "low", "high")).alias("open"))
