@@ -191,11 +191,11 @@ def _tile(k: int):
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(vectors) or not len(queries):
             return pd.DataFrame({"query_id": [], "point": [], "score": []})
-        data, ids, points_ = _stack(vectors["vector"]), queries["point"].to_numpy(), vectors["point"].to_numpy()
+        data, ids, points_ = _stack(vectors["vector"]), queries["query_id"].to_numpy(), vectors["point"].to_numpy()
         parts = []
         for at in range(0, len(queries), 2048):
             some = queries.iloc[at : at + 2048]
-            who, rows, scores = _best(_stack(some["vector"]), data, k)
+            who, rows, scores = _best(_stack(some["asked"]), data, k)
             parts.append(pd.DataFrame({"query_id": ids[at + who], "point": points_[rows], "score": scores}))
         return pd.concat(parts)
 
@@ -266,7 +266,9 @@ def nearest(
     used, radius = _window(entries, staged(exact, "neighbour-trials"), tiles)
 
     around = F.explode(F.sequence(F.greatest(F.col("tile") - radius, F.lit(0)), F.least(F.col("tile") + radius, F.lit(tiles - 1))))
-    probing = entries.where(F.col("query") & (F.col("curve") < used)).select("point", "vector", around.alias("tile"))
+    probing = entries.where(F.col("query") & (F.col("curve") < used)).select(
+        F.col("point").alias("query_id"), F.col("vector").alias("asked"), around.alias("tile")
+    )
     stored = entries.where(~F.col("query") & (F.col("curve") <= used)).select("point", "vector", "tile")
     candidates = (
         stored.groupBy("tile").cogroup(probing.groupBy("tile")).applyInPandas(_tile(k + 1), columns)
