@@ -108,6 +108,26 @@ def configured_shared_dir(spark: SparkSession) -> str | None:
     )
 
 
+def numbered(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """``df`` with its 0-based position in ``order``, without one task that sorts all rows.
+
+    Ranges are sorted side by side and numbered inside; a range starts where the
+    ranges before it end (one row per range).
+    """
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = durable(
+        df.repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumn("_range", F.spark_partition_id()).withColumn("_local", local)
+    )
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._range") < F.col("a._range"), "left")
+    starts = before.groupBy(F.col("a._range").alias("_range")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_start"))
+    return (
+        placed.join(F.broadcast(starts), "_range")  # one row per shuffle partition
+        .withColumn(out, F.col("_start") + F.col("_local")).drop("_range", "_local", "_start")
+    )
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Frame stored in the reliable checkpoint folder, so that it is computed once."""
     spark = df.sparkSession

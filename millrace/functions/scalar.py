@@ -20,6 +20,7 @@ PRIVATE_RANGES = (
     ("127.0.0.0", 8),
     ("169.254.0.0", 16),
     ("172.16.0.0", 12),
+    ("192.0.0.0", 24),
     ("192.0.2.0", 24),
     ("192.168.0.0", 16),
     ("198.18.0.0", 15),
@@ -27,6 +28,8 @@ PRIVATE_RANGES = (
     ("203.0.113.0", 24),
     ("240.0.0.0", 4),
 )
+# Addresses inside those ranges that are not private.
+PUBLIC_EXCEPTIONS = (("192.0.0.9", 32), ("192.0.0.10", 32))
 # ----------------------------------------------------------------------------
 
 
@@ -117,12 +120,16 @@ def ipv4_number(c: Column) -> Column:
 def ip_private(c: Column) -> Column:
     """Whether the IPv4 address lies in a private range; malformed text is not private."""
     number = ipv4_number(c)
-    inside = []
-    for first, prefix in PRIVATE_RANGES:
-        a, b, d, e = (int(x) for x in first.split("."))
-        low = ((a * 256 + b) * 256 + d) * 256 + e
-        inside.append(number.between(low, low + 2 ** (32 - prefix) - 1))
-    return F.coalesce(any_of(inside), F.lit(False))
+
+    def inside(ranges) -> Column:
+        found = []
+        for first, prefix in ranges:
+            a, b, d, e = (int(x) for x in first.split("."))
+            low = ((a * 256 + b) * 256 + d) * 256 + e
+            found.append(number.between(low, low + 2 ** (32 - prefix) - 1))
+        return any_of(found)
+
+    return F.coalesce(inside(PRIVATE_RANGES) & ~inside(PUBLIC_EXCEPTIONS), F.lit(False))
 
 
 def cidr_check(c: Column) -> Column:

@@ -6,16 +6,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.common import ARROW_TYPES, HASH_BUCKETS, count_if, hash_bucket
-
-#: Encoders keep one row per category; more than this is not a category column.
-MAX_CATEGORIES = 1_000_000
+from millrace.common import ARROW_TYPES, HASH_BUCKETS, count_if, durable, hash_bucket, numbered
 
 # --- fixed values ------------------------------------------------------------
 FOREST = {"numTrees": 100, "maxDepth": 10, "seed": 42}
@@ -41,16 +39,11 @@ def standard_scale(df: DataFrame, columns: Sequence[str], suffix: str = "_scaled
 def label_encode(df: DataFrame, column: str, suffix: str = "_encoded") -> DataFrame:
     """Integer code of each value by its sorted position.
 
-    Only the distinct categories are ordered; the codes then meet the rows in a
-    join whose strategy follows the measured size of the category table.
+    Only the distinct categories are ordered, range by range; the codes then meet
+    the rows in a join whose strategy follows the measured size of the category table.
     """
-    # The limit bounds what is ordered in one task; passing it is an error below, not a cut.
-    categories = df.where(F.col(column).isNotNull()).select(column).distinct().limit(MAX_CATEGORIES + 1)
-    code = F.row_number().over(Window.orderBy(column)) - 1
-    checked = F.when(
-        F.col("_code") >= MAX_CATEGORIES, F.raise_error(F.lit(f"{column} has more than {MAX_CATEGORIES} categories"))
-    ).otherwise(F.col("_code"))
-    coded = categories.withColumn("_code", code).select(column, checked.cast("int").alias(f"{column}{suffix}"))
+    categories = df.where(F.col(column).isNotNull()).select(column).distinct()
+    coded = numbered(categories, [column], "_code").select(column, F.col("_code").cast("int").alias(f"{column}{suffix}"))
     return df.join(coded, column, "left")
 
 
@@ -164,8 +157,8 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     return means.groupBy(group).agg(F.transform(ordered, lambda s: s["_mean"]).alias(vector))
 
 
-#: Query vectors are sent to every task, so their number is bounded.
-MAX_QUERY_VECTORS = 10_000
+#: Query vectors sent to the tasks at a time; there may be any number of such blocks.
+SENT_QUERIES = 4_096
 
 #: Queries scored at a time, which bounds the score matrix of an Arrow batch.
 QUERY_BLOCK = 256
@@ -186,11 +179,15 @@ def _best_in_task(query_ids: pa.Array, unit_queries: np.ndarray, k: int, digits:
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
-            ids = np.asarray(batch.column(0).to_pylist())
+            # Vectors of another length, or with NULL or non-finite elements, take no part.
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), unit_queries.shape[1]))
+            flat = batch.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+            matrix = flat.reshape(batch.num_rows, unit_queries.shape[1])
+            whole = np.isfinite(matrix).all(axis=1)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[whole]
             if not len(ids):
                 continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            vectors, usable = _unit_rows(flat.reshape(len(ids), -1))
+            vectors, usable = _unit_rows(matrix[whole])
             ids = ids[usable]
             for start in range(0, len(unit_queries), QUERY_BLOCK):
                 scores = vectors @ unit_queries[start:start + QUERY_BLOCK].T
@@ -219,23 +216,31 @@ def vector_topk(
 ) -> DataFrame:
     """The ``k`` stored vectors most similar (cosine) to each query vector, ties by id.
 
-    Exact: every stored vector is scored against each of the few queries, as
-    matrix products over Arrow batches. A task keeps its best ``k`` per query,
-    so no scores but those leave it: tasks x queries x k rows are ranked.
+    Exact: every stored vector is scored against every query, as matrix products
+    over Arrow batches. Queries go to the tasks in blocks of ``SENT_QUERIES``; a
+    task keeps its best ``k`` per query, so no other score leaves it, and all
+    blocks are ranked together. Vectors without a direction, with NULL or
+    non-finite elements, or of another length than the queries take no part;
+    queries of different lengths are an error.
     """
-    found = queries.select(query_id, F.col(vector).cast("array<double>")).limit(MAX_QUERY_VECTORS + 1).collect()
-    if len(found) > MAX_QUERY_VECTORS:
-        raise ValueError(f"more than {MAX_QUERY_VECTORS} query vectors; split them into several calls")
-    present = [r for r in found if r[1] is not None]
-    matrix = np.array([r[1] for r in present], dtype=np.float64).reshape(len(present), -1)
-    unit, usable = _unit_rows(matrix)
-    ids = pa.array(
-        [r[0] for r, u in zip(present, usable) if u], type=ARROW_TYPES[queries.schema[query_id].dataType])
-
+    value = F.col(vector).cast("array<double>")
+    fine = F.coalesce(F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False))
+    asked = queries.where(fine).select(F.col(query_id), value.alias(vector))
+    found = asked.agg(F.min(F.size(vector)), F.max(F.size(vector)), F.count(F.lit(1))).first()
+    if found[0] != found[1]:
+        raise ValueError(f"query vectors have between {found[0]} and {found[1]} elements")
     stored = store.select(store_id, vector).where(F.col(vector).isNotNull())
     types = dict(store.dtypes) | {query_id: dict(queries.dtypes)[query_id]}
     schema = f"q {types[query_id]}, i {types[store_id]}, score double"
-    candidates = stored.mapInArrow(_best_in_task(ids, unit, k, digits), schema)
+    placed = asked if found[2] <= SENT_QUERIES else durable(numbered(asked, [query_id], "_place"))
+    candidates = store.sparkSession.createDataFrame([], schema)
+    for start in range(0, found[2], SENT_QUERIES):
+        part = placed if placed is asked else placed.where(F.col("_place").between(start, start + SENT_QUERIES - 1))
+        block = part.select(query_id, vector).collect()  # at most SENT_QUERIES rows
+        unit, usable = _unit_rows(np.array([r[1] for r in block], dtype=np.float64).reshape(len(block), -1))
+        ids = pa.array([r[0] for r, u in zip(block, usable) if u], type=ARROW_TYPES[queries.schema[query_id].dataType])
+        if len(ids):
+            candidates = candidates.unionByName(stored.mapInArrow(_best_in_task(ids, unit, k, digits), schema))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "i")
     return (
         candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 
 from millrace.common import count_if, pct
 
-# Several exact distinct counts in one aggregate multiply each row once per
-# column; above this many columns use ``approximate=True`` or split the call.
-MAX_EXACT_DISTINCT = 10
-
-
 def _unpivot(one_row: DataFrame, names: Sequence[str], name_column: str, fields: Sequence[str]) -> DataFrame:
     """Turn a one-row aggregate with struct columns into one row per name."""
     items = [
@@ -38,26 +33,39 @@ def completeness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _unpivot(df.agg(*aggs), columns, "column_name", fields)
 
 
-def _distinct_with_null(column: str, approximate: bool) -> Column:
-    counted = F.approx_count_distinct(column) if approximate else F.count_distinct(column)
-    return counted + F.coalesce(F.max(F.col(column).isNull().cast("long")), F.lit(0).cast("long"))
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: exact distinct values per column as ``u0``, ``u1``, ... (NULL not counted).
+
+    Rows become (column, value) pairs that are combined in the map tasks before
+    one shuffle; any number of columns is counted side by side.
+    """
+    pairs = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)
+    ])
+    values = df.select(F.inline(pairs)).where(F.col("v").isNotNull()).groupBy("i", "v").agg(F.lit(1))
+    counts = values.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(*[
+        F.coalesce(F.max(F.when(F.col("i") == i, F.col("n"))), F.lit(0)).alias(f"u{i}") for i in range(len(columns))
+    ])
+
+
+def _null_seen(column: str) -> Column:
+    return F.coalesce(F.max(F.col(column).isNull().cast("long")), F.lit(0).cast("long"))
 
 
 def uniqueness(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
     """Per column: distinct values (NULL is one value), total and percentage."""
-    if len(columns) > MAX_EXACT_DISTINCT and not approximate:
-        raise ValueError(f"more than {MAX_EXACT_DISTINCT} exact distinct counts; pass approximate=True")
-    total = F.count(F.lit(1))
-    flat = df.agg(
-        total.alias("total_count"),
-        *[_distinct_with_null(c, approximate).alias(f"d{i}") for i, c in enumerate(columns)],
+    base = df.agg(
+        F.count(F.lit(1)).alias("total_count"), *[_null_seen(c).alias(f"z{i}") for i, c in enumerate(columns)],
+        *([F.approx_count_distinct(c).alias(f"u{i}") for i, c in enumerate(columns)] if approximate else []),
     )
+    flat = base if approximate else base.crossJoin(distinct_counts(df, columns))  # one row each
     items = [
         F.struct(
             F.lit(c).alias("column_name"),
-            F.col(f"d{i}").alias("unique_count"),
+            (F.col(f"u{i}") + F.col(f"z{i}")).alias("unique_count"),
             F.col("total_count"),
-            pct(F.col(f"d{i}"), F.col("total_count")).alias("uniqueness_percentage"),
+            pct(F.col(f"u{i}") + F.col(f"z{i}"), F.col("total_count")).alias("uniqueness_percentage"),
         )
         for i, c in enumerate(columns)
     ]
@@ -114,12 +122,13 @@ def quality_score(
     flat = df.agg(
         total.alias("_n"),
         *[F.count(c).alias(f"c{i}") for i, c in enumerate(required)],
-        *[_distinct_with_null(c, False).alias(f"u{i}") for i, c in enumerate(unique)],
+        *[_null_seen(c).alias(f"z{i}") for i, c in enumerate(unique)],
         *[count_if(F.expr(e)).alias(f"v{i}") for i, e in enumerate(rules.values())],
     )
+    flat = flat.crossJoin(distinct_counts(df, unique))  # one row each
     scored = flat.select(
         mean([share(F.col(f"c{i}")) for i in range(len(required))]).alias("completeness"),
-        mean([share(F.col(f"u{i}")) for i in range(len(unique))]).alias("uniqueness"),
+        mean([share(F.col(f"u{i}") + F.col(f"z{i}")) for i in range(len(unique))]).alias("uniqueness"),
         mean([share(F.col(f"v{i}")) for i in range(len(rules))]).alias("validity"),
     )
     a, b, c = weights
@@ -142,11 +151,10 @@ def profile(df: DataFrame, columns: Sequence[str], exact_distinct: bool = False)
     numeric = {n for n, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double")
                or t.startswith("decimal")}
     null = F.lit(None).cast("double")
-    distinct = F.count_distinct if exact_distinct else F.approx_count_distinct
     flat = df.agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[distinct(c).alias(f"d{i}") for i, c in enumerate(columns)],
+        *([] if exact_distinct else [F.approx_count_distinct(c).alias(f"u{i}") for i, c in enumerate(columns)]),
         *[F.min(c).cast("string").alias(f"lo{i}") for i, c in enumerate(columns)],
         *[F.max(c).cast("string").alias(f"hi{i}") for i, c in enumerate(columns)],
         *[(F.avg(c) if c in numeric else F.max(null)).alias(f"m{i}") for i, c in enumerate(columns)],
@@ -157,7 +165,7 @@ def profile(df: DataFrame, columns: Sequence[str], exact_distinct: bool = False)
             F.lit(c).alias("column_name"),
             F.col("_n").alias("row_count"),
             (F.col("_n") - F.col(f"n{i}")).alias("null_count"),
-            F.col(f"d{i}").alias("distinct_count"),
+            F.col(f"u{i}").alias("distinct_count"),
             F.col(f"lo{i}").alias("min_value"),
             F.col(f"hi{i}").alias("max_value"),
             F.col(f"m{i}").alias("mean"),
@@ -165,6 +173,8 @@ def profile(df: DataFrame, columns: Sequence[str], exact_distinct: bool = False)
         )
         for i, c in enumerate(columns)
     ]
+    if exact_distinct:
+        flat = flat.crossJoin(distinct_counts(df, columns))  # one row each
     return flat.select(F.inline(F.array(*items)))
 
 

@@ -9,12 +9,6 @@ from pyspark.sql import functions as F
 
 from millrace.common import all_of, durable, micros
 
-#: A key with more rows than this is split by range instead of windowed whole.
-HOT_KEY_ROWS = 5_000_000
-
-#: Above this many hot keys their list is joined instead of broadcast.
-MAX_BROADCAST_KEYS = 100_000
-
 MINUTE_US = 60_000_000
 
 
@@ -91,11 +85,6 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     )
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Keys that own more than ``limit`` rows, with their count (map-side combined)."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-
-
 def _same(left: str, right: str, keys: Sequence[str]) -> Column:
     """Key equality in which NULL equals NULL, as it does in a window."""
     return all_of([F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
@@ -108,61 +97,45 @@ def carry_forward(
     value: Column,
     out: str,
     include_current: bool = True,
-    hot_key_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
     """Add the last non-NULL ``value`` seen in key order up to each row.
 
-    ``order`` columns ascend and should end in a unique tie-break. Keys of
-    ordinary size use one window per key, which is one shuffle. A key above
-    ``hot_key_rows`` is sorted over many tasks by range: each task carries
-    values forward within its range, and the last value of every range (one row
-    per task and key) is handed to the ranges after it. Rows, not groups, are
-    what is balanced, so a key or instant with a third of all rows is harmless.
+    ``order`` columns ascend and should end in a unique tie-break. Rows, not
+    keys, are what is balanced: all rows are cut into ranges of (keys, order),
+    values are carried inside a range, and the last value of every key in a
+    range (one row) is handed to the ranges after it. A key or instant with a
+    third of all rows is therefore cut like any other.
     """
     last = 0 if include_current else -1
-    valued = df.withColumn("_v", value)
-
-    hot = durable(hot_keys(df, keys, hot_key_rows))
-    n_hot, n_rows = hot.agg(F.count(F.lit(1)), F.sum("_n")).first()
-    whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     seen = F.last("_v", ignorenulls=True)
-    if n_hot == 0:
-        return valued.withColumn(out, seen.over(whole)).drop("_v")
-    hot = hot.select(*keys)
-    if n_hot <= MAX_BROADCAST_KEYS:
-        hot = F.broadcast(hot)
-
-    is_hot = _same("d", "h", keys)
-    cold = valued.alias("d").join(hot.alias("h"), is_hot, "left_anti").withColumn(out, seen.over(whole))
-
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_rows // HOT_KEY_ROWS + 1)
     # Stored, because the range bounds are sampled: both uses below must see the same ranges.
     ranged = durable(
-        valued.alias("d").join(hot.alias("h"), is_hot, "left_semi")
-        .repartitionByRange(tasks, *keys, *order)
-        .withColumn("_range", F.spark_partition_id())
+        df.withColumn("_v", value).repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
     )
     part_keys = ["_range", *keys]
     tails = ranged.groupBy(*part_keys).agg(
         F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_tail")
     )
+    # One row per range in which the key occurs.
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tails.select(*part_keys, F.last("_tail", ignorenulls=True).over(earlier).alias("_carried"))
+    carried = tails.select(*part_keys, F.last("_tail", ignorenulls=True).over(earlier).alias("_carried")).where(
+        F.col("_carried").isNotNull()
+    )
     part = Window.partitionBy(*part_keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
-    split = (
+    return (
         ranged.withColumn(out, seen.over(part)).alias("d")
         .join(carried.alias("h"), _same("d", "h", part_keys), "left")
         .select("d.*", "_carried")
         .withColumn(out, F.coalesce(F.col(out), F.col("_carried")))
+        .drop("_v", "_range", "_carried")
     )
-    return cold.unionByName(split.select(*cold.columns)).drop("_v")
 
 
 IMAGE_VIEWS = ("KEYS_ONLY", "NEW_IMAGE", "OLD_IMAGE", "NEW_AND_OLD_IMAGES")
 
 
 def change_feed_images(
-    df: DataFrame, keys: Sequence[str], seq: str, columns: Sequence[str], view: str = "NEW_AND_OLD_IMAGES", **options
+    df: DataFrame, keys: Sequence[str], seq: str, columns: Sequence[str], view: str = "NEW_AND_OLD_IMAGES"
 ) -> DataFrame:
     """Change records of a keyed table with the image columns the view type asks for."""
     if view not in IMAGE_VIEWS:
@@ -173,7 +146,7 @@ def change_feed_images(
     if view == "NEW_IMAGE":
         return df.select(*keys, seq, *new)
     slim = df.select(*keys, seq, *columns)
-    imaged = carry_forward(slim, keys, [seq], F.struct(*columns), "_old", include_current=False, **options)
+    imaged = carry_forward(slim, keys, [seq], F.struct(*columns), "_old", include_current=False)
     old = [F.col(f"_old.{c}").alias(f"old_{c}") for c in columns]
     return imaged.select(*keys, seq, *(new if view == "NEW_AND_OLD_IMAGES" else []), *old)
 
@@ -186,12 +159,12 @@ def point_in_time(
     feature_time: str,
     feature_columns: Sequence[str],
     tie: str,
-    **options,
 ) -> DataFrame:
     """Latest feature row at or before each label's time; NULLs where there is none.
 
     Labels and features are unioned and carried forward, so the cost is one sort
     of both and never a range join. ``tie`` (a column of both) orders equal times.
+    A NULL key has no features, and a feature or label without a time meets none.
     """
     image = F.struct(F.col(feature_time).alias("feature_time"), *feature_columns)
     # Types are taken from a frame with the image column, NULL on the label side.
@@ -205,7 +178,7 @@ def point_in_time(
         F.struct(*kept).alias("_label"),
     )
     both = left.unionByName(right, allowMissingColumns=True)
-    filled = carry_forward(both, [key], ["_us", "_kind", "_tie"], F.col("_image"), "_found", **options)
+    filled = carry_forward(both, [key], ["_us", "_kind", "_tie"], F.when(F.col(key).isNotNull() & F.col("_us").isNotNull(), F.col("_image")), "_found")
     return filled.where(F.col("_kind") == 1).select(
         key, "_label.*", F.col("_found.feature_time").alias("feature_time"),
         *[F.col(f"_found.{c}").alias(c) for c in feature_columns],
@@ -213,9 +186,12 @@ def point_in_time(
 
 
 def first_follow_up(
-    rows: DataFrame, follow_ups: DataFrame, key: str, ts: str, tie: str, **options
+    rows: DataFrame, follow_ups: DataFrame, key: str, ts: str, tie: str
 ) -> DataFrame:
-    """Add ``follow_up_us``: time of the first follow-up at or after each row, per key."""
+    """Add ``follow_up_us``: time of the first follow-up at or after each row, per key.
+
+    A row without a key has none.
+    """
     left = rows.select(
         F.col(key), (-micros(F.col(ts))).alias("_rev"), F.lit(1).alias("_kind"), (-F.col(tie)).alias("_tie"),
         F.struct(*[c for c in rows.columns if c != key]).alias("_row"),
@@ -225,19 +201,19 @@ def first_follow_up(
         micros(F.col(ts)).alias("_at"),
     )
     both = left.unionByName(right, allowMissingColumns=True)
-    filled = carry_forward(both, [key], ["_rev", "_kind", "_tie"], F.col("_at"), "follow_up_us", **options)
+    filled = carry_forward(both, [key], ["_rev", "_kind", "_tie"], F.when(F.col(key).isNotNull(), F.col("_at")), "follow_up_us")
     return filled.where(F.col("_kind") == 1).select(key, "_row.*", "follow_up_us")
 
 
 def alert_escalation(
-    alerts: DataFrame, acks: DataFrame, key: str, ts: str, tie: str, waits: Sequence[int] = (300,), **options
+    alerts: DataFrame, acks: DataFrame, key: str, ts: str, tie: str, waits: Sequence[int] = (300,)
 ) -> DataFrame:
     """Per alert and wait in seconds: RESOLVED when acknowledged in time, else ESCALATED.
 
     Only the first acknowledgement after an alert matters, so no alert is paired
     with more than one and the cost does not grow with the acknowledgements per key.
     """
-    found = first_follow_up(alerts, acks, key, ts, tie, **options)
+    found = first_follow_up(alerts, acks, key, ts, tie)
     each = found.withColumn("wait_seconds", F.explode(F.array(*[F.lit(w) for w in waits])))
     deadline = micros(F.col(ts)) + F.col("wait_seconds").cast("long") * 1_000_000
     in_time = F.coalesce(F.col("follow_up_us") <= deadline, F.lit(False))

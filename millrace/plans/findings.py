@@ -28,7 +28,7 @@ def finding_rows(spark, sf):
 FINDINGS = """
 f0 as (
   select event_id, case user_id % 5 when 0 then 'semgrep' when 1 then 'checkov' when 2 then 'cfn-lint'
-           when 3 then 'safety' else 'detect-secrets' end as tool, 'scan' || (event_id % 211) as scan,
+           when 3 then 'safety' when 4 then 'detect-secrets' end as tool, 'scan' || (event_id % 211) as scan,
          case event_type when 'error' then 'error' when 'click' then 'warning' when 'purchase' then 'high'
            when 'signup' then 'critical' else 'note' end as sev from events),
 findings as (
@@ -53,24 +53,25 @@ def findings_severity_counts(spark, sf):
 with {FINDINGS},
 c as (select scan, count(*) as total_issues, count(*) filter (where level = 'high') as high_severity,
              count(*) filter (where level = 'medium') as medium_severity, count(*) filter (where level = 'low') as low_severity
-      from findings where tool = 'cfn-lint' group by 1)
+      from findings group by 1)
 select *, case when high_severity > 0 then 'HIGH' when medium_severity > 5 then 'MEDIUM' when low_severity > 10 then 'LOW'
                else 'MINIMAL' end as risk_level from c
 """)
 def findings_risk_summary(spark, sf):
-    rated = FD.normalise(finding_rows(spark, sf).where("tool = 'cfn-lint'"), "tool", "severity", TOOL_SCALES)
+    rated = FD.normalise(finding_rows(spark, sf), "tool", "severity", TOOL_SCALES)
     return FD.risk_summary(FD.severity_counts(rated, ["scan", "tool"]), ["scan"])
 
 
 @query("union_findings", """
-select 'code' as source, event_id, event_type as rule, null::varchar as package from events where event_type = 'error'
+select 'code' as source, event_id, event_type as rule, null::varchar as package from events
+where event_type is null or event_type not in ('purchase', 'signup')
 union all select 'dependencies', event_id, null, props from events where event_type = 'purchase'
 union all select 'secrets', event_id, event_type, props from events where event_type = 'signup'
 """)
 def union_findings(spark, sf):
     e = table(spark, sf, "events")
     return FD.union_findings({
-        "code": e.where("event_type = 'error'").select("event_id", F.col("event_type").alias("rule")),
+        "code": e.where("event_type is null or event_type not in ('purchase', 'signup')").select("event_id", F.col("event_type").alias("rule")),
         "dependencies": e.where("event_type = 'purchase'").select("event_id", F.col("props").alias("package")),
         "secrets": e.where("event_type = 'signup'").select(
             "event_id", F.col("event_type").alias("rule"), F.col("props").alias("package")),

@@ -19,12 +19,14 @@ EVENT_COLUMNS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type s
 def scan_csv(spark, sf):
     orders = table(spark, sf, "orders")
     root = shared_dir(spark, "csv")
-    orders.where("o_orderstatus = 'F'").write.option("header", True).csv(f"{root}/1996/01")
-    orders.where("o_orderstatus <> 'F'").write.option("header", True).csv(f"{root}/other")
+    first = F.coalesce(F.col("o_orderstatus") == "F", F.lit(False))
+    orders.where(first).write.option("header", True).csv(f"{root}/1996/01")
+    orders.where(~first).write.option("header", True).csv(f"{root}/other")
     return files.read_csv(spark, root, orders.schema)
 
 
-FORMATS = {"click": "csv", "error": "json", "purchase": "orc", "signup": "xml", "view": "parquet"}
+#: Event types by the format they are stored in; all others are stored as Parquet.
+FORMATS = {"click": "csv", "error": "json", "purchase": "orc", "signup": "xml", None: "parquet"}
 
 
 @query("scan_multiformat", "select * from events")
@@ -33,7 +35,8 @@ def scan_multiformat(spark, sf):
     root = shared_dir(spark, "formats")
     for kind, extension in FORMATS.items():
         fmt, defaults = files.READERS[extension]
-        part = events.where(F.col("event_type") == kind)
+        known = F.coalesce(F.col("event_type").isin(*filter(None, FORMATS)), F.lit(False))
+        part = events.where(F.col("event_type") == kind if kind else ~known)
         part.write.format(fmt).options(**defaults).options(**MICROS).save(f"{root}/{kind}")
     options = {e: MICROS for e in ("csv", "json", "xml")}
     return files.read_by_extension(spark, root, list(FORMATS.values()), EVENT_COLUMNS, options)
@@ -66,12 +69,13 @@ def file_size_gate(spark, sf):
 
 @query("schema_evolution_merge", """
 select c_custkey, c_name, c_acctbal, null::varchar as segment from customer where c_acctbal < 0
-union all select c_custkey, c_name, null, c_mktsegment from customer where c_acctbal >= 0
+union all select c_custkey, c_name, null, c_mktsegment from customer where c_acctbal >= 0 or c_acctbal is null
 """)
 def schema_evolution_merge(spark, sf):
     customer = table(spark, sf, "customer")
-    old = customer.where("c_acctbal < 0").select("c_custkey", "c_name", "c_acctbal")
-    new = customer.where("c_acctbal >= 0").select("c_custkey", "c_name", F.col("c_mktsegment").alias("segment"))
+    first = F.coalesce(F.col("c_acctbal") < 0, F.lit(False))
+    old = customer.where(first).select("c_custkey", "c_name", "c_acctbal")
+    new = customer.where(~first).select("c_custkey", "c_name", F.col("c_mktsegment").alias("segment"))
     return files.evolve(old, new)
 
 
@@ -173,14 +177,15 @@ def lineage_log(spark, sf):
 
 
 @query("feature_offline_append", """
-select user_id as record_id, ts as event_time, value, cast(ts as date) as event_date from events where event_type in ('purchase', 'view')
+select user_id as record_id, ts as event_time, value, cast(ts as date) as event_date from events
 """)
 def feature_offline_append(spark, sf):
     path = shared_dir(spark, "features")
     rows = table(spark, sf, "events").select(F.col("user_id").alias("record_id"), F.col("ts").alias("event_time"), "value", "event_type")
-    for kind in ("purchase", "view"):
-        tables.append_features(rows.where(F.col("event_type") == kind).drop("event_type"), path, "event_time")
-    return spark.read.parquet(path)
+    first = F.coalesce(F.col("event_type").isin("purchase", "view"), F.lit(False))
+    for run, part in (("first", rows.where(first)), ("second", rows.where(~first)), ("second", rows.where(~first))):
+        tables.append_features(part.drop("event_type"), path, "event_time", run)  # a repeated run replaces itself
+    return tables.read_features(spark, path, rows.drop("event_type").schema)
 
 
 @query("metric_rows_append", f"""
@@ -200,7 +205,7 @@ select event_id, event_type, case when event_type in ('click', 'error') then 1 e
 def incremental_bookmark(spark, sf):
     root = shared_dir(spark, "bookmark")
     events = table(spark, sf, "events").select("event_id", "event_type")
-    first = F.col("event_type").isin("click", "error")
+    first = F.coalesce(F.col("event_type").isin("click", "error"), F.lit(False))
     for run, part in ((1, events.where(first)), (2, events.where(~first))):
         part.write.mode("append").parquet(f"{root}/in")
         stream = jobs.file_stream(spark, f"{root}/in", events.schema, "parquet").withColumn("run", F.lit(run))
@@ -210,7 +215,7 @@ def incremental_bookmark(spark, sf):
 
 
 @query("bookmark_ledger", """
-select c_custkey from customer where c_acctbal >= 0
+select c_custkey from customer where c_acctbal >= 0 or c_acctbal is null
 """)
 def bookmark_ledger(spark, sf):
     root = shared_dir(spark, "ledger")

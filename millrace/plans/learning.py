@@ -54,9 +54,36 @@ def ml_random_forest(spark, sf):
         F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"))
 
 
+@query("ml_random_forest_check", f"""
+select part, count(*) as n, true as beats_chance, true as known_labels from (
+  select case when {bucket_sql("('42:' || vec_id)")} < 2000 then 'test' else 'train' end as part from embeddings) group by 1
+""")
+def ml_random_forest_check(spark, sf):
+    """Rows per part, and that predictions are labels and fit the training rows better than chance."""
+    model, parts = _forest(spark, sf)
+    scored = ML.batch_score(model, parts, "embedding")
+    labels = [r[0] for r in parts.select("label").distinct().limit(1000).collect()]
+    right = F.avg((F.col("label") == F.col("prediction")).cast("double"))
+    return scored.groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.when(F.col("part") == "test", F.lit(True)).otherwise(right > 2.0 / max(1, len(labels))).alias("beats_chance"),
+        F.bool_and(F.col("prediction").isin(labels)).alias("known_labels"))
+
+
+@query("ml_batch_score_check", f"""
+select vec_id, case when {bucket_sql("('42:' || vec_id)")} < 2000 then 'test' else 'train' end as part, label, true as known_label
+from embeddings
+""")
+def ml_batch_score_check(spark, sf):
+    """Every row once, with its part and a prediction that is one of the labels."""
+    scored = ml_batch_score(spark, sf)
+    labels = table(spark, sf, "embeddings").select(F.col("label").alias("prediction"), F.lit(True).alias("known_label")).distinct()
+    return scored.join(labels, "prediction", "left").select("vec_id", "part", "label", F.coalesce("known_label", F.lit(False)).alias("known_label"))
+
+
 @query("ml_batch_score")
 def ml_batch_score(spark, sf):
-    model, parts = _forest(spark, sf, numTrees=20)
+    model, parts = _forest(spark, sf)
     return ML.batch_score(model, parts, "embedding").select("vec_id", "part", "label", "prediction")
 
 

@@ -10,21 +10,26 @@ from millrace.plans.reconciliation import CHANGES_SQL, order_changes
 from millrace.plans.registry import query, table
 from millrace.streaming import jobs, state
 
-WEEKS = ("2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "2024-02-01")
+#: Bounds between the drops of a replay. The first drop is open below and has the
+#: rows without a time, the last is open above: together they are the whole table.
+DROPS = ("2024-01-08", "2024-01-15", "2024-01-22")
+DROP_SQL = " + ".join(f"case when ts >= timestamp '{d}' then 1 else 0 end" for d in DROPS)
+
+
+def drop_number(ts):
+    reached = [F.when(ts >= F.lit(d).cast("timestamp_ntz"), 1).otherwise(0) for d in DROPS]
+    return reached[0] + reached[1] + reached[2]
 
 
 def replay(events, root, writer_of):
-    """Deliver events as weekly drops, oldest first, and run the stream after each drop.
+    """Deliver all events in drops, oldest first, and run the stream after each drop.
 
     Every run starts from the checkpoint of the one before and sees only the new
     files; returns the last run.
     """
-    spark = events.sparkSession
-    day = lambda d: F.lit(d).cast("timestamp_ntz")
     done = None
-    for lo, hi in zip(WEEKS, WEEKS[1:]):
-        drop = events.where((F.col("ts") >= day(lo)) & (F.col("ts") < day(hi)))
-        done = deliver(drop, root, writer_of)
+    for number in range(len(DROPS) + 1):
+        done = deliver(events.where(drop_number(F.col("ts")) == number), root, writer_of)
     return done
 
 
@@ -131,14 +136,15 @@ def multi_sink_fanout(spark, sf):
 
 
 @query("stream_sliding_count", """
-select event_id, ts, cast(count(*) over (order by ts range between interval 1 minute preceding and current row) as integer) as record_count
+select event_id, ts, case when ts is not null then
+         cast(count(*) over (order by ts range between interval 1 minute preceding and current row) as integer) end as record_count
 from events
 """)
 def stream_sliding_count(spark, sf):
     root = shared_dir(spark, "sliding")
     job = state.SlidingCountStream(root)
     done = replay(table(spark, sf, "events").select("event_id", "ts"), root, job.writer)
-    return job.finish(spark, last_batch(done))
+    return job.finish(spark, last_batch(done)).drop("late")
 
 
 @query("stream_tumbling_metrics", """
@@ -181,13 +187,16 @@ union all select o_orderkey, o_totalprice, o_orderstatus from last where op <> '
 """)
 def stream_cdc_apply(spark, sf):
     root = shared_dir(spark, "cdc")
+    kept = state.KeyedTable(f"{root}/table", ["o_orderkey"], "seq")
     orders = table(spark, sf, "orders")
     load = orders.select("o_orderkey", F.lit("I").alias("op"), F.lit(0).cast("long").alias("seq"), "o_totalprice", "o_orderstatus")
     changes = order_changes(orders)
     # Later changes are delivered first: the order of arrival must not matter.
     for drop in (load, changes.where("seq >= 2"), changes.where("seq < 2")):
-        deliver(drop, root, lambda stream: state.apply_change_stream(stream, f"{root}/table", ["o_orderkey"], buckets=8))
-    return state.current_rows(spark, f"{root}/table", "op").drop("seq")
+        deliver(drop, root, lambda stream: state.apply_change_stream(stream, kept))
+        if drop is load:
+            kept.compact(spark)
+    return kept.rows(spark, "op").drop("seq")
 
 
 @query("stream_keyed_state", """
@@ -195,22 +204,23 @@ select user_id, count(*) as events, round(sum(value), 4) as total, max(ts) as la
 """)
 def stream_keyed_state(spark, sf):
     root = shared_dir(spark, "keyed")
+    kept = state.KeyedTable(f"{root}/table", ["user_id"], "events")
 
     def writer(stream):
         running = stream.groupBy("user_id").agg(
             F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"), F.max("ts").alias("last_seen"))
-        return state.keyed_state_stream(running, f"{root}/table", ["user_id"], "events", buckets=8)
+        return state.keyed_state_stream(running, kept)
 
     replay(table(spark, sf, "events"), root, writer)
-    return state.current_rows(spark, f"{root}/table").withColumn("total", F.round("total", 4))
+    return kept.rows(spark).withColumn("total", F.round("total", 4))
 
 
 @query("stream_lag_monitor", f"""
-with w as (select case when ts < timestamp '2024-01-08' then 0 when ts < timestamp '2024-01-15' then 1 when ts < timestamp '2024-01-22' then 2 else 3 end as batch,
-                  ts from events)
-select cast(batch as integer) as batch, count(*) as records, min(ts) as oldest,
-       cast(epoch(timestamp '{EVENTS_AS_OF}') as bigint) - cast(epoch(date_trunc('second', min(ts))) as bigint) as age_seconds, true as alarm
-from w group by 1
+with w as (select {DROP_SQL} as batch, ts from events),
+s as (select cast(batch as integer) as batch, count(*) as records, min(ts) as oldest,
+             cast(epoch(timestamp '{EVENTS_AS_OF}') as bigint) - cast(epoch(date_trunc('second', min(ts))) as bigint) as age_seconds
+      from w group by 1)
+select *, age_seconds > 300 as alarm from s
 """)
 def stream_lag_monitor(spark, sf):
     root = shared_dir(spark, "lag")

@@ -10,7 +10,8 @@ from millrace.plans.registry import query, table
 
 @query("sliding_count_1m", """
 select event_id, ts as "timestamp", substr(props, 1, 32) as data,
-       cast(count(*) over (order by ts range between interval 1 minute preceding and current row) as integer) as record_count
+       case when ts is not null then
+         cast(count(*) over (order by ts range between interval 1 minute preceding and current row) as integer) end as record_count
 from events
 """)
 def sliding_count_1m(spark, sf):

@@ -42,6 +42,11 @@ def read_csv(spark: SparkSession, path: str, schema: Schema, sep: str = ",", **o
     )
 
 
+def any_case(extension: str) -> str:
+    """Glob for an extension in upper, lower or mixed case, as the file gate judges it."""
+    return "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
+
+
 def read_by_extension(
     spark: SparkSession, root: str, extensions: Sequence[str], schema: Schema,
     options: Mapping[str, Mapping[str, str]] | None = None,
@@ -57,7 +62,7 @@ def read_by_extension(
             reader = reader.schema(schema)
         try:
             frame = (
-                reader.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").load(root)
+                reader.option("recursiveFileLookup", True).option("pathGlobFilter", any_case(extension)).load(root)
             )
         except AnalysisException as exc:
             if fmt == "avro":
@@ -67,9 +72,21 @@ def read_by_extension(
     return result
 
 
-def relative_path(root: str) -> Column:
-    """Path of the row's file below ``root``."""
-    return F.substring_index(F.col("_metadata.file_path"), root.rstrip("/") + "/", -1)
+def relative_path(spark: SparkSession, root: str) -> Column:
+    """Path of the row's file below ``root``; an error for a file that is not below it.
+
+    File paths come URL-encoded and with scheme: the root is brought to the same
+    form, taken off once from the start, and the rest is decoded.
+    """
+    location = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    start = system.makeQualified(location).toUri().getRawPath().rstrip("/") + "/"
+    path = F.regexp_replace(F.col("_metadata.file_path"), r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    below = F.substr(path, F.lit(len(start) + 1))
+    decoded = F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B")))
+    return F.when(path.startswith(start), decoded).otherwise(
+        F.raise_error(F.concat(F.lit(f"not below {start}: "), path)).cast("string")
+    )
 
 
 def with_prefixes(
@@ -81,7 +98,7 @@ def with_prefixes(
     listed by the reader. The test is on file metadata, so files outside are
     skipped, not read.
     """
-    path = relative_path(root)
+    path = relative_path(df.sparkSession, root)
     kept = df.where(any_of([path.startswith(p) for p in include])) if include else df
     return kept.where(~any_of([path.startswith(p) for p in exclude])) if exclude else kept
 

@@ -58,6 +58,7 @@ def write_partitioned(
     compression: str = "SNAPPY",
     mode: str = "overwrite",
     max_records_per_file: int = 5_000_000,
+    whole: bool = False,
 ) -> None:
     """Write a Hive-style layout with few, even files.
 
@@ -65,7 +66,7 @@ def write_partitioned(
     execution split a value that is too large for one task, so a hot day is
     written by many tasks while a sparse one still gets a single file. With
     ``mode="overwrite"`` only the partitions present in ``df`` are replaced,
-    which makes a re-run idempotent.
+    which makes a re-run idempotent; ``whole`` replaces everything below ``path``.
     """
     # Files follow the partition values, not the tasks, so merging tasks would
     # save no file and only make the write slower.
@@ -75,7 +76,7 @@ def write_partitioned(
             .write.mode(mode)
             .format(fmt)
             .option("compression", codec(compression))
-            .option("partitionOverwriteMode", "dynamic")
+            .option("partitionOverwriteMode", "static" if whole else "dynamic")
             .option("maxRecordsPerFile", max_records_per_file)
             .partitionBy(*partition_by)
             .save(path)
@@ -136,7 +137,7 @@ def append_lineage(
     spark: SparkSession, path: str, job_name: str, source_path: str, target_path: str, transformation_type: str,
     job_run_id: str,
 ) -> None:
-    """Append one lineage record per transformation."""
+    """Add the lineage record of a transformation; the record of a repeated run replaces itself."""
     record = spark.range(1).select(
         F.lit(job_name).alias("job_name"),
         F.lit(source_path).alias("source_path"),
@@ -145,7 +146,8 @@ def append_lineage(
         F.current_timestamp().alias("timestamp"),
         F.lit(job_run_id).alias("job_run_id"),
     )
-    record.coalesce(1).write.mode("append").parquet(path)
+    write_run = record.coalesce(1).withColumn("run", F.col("job_run_id")).withColumn("step", F.col("transformation_type"))
+    write_run.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "step").parquet(path)
 
 
 def split_write(df: DataFrame, good: Column, good_path: str, bad_path: str) -> tuple[DataFrame, DataFrame]:
@@ -163,9 +165,20 @@ def split_write(df: DataFrame, good: Column, good_path: str, bad_path: str) -> t
     return spark.read.schema(df.schema).parquet(good_path), spark.read.schema(df.schema).parquet(bad_path)
 
 
-def append_features(df: DataFrame, path: str, event_time: str) -> None:
-    """Append feature rows to an offline store, partitioned by event date."""
-    write_partitioned(df.withColumn("event_date", F.to_date(event_time)), path, ["event_date"], mode="append")
+def append_features(df: DataFrame, path: str, event_time: str, run_id: str) -> None:
+    """Add the feature rows of a run to an offline store, partitioned by event date.
+
+    The run is the outer partition: a run that is repeated replaces its own
+    rows, also where they fall on other dates than before.
+    """
+    dated = df.withColumn("event_date", F.to_date(event_time))
+    write_partitioned(dated, f"{path.rstrip('/')}/run={run_id}", ["event_date"], whole=True)
+
+
+def read_features(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All runs of an offline store with their event date."""
+    fields = [*schema.fields, T.StructField("event_date", T.DateType()), T.StructField("run", T.StringType())]
+    return spark.read.schema(T.StructType(fields)).parquet(path).drop("run")
 
 
 def clean_csv_to_lake(spark: SparkSession, source: str, target: str, schema: T.StructType | str, **options) -> None:

@@ -92,12 +92,14 @@ def process_events(parsed: DataFrame, required: Sequence[str] = ("id", "event_ty
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = ()) -> None:
-    """Write one micro-batch. The batch number is the innermost partition, so a
-    replayed batch replaces itself and nothing else."""
+    """Write one micro-batch. The batch number is the outermost partition and is
+    replaced whole, so a replayed batch replaces itself and nothing else, also
+    when its rows fall in other partitions than before. Rows meet by partition
+    first: a batch writes few files to each."""
+    rows = df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else df
     (
-        df.withColumn("batch", F.lit(batch_id))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition_by, "batch").parquet(path)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        .partitionBy(*partition_by).parquet(f"{path.rstrip('/')}/batch={batch_id}")
     )
 
 
@@ -194,7 +196,8 @@ def lag_rows(stream: DataFrame, ts: str, path: str, now: Column, alarm_seconds:
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         age = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.min(ts).cast("timestamp"))
         summary = batch.agg(F.count(F.lit(1)).alias("records"), F.min(ts).alias("oldest"), age.alias("age_seconds"))
-        write_batch(summary.withColumn("alarm", F.col("age_seconds") > alarm_seconds), path, batch_id)
+        judged = summary.withColumn("alarm", F.col("age_seconds") > alarm_seconds)
+        write_batch(judged.where(F.col("records") > 0), path, batch_id)
 
     return stream.writeStream.foreachBatch(on_batch)
 

@@ -13,14 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from millrace.common import durable, hash_bucket, micros
+from millrace.common import durable, micros
 from millrace.operators import timeline
 from millrace.operators.cdc import reduce_changes
 
-#: Buckets a keyed table is stored in; a batch rewrites only those it touches.
-KEY_BUCKETS = 64
-
-
 def _load(spark: SparkSession, path: str) -> DataFrame | None:
     """Table at ``path``; None before its first write."""
     try:
@@ -31,54 +27,72 @@ def _load(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def _key_bucket(keys: Sequence[str], buckets: int) -> Column:
-    return hash_bucket(F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys]), buckets).cast("int")
-
-
-def upsert_batch(
-    changes: DataFrame, table: str, keys: Sequence[str], seq: str, buckets: int = KEY_BUCKETS
-) -> None:
-    """Merge changes into a bucketed table; the highest ``seq`` per key wins.
-
-    Only touched buckets are read and replaced. Removed keys stay as marked rows,
-    so that an older change that arrives later cannot bring them back.
+def finished(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers of the completed writes ``name=N`` below a path."""
+    file_path = spark._jvm.org.apache.hadoop.fs.Path
+    location = file_path(path)
+    files = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(location):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(location)]
+    numbers = [int(n.partition("=")[2]) for n in names if n.startswith(f"{name}=")]
+    return sorted(n for n in numbers if files.exists(file_path(f"{path}/{name}={n}/_SUCCESS")))
+
+
+class KeyedTable:
+    """Keyed table kept by a stream: an immutable base and one immutable delta per batch.
+
+    A batch writes its own changes only, whatever the size of the table; a
+    replayed batch replaces its own delta. The current image is the row with the
+    highest ``seq`` per key over the newest complete base and the deltas after it.
+    ``compact`` writes a new base beside the old one: it counts once its success
+    marker is there, so a driver lost on the way leaves the old image intact.
+    Removed keys stay as marked rows, so that an older change that arrives later
+    cannot bring them back.
     """
-    spark = changes.sparkSession
-    latest = reduce_changes(changes, keys, seq).withColumn("_bucket", _key_bucket(keys, buckets))
-    stored = _load(spark, table)
-    if stored is not None:
-        # At most ``buckets`` numbers come to the driver; they prune the scan.
-        touched = [r[0] for r in latest.select("_bucket").distinct().collect()]
-        old = stored.where(F.col("_bucket").isin(touched)) if touched else stored.where(F.lit(False))
-        latest = reduce_changes(latest.unionByName(old.select(*latest.columns)), keys, seq)
-        # Stored first: the files it was read from are the ones replaced below.
-        latest = durable(latest)
-    (
-        latest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(table)
-    )
-
-
-def current_rows(spark: SparkSession, table: str, op: str | None = None) -> DataFrame:
-    """Current image of a bucketed table without removed rows."""
-    rows = spark.read.parquet(table).drop("_bucket")
-    return rows if op is None else rows.where(F.col(op) != "D").drop(op)
-
-
-def apply_change_stream(
-    stream: DataFrame, table: str, keys: Sequence[str], seq: str = "seq", buckets: int = KEY_BUCKETS
-) -> DataStreamWriter:
+
+    def __init__(self, path: str, keys: Sequence[str], seq: str):
+        self.path, self.keys, self.seq = path.rstrip("/"), list(keys), seq
+
+    def write(self, changes: DataFrame, batch_id: int) -> None:
+        latest = reduce_changes(changes, self.keys, self.seq)
+        latest.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
+            f"{self.path}/delta/batch={batch_id}")
+
+    def _parts(self, spark: SparkSession) -> tuple[list[str], int]:
+        """Folders of the newest complete image, and the last batch in them."""
+        bases = finished(spark, f"{self.path}/base", "upto")
+        upto = bases[-1] if bases else -1
+        deltas = [n for n in finished(spark, f"{self.path}/delta", "batch") if n > upto]
+        parts = [f"{self.path}/base/upto={upto}"] if bases else []
+        return parts + [f"{self.path}/delta/batch={n}" for n in deltas], max([upto, *deltas])
+
+    def image(self, spark: SparkSession) -> DataFrame:
+        """Current rows, removed ones with their mark."""
+        parts, _ = self._parts(spark)
+        return reduce_changes(spark.read.parquet(*parts), self.keys, self.seq)
+
+    def compact(self, spark: SparkSession) -> None:
+        """Fold the finished deltas into a new base."""
+        parts, upto = self._parts(spark)
+        if len(parts) > 1:
+            self.image(spark).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
+                f"{self.path}/base/upto={upto}")
+
+    def rows(self, spark: SparkSession, op: str | None = None) -> DataFrame:
+        """Current image without removed rows."""
+        image = self.image(spark)
+        return image if op is None else image.where(F.col(op) != "D").drop(op)
+
+
+def apply_change_stream(stream: DataFrame, table: KeyedTable) -> DataStreamWriter:
     """Keep a table current with a change feed, whatever the batch boundaries."""
-    return stream.writeStream.foreachBatch(lambda batch, _: upsert_batch(batch, table, keys, seq, buckets))
+    return stream.writeStream.foreachBatch(table.write)
 
 
-def keyed_state_stream(
-    grouped: DataFrame, table: str, keys: Sequence[str], version: str, buckets: int = KEY_BUCKETS
-) -> DataStreamWriter:
-    """Upsert the running aggregates of a stream; ``version`` grows with each update of a key."""
-    return (
-        grouped.writeStream.outputMode("update")
-        .foreachBatch(lambda batch, _: upsert_batch(batch, table, keys, version, buckets))
-    )
+def keyed_state_stream(grouped: DataFrame, table: KeyedTable) -> DataStreamWriter:
+    """Upsert the running aggregates of a stream; the table's ``seq`` grows with each update of a key."""
+    return grouped.writeStream.outputMode("update").foreachBatch(table.write)
 
 
 class SlidingCountStream:
@@ -86,7 +100,8 @@ class SlidingCountStream:
 
     A row is final once the newest event is ``delay_us`` later. Each batch counts
     the rows that became final, with the rows of the window before them carried
-    over. Rows that arrive later than that are stored apart under ``late``.
+    over. Rows that arrive later than that are stored apart and come back from
+    ``finish`` with ``late`` set and no count; rows without a time have no count either.
     Within a live stream all new rows fall in the newest time slices; the count
     stays parallel because it aggregates instants before it shuffles.
     """
@@ -101,6 +116,8 @@ class SlidingCountStream:
     def _emit(self, rows: DataFrame, batch_id: int, horizon: int | None) -> None:
         us = micros(F.col(self.ts))
         final = rows if horizon is None else rows.where(us < horizon)
+        if horizon is not None:
+            final = final.unionByName(rows.where(us.isNull()))  # a row without a time is final at once
         counted = timeline.sliding_count(final, self.ts, self.window_us)
         counted.where(~F.col("_done")).drop("_done").write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
 
@@ -111,7 +128,7 @@ class SlidingCountStream:
         if carried is not None:
             before = carried.agg(F.max(us)).first()[0]
             if before is not None:
-                late = us < before - self.delay_us
+                late = F.coalesce(us < before - self.delay_us, F.lit(False))
                 fresh.where(late).drop("_done").write.mode("overwrite").parquet(f"{self.late}/batch={batch_id}")
                 fresh = fresh.where(~late)
             fresh = fresh.unionByName(carried)
@@ -130,7 +147,12 @@ class SlidingCountStream:
         carried = self._carried(spark, last_batch)
         if carried is not None:
             self._emit(carried, last_batch + 1, None)
-        return spark.read.parquet(self.out).drop("batch")
+        counted = spark.read.parquet(self.out).drop("batch").withColumn("late", F.lit(False))
+        late = _load(spark, self.late)
+        if late is None:
+            return counted
+        missed = late.drop("batch").withColumn("late", F.lit(True))
+        return counted.unionByName(missed, allowMissingColumns=True)
 
 
 class AlertEscalationStream:
@@ -167,6 +189,7 @@ class AlertEscalationStream:
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
         us = micros(F.col(self.ts))
         carried = _load(batch.sparkSession, f"{self.carry}/batch={batch_id - 1}")
+        batch = batch.where(self.is_alert | self.is_ack)
         rows = durable(batch if carried is None else batch.unionByName(carried.select(*batch.columns)))
         newest = rows.agg(F.max(us)).first()[0]
         self._decide(rows, batch_id, 0 if newest is None else newest - self.delay_us)

@@ -93,10 +93,87 @@ def test_local_scratch_is_refused_on_a_cluster(monkeypatch):
 def test_upserts_do_not_depend_on_arrival(spark, tmp_path, rows):
     change = lambda *r: spark.createDataFrame([r], "k int, op string, seq long, v string")
     steps = [change(1, "D", 5, None), change(1, "U", 4, "old"), change(2, "I", 1, "a"), change(2, "U", 2, "b"), change(2, "I", 1, "a")]
-    table = str(tmp_path / "t")
-    for c in steps:
-        state.upsert_batch(c, table, ["k"], "seq", buckets=4)
-    assert rows(state.current_rows(spark, table, "op").select("k", "v")) == [(2, "b")]
+    table = state.KeyedTable(str(tmp_path / "t"), ["k"], "seq")
+    for number, c in enumerate(steps):
+        table.write(c, number)
+        if number == 2:
+            table.compact(spark)
+    assert rows(table.rows(spark, "op").select("k", "v")) == [(2, "b")]
+
+
+def test_keyed_table_survives_a_lost_driver(spark, tmp_path, rows, monkeypatch):
+    change = lambda k, seq, v: spark.createDataFrame([(k, "U", seq, v)], "k int, op string, seq long, v string")
+    table = state.KeyedTable(str(tmp_path / "t"), ["k"], "seq")
+    table.write(change(1, 1, "a").unionByName(change(2, 1, "b")), 0)
+    table.write(change(1, 2, "c"), 1)
+    # Lost while the new base is written: files are there, the success marker is not.
+    table.compact(spark)
+    (tmp_path / "t" / "base" / "upto=1" / "_SUCCESS").unlink()
+    assert rows(table.rows(spark).select("k", "v")) == [(1, "c"), (2, "b")]
+    table.compact(spark)
+    assert rows(table.rows(spark).select("k", "v")) == [(1, "c"), (2, "b")]
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "t" / "base").rglob("*.parquet")}
+    for _ in range(2):  # a replayed batch replaces its own delta; the base is not touched
+        table.write(change(2, 3, "d"), 2)
+    assert before == {f: f.stat().st_mtime_ns for f in (tmp_path / "t" / "base").rglob("*.parquet")}
+    assert rows(table.rows(spark).select("k", "v")) == [(1, "c"), (2, "d")]
+
+
+def test_replay_of_an_etl_batch_in_another_hour(spark, tmp_path):
+    df = spark.range(3).withColumn("hour", F.lit("00"))
+    for hour in ("00", "01"):
+        jobs.write_batch(df.withColumn("hour", F.lit(hour)), str(tmp_path / "lake"), 7, ["hour"])
+    assert spark.read.parquet(str(tmp_path / "lake")).count() == 3
+
+
+def test_runs_that_repeat_replace_themselves(spark, tmp_path):
+    path = str(tmp_path / "f")
+    rows = lambda day: spark.range(4).select("id", F.lit(day).cast("timestamp_ntz").alias("ts"))
+    for run, day in (("a", "2024-01-01"), ("b", "2024-01-01"), ("b", "2024-01-02")):
+        tables.append_features(rows(day), path, "ts", run)
+    read = tables.read_features(spark, path, rows("2024-01-01").schema)
+    assert sorted(r[0].day for r in read.groupBy("event_date").count().select("event_date").collect()) == [1, 2]
+    assert read.count() == 8
+    for _ in range(2):
+        tables.append_lineage(spark, f"{path}-log", "job", "s", "t", "clean", "run-1")
+    assert spark.read.parquet(f"{path}-log").count() == 1
+
+
+def test_prefixes_of_awkward_roots(spark, tmp_path):
+    root = tmp_path / "a b+c"
+    inner = f"{root}{root}/incoming/x"  # the root's own path again, deeper in the tree
+    spark.range(5).write.parquet(f"{root}/incoming/x")
+    spark.range(5, 10).write.parquet(inner)
+    for given in (str(root), str(root) + "/", f"file://{root}"):
+        df = spark.read.schema("id bigint").option("recursiveFileLookup", True).parquet(str(root))
+        assert files.with_prefixes(df, given, include=["incoming/"]).count() == 5
+        assert files.with_prefixes(df, given, include=[]).count() == 10
+
+
+def test_extensions_in_any_case(spark, tmp_path):
+    spark.range(3).coalesce(1).write.option("header", True).csv(str(tmp_path / "in"))
+    next((tmp_path / "in").glob("*.csv")).rename(tmp_path / "in" / "X.CSV")
+    assert files.read_by_extension(spark, str(tmp_path / "in"), ["csv"], "id bigint").count() == 3
+
+
+def test_topk_of_uneven_vectors_and_many_queries(spark, monkeypatch):
+    store = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, [0.0, 1.0, 0.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, [1.0, None, 0.0]), (5, None), (6, [0.0, 0.0, 0.0])],
+        "i int, v array<double>")
+    one = spark.createDataFrame([(9, [1.0, 0.0, 0.0])], "q int, v array<double>")
+    assert [(r.i, r.score) for r in ML.vector_topk(store, one, "i", "q", "v").collect()] == [(3, 1.0)]
+    monkeypatch.setattr(ML, "SENT_QUERIES", 7)
+    many = spark.range(40).select(F.col("id").cast("int").alias("q"), F.array(*[F.lit(1.0) * F.col("id"), F.lit(1.0), F.lit(0.0)]).alias("v"))
+    assert ML.vector_topk(store, many, "i", "q", "v").count() == 40
+    with pytest.raises(ValueError):
+        ML.vector_topk(store, store.withColumnRenamed("i", "q"), "i", "q", "v")
+
+
+def test_label_encode_of_many_categories(spark):
+    df = spark.range(300_000).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("c"))
+    coded = ML.label_encode(df, "c")
+    assert coded.agg(F.count_distinct("c_encoded"), F.min("c_encoded"), F.max("c_encoded")).first() == (300_000, 0, 299_999)
+    assert "Window" not in plan_of(coded)
 
 
 def test_sliding_stream_separates_late_rows(spark, tmp_path):
@@ -106,7 +183,8 @@ def test_sliding_stream_separates_late_rows(spark, tmp_path):
     job.on_batch(make(1, 2, 10), 0)
     job.on_batch(make(3, 9, 11), 1)
     done = job.finish(spark, 1)
-    assert sorted((r.id, r.record_count) for r in done.collect()) == [(1, 1), (2, 2), (9, 1), (10, 2), (11, 2)]
+    kept = [(r.id, r.record_count, r.late) for r in done.collect()]
+    assert sorted(kept) == [(1, 1, False), (2, 2, False), (3, None, True), (9, 1, False), (10, 2, False), (11, 2, False)]
     assert [r.id for r in spark.read.parquet(job.late).collect()] == [3]
 
 

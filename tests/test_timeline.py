@@ -39,30 +39,36 @@ def test_sliding_count_is_never_one_task(spark):
     assert "SinglePartition" not in plan_of(timeline.sliding_count(stamped(spark, [0, 1])))
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 40])
-def test_carry_forward_hot_and_cold(spark, hot_rows):
+def test_carry_forward_equals_one_window(spark):
     rnd = random.Random(3)
     data = [(rnd.choice([1, 1, None, None, 2, 3]), rnd.randrange(50), i, rnd.choice([None, None, i])) for i in range(400)]
     df = spark.createDataFrame(data, "k int, t int, id int, v int")
     for current in (True, False):
-        got = timeline.carry_forward(df, ["k"], ["t", "id"], F.col("v"), "seen", current, hot_key_rows=hot_rows)
+        got = timeline.carry_forward(df, ["k"], ["t", "id"], F.col("v"), "seen", current)
         w = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0 if current else -1)
         want = df.withColumn("seen", F.last("v", ignorenulls=True).over(w))
         assert got.select(*want.columns).exceptAll(want).count() == 0
         assert got.count() == 400
 
 
-def test_carry_forward_with_many_hot_keys(spark, monkeypatch):
-    monkeypatch.setattr(timeline, "MAX_BROADCAST_KEYS", 0)
-    df = spark.range(300).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"), F.when(F.col("id") < 3, F.col("id")).alias("v"))
-    got = timeline.carry_forward(df, ["k"], ["t"], F.col("v"), "seen", hot_key_rows=10)
-    assert got.where("seen = k").count() == 300
+def test_carry_forward_cuts_a_hot_key(spark):
+    # One key holds nine tenths of the rows; its only value comes first.
+    df = spark.range(1000).select(
+        F.when(F.col("id") % 10 == 9, F.col("id")).otherwise(F.lit(1)).alias("k"), F.col("id").alias("t"),
+        F.when(F.col("id") == 0, F.lit(7)).alias("v")).repartition(4)
+    got = timeline.carry_forward(df, ["k"], ["t"], F.col("v"), "seen")
+    assert got.where("seen = 7").count() == 900 and got.where("k <> 1 and seen is not null").count() == 0
+    assert "rangepartitioning" in plan_of(df.repartitionByRange("k", "t"))
 
 
-def test_carry_forward_hot_key_spans_tasks(spark):
-    df = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("t"), F.when(F.col("id") == 0, F.lit(7)).alias("v"))
-    got = timeline.carry_forward(df, ["k"], ["t"], F.col("v"), "seen", hot_key_rows=10)
-    assert got.where("seen = 7").count() == 1000
+def test_a_null_key_follows_nothing(spark, rows):
+    s = dt.timedelta(seconds=1)
+    alerts = spark.createDataFrame([(None, T0, 1), (5, T0, 2)], "u int, ts timestamp_ntz, id int")
+    acks = spark.createDataFrame([(None, T0 + s, 3), (5, T0 + s, 4)], "u int, ts timestamp_ntz, id int")
+    assert rows(timeline.alert_escalation(alerts, acks, "u", "ts", "id").select("id", "status")) == [(1, "ESCALATED"), (2, "RESOLVED")]
+    feats = acks.select("u", (F.col("ts") - F.expr("interval 5 seconds")).alias("ft"), F.lit(1.5).alias("f"), "id")
+    found = timeline.point_in_time(alerts, feats, "u", "ts", "ft", ["f"], "id")
+    assert rows(found.select("id", "f")) == [(1, None), (2, 1.5)]
 
 
 def test_change_feed_views(spark, rows):
@@ -86,9 +92,8 @@ def test_alert_escalation_deadline_is_inclusive(spark, rows):
     s = dt.timedelta(seconds=1)
     alerts = spark.createDataFrame([(1, T0, 1), (2, T0, 2), (3, T0, 3)], "u int, ts timestamp_ntz, id int")
     acks = spark.createDataFrame([(1, T0 + 300 * s, 4), (2, T0 + 301 * s, 5), (3, T0 - s, 6)], "u int, ts timestamp_ntz, id int")
-    for limit in (10**9, 0):
-        out = timeline.alert_escalation(alerts, acks, "u", "ts", "id", hot_key_rows=limit)
-        assert rows(out.select("u", "status")) == [(1, "RESOLVED"), (2, "ESCALATED"), (3, "ESCALATED")]
+    out = timeline.alert_escalation(alerts, acks, "u", "ts", "id")
+    assert rows(out.select("u", "status")) == [(1, "RESOLVED"), (2, "ESCALATED"), (3, "ESCALATED")]
 
 
 def test_alarm_gap(spark):
