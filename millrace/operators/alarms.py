@@ -14,6 +14,14 @@ from millrace.operators.metrics import compare
 NOT_BREACHING, BREACHING = "NOT_BREACHING", "BREACHING"
 OUTSIDE_BAND = "outside"
 
+#: Periods made from one row at a time, so that a stray early time makes no giant array.
+GRID_BLOCK = 1_024
+
+# --- fixed values: default alarm limits per metric -----------------------------
+METRIC_THRESHOLDS = {"Errors": 5, "Duration": 30000, "Throttles": 1, "CPUUtilization": 80, "MemoryUtilization": 80}
+OTHER_THRESHOLD = 100
+# --------------------------------------------------------------------------------
+
 
 def dense_periods(stats: DataFrame, series: Sequence[str], period: str, period_seconds: int) -> DataFrame:
     """Every period of every series between its first and last one.
@@ -23,7 +31,10 @@ def dense_periods(stats: DataFrame, series: Sequence[str], period: str, period_s
     """
     step = period_seconds * 1_000_000
     spans = stats.groupBy(*series).agg(micros(F.min(period)).alias("lo"), micros(F.max(period)).alias("hi"))
-    starts = spans.select(*series, F.explode(F.sequence("lo", "hi", F.lit(step).cast("long"))).alias("_us"))
+    block = F.lit(step * GRID_BLOCK).cast("long")
+    blocks = spans.select(*series, "hi", F.explode(F.sequence("lo", "hi", block)).alias("_at"))
+    upto = F.least("hi", F.col("_at") + block - step)
+    starts = blocks.select(*series, F.explode(F.sequence("_at", upto, F.lit(step).cast("long"))).alias("_us"))
     grid = starts.select(*series, from_micros(F.col("_us")).alias(period))
     return grid.join(stats, [*series, period], "left")
 
@@ -57,6 +68,58 @@ def evaluate(
     ).drop("_bad")
 
 
+def evaluate_all(
+    stats: DataFrame,
+    series: Sequence[str],
+    specs: Mapping[str, tuple[str, str, object, int, str]],
+    period: str = "period",
+    period_seconds: int = 300,
+) -> DataFrame:
+    """(series, period, alarm, state) of several alarms over one statistics frame.
+
+    ``specs``: alarm name to (value column, operator, threshold, periods, missing).
+    The grid and its window are made once for all of them.
+    """
+    grid = dense_periods(stats, series, period, period_seconds)
+    ordered = Window.partitionBy(*series).orderBy(period)
+    names = {name: f"_bad{i}" for i, name in enumerate(specs)}
+    flagged = grid.withColumns({
+        names[name]: F.coalesce(breach(F.col(value), op, threshold), F.lit(missing == BREACHING))
+        for name, (value, op, threshold, _, missing) in specs.items()
+    })
+
+    def state(name: str, periods: int) -> Column:
+        run = ordered.rowsBetween(1 - periods, 0)
+        enough = F.count(F.lit(1)).over(run) == periods
+        return F.when(enough & F.min(names[name]).over(run), "ALARM").otherwise("OK")
+
+    judged = flagged.select(*series, period, *[state(n, spec[3]).alias(names[n]) for n, spec in specs.items()])
+    rows = F.array(*[F.struct(F.lit(n).alias("alarm"), F.col(names[n]).alias("state")) for n in specs])
+    return judged.select(*series, period, F.inline(rows))
+
+
+def with_default_limits(stats: DataFrame, metric: str) -> DataFrame:
+    """Add ``threshold`` and ``op``: known metrics alarm above theirs, others below the common one."""
+    limits = F.create_map(*[F.lit(x) for name, limit in METRIC_THRESHOLDS.items() for x in (name, float(limit))])
+    found = F.try_element_at(limits, F.col(metric))
+    return stats.withColumns({
+        "threshold": F.coalesce(found, F.lit(float(OTHER_THRESHOLD))),
+        "op": F.when(found.isNotNull(), ">").otherwise("<"),
+    })
+
+
+def default_states(stats: DataFrame, series: Sequence[str], metric: str, value: str, evaluation_periods: int = 2,
+                   period: str = "period") -> DataFrame:
+    """State of every metric series against its default limit: n breaching periods in a row, gaps not breaching."""
+    limited = with_default_limits(stats, metric)
+    bad = F.when(F.col("op") == ">", F.col(value) > F.col("threshold")).otherwise(F.col(value) < F.col("threshold"))
+    run = Window.partitionBy(*series).orderBy(period).rowsBetween(1 - evaluation_periods, 0)
+    enough = F.count(F.lit(1)).over(run) == evaluation_periods
+    return limited.withColumn("_bad", F.coalesce(bad, F.lit(False))).withColumn(
+        "state", F.when(enough & F.min("_bad").over(run), "ALARM").otherwise("OK")
+    ).drop("_bad")
+
+
 def anomaly_band(
     stats: DataFrame,
     series: Sequence[str],

@@ -11,10 +11,16 @@ from millrace.common import bin_start, pct
 
 BIN_SECONDS = 300
 
+# --- fixed values: filters of the log statistics --------------------------------
+ERROR_PATTERN = "ERROR"
+REPORT_TYPE = "REPORT"
+BATCH_MARKER = "batch (processing )?completed"
+# ---------------------------------------------------------------------------------
 
-def errors_by_bin(df: DataFrame, ts: str = "ts", seconds: int = BIN_SECONDS) -> DataFrame:
-    """ERROR rows per time bin, newest first."""
-    errors = df.where(F.col("level") == "ERROR")
+
+def errors_by_bin(df: DataFrame, ts: str = "ts", seconds: int = BIN_SECONDS, pattern: str = ERROR_PATTERN) -> DataFrame:
+    """Rows whose message matches the error pattern per time bin, newest first."""
+    errors = df.where(F.col("message").rlike(pattern))
     return (
         errors.groupBy(bin_start(F.col(ts), seconds).alias("bin"))
         .agg(F.count(F.lit(1)).alias("errors"))
@@ -32,7 +38,9 @@ def performance(df: DataFrame, by: Sequence[str], duration: str = "duration") ->
 
 
 def performance_by_bin(df: DataFrame, ts: str = "ts", seconds: int = BIN_SECONDS) -> DataFrame:
-    return performance(df.withColumn("bin", bin_start(F.col(ts), seconds)), ["bin"]).orderBy(F.desc("bin"))
+    """Durations of the report records per time bin, newest first."""
+    reports = df.where(F.col("record_type") == REPORT_TYPE)
+    return performance(reports.withColumn("bin", bin_start(F.col(ts), seconds)), ["bin"]).orderBy(F.desc("bin"))
 
 
 def errors_by_type(df: DataFrame, by: Sequence[str] = ("error_type",)) -> DataFrame:
@@ -44,9 +52,9 @@ def errors_by_type(df: DataFrame, by: Sequence[str] = ("error_type",)) -> DataFr
     )
 
 
-def business_by(df: DataFrame, by: str = "pipeline", marker: str = "processing completed") -> DataFrame:
-    """Records and success rate of the completed jobs per group."""
-    done = df.where(F.col("message").contains(marker))
+def business_by(df: DataFrame, by: str = "pipeline", marker: str = BATCH_MARKER) -> DataFrame:
+    """Records and success rate of the completed batches per group."""
+    done = df.where(F.col("message").rlike(marker))
     return done.groupBy(by).agg(
         F.sum("record_count").alias("records"), F.avg("success_rate").alias("success_rate")
     )

@@ -61,14 +61,14 @@ raw_events as (
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structured log rows: one per event."""
     k = F.get_json_object("props", "$.k").cast("int")
+    level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "WARNING").otherwise("INFO")
+    step = F.when(k % 4 == 0, " batch processing completed").when(k % 2 == 0, " processing completed").otherwise(" started")
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("log_id"),
         "ts",
-        F.when(F.col("event_type") == "error", "ERROR")
-        .when(F.col("event_type") == "signup", "WARNING")
-        .otherwise("INFO").alias("level"),
-        F.concat(F.lit("job "), F.col("event_type"), F.when(k % 2 == 0, " processing completed").otherwise(" started"),
-                 F.lit(" k="), k.cast("string")).alias("message"),
+        level.alias("level"),
+        F.concat(level, F.lit(" job "), F.col("event_type"), step, F.lit(" k="), k.cast("string")).alias("message"),
+        F.when(k % 3 == 0, "REPORT").otherwise("LOG").alias("record_type"),
         F.when(F.col("event_type") == "error",
                F.concat(F.lit("E"), (k % 7).cast("string"))).alias("error_type"),
         F.col("event_type").alias("service"),
@@ -85,8 +85,10 @@ ev_k as (select *, cast(json_extract_string(props, '$.k') as integer) as k from
 logs as (
   select event_id as log_id, ts,
          case when event_type = 'error' then 'ERROR' when event_type = 'signup' then 'WARNING' else 'INFO' end as level,
-         'job ' || event_type || case when k % 2 = 0 then ' processing completed' else ' started' end
+         case when event_type = 'error' then 'ERROR' when event_type = 'signup' then 'WARNING' else 'INFO' end || ' job ' || event_type
+           || case when k % 4 = 0 then ' batch processing completed' when k % 2 = 0 then ' processing completed' else ' started' end
            || ' k=' || cast(k as varchar) as message,
+         case when k % 3 = 0 then 'REPORT' else 'LOG' end as record_type,
          case when event_type = 'error' then 'E' || cast(k % 7 as varchar) end as error_type,
          event_type as service, user_id as correlation_id, value as duration, k as record_count,
          'p' || cast(user_id % 5 as varchar) as pipeline,

@@ -30,7 +30,7 @@ def sales_total_by_customer(spark, sf):
 
 
 @query("log_errors_by_5m", f"""
-with {LOGS} select {BIN5} as bin, count(*) as errors from logs where level = 'ERROR' group by 1
+with {LOGS} select {BIN5} as bin, count(*) as errors from logs where contains(message, 'ERROR') group by 1
 """)
 def log_errors_by_5m(spark, sf):
     return L.errors_by_bin(logs(spark, sf))
@@ -38,7 +38,7 @@ def log_errors_by_5m(spark, sf):
 
 @query("log_perf_by_5m", f"""
 with {LOGS} select {BIN5} as bin, round(avg(duration), 6) as avg_duration, max(duration) as max_duration,
-       min(duration) as min_duration from logs group by 1
+       min(duration) as min_duration from logs where record_type = 'REPORT' group by 1
 """)
 def log_perf_by_5m(spark, sf):
     return L.performance_by_bin(logs(spark, sf)).withColumn("avg_duration", F.round("avg_duration", 6))
@@ -62,7 +62,7 @@ def log_perf_by_pipeline(spark, sf):
 
 @query("log_business_by_pipeline", f"""
 with {LOGS} select pipeline, sum(record_count)::bigint as records, round(avg(duration / 100.0), 6) as success_rate
-from logs where contains(message, 'processing completed') group by 1
+from logs where regexp_matches(message, 'batch (processing )?completed') group by 1
 """)
 def log_business_by_pipeline(spark, sf):
     rows = logs(spark, sf).withColumn("success_rate", F.col("duration") / 100.0)
@@ -260,17 +260,38 @@ def alarm_composite(spark, sf):
         "latency": F.max("value"),
         "quality": M.pct(F.count(F.when(F.col("value") >= 1, 1)), F.count(F.lit(1))),
     }, 3600).withColumn("system", F.lit("lake"))
-    specs = (("high_error_rate", "error_rate", ">", 20.0, 1), ("high_latency", "latency", ">", 80.0, 2),
-             ("low_quality", "quality", "<", 90.0, 1))
-    states = None
-    for name, value, op, threshold, periods in specs:
-        one = alarms.evaluate(
-            stats.select("system", "period", value), ["system"], value, threshold, op, periods, period_seconds=3600
-        ).select("period", F.lit(name).alias("alarm"), "state")
-        states = one if states is None else states.unionByName(one)
+    states = alarms.evaluate_all(stats, ["system"], {
+        "high_error_rate": ("error_rate", ">", 20.0, 1, alarms.NOT_BREACHING),
+        "high_latency": ("latency", ">", 80.0, 2, alarms.NOT_BREACHING),
+        "low_quality": ("quality", "<", 90.0, 1, alarms.NOT_BREACHING),
+    }, period_seconds=3600)
     return alarms.composite(states, "alarm", "(ALARM('high_error_rate') AND ALARM('high_latency')) OR ALARM('low_quality')")
 
 
+METRIC_NAMES = {"error": "Errors", "click": "Duration", "purchase": "Throttles", "signup": "CPUUtilization"}
+
+
+@query("alarm_defaults", """
+with s as (select case event_type when 'error' then 'Errors' when 'click' then 'Duration' when 'purchase' then 'Throttles'
+                    when 'signup' then 'CPUUtilization' else 'QueueDepth' end as metric,
+                  time_bucket(interval 1 hour, ts) as period, max(value) as v from events group by 1, 2),
+l as (select *, case metric when 'Errors' then 5.0 when 'Duration' then 30000.0 when 'Throttles' then 1.0 when 'CPUUtilization' then 80.0
+              else 100.0 end::double as threshold, case when metric = 'QueueDepth' then '<' else '>' end as op from s),
+b as (select *, coalesce(case op when '>' then v > threshold else v < threshold end, false) as bad from l)
+select metric, period, v, threshold, op,
+       case when count(*) over r = 2 and bool_and(bad) over r then 'ALARM' else 'OK' end as state
+from b window r as (partition by metric order by period rows between 1 preceding and current row)
+""")
+def alarm_defaults(spark, sf):
+    """Hourly maximum of every metric against the default limit of its name."""
+    name = F.lit("QueueDepth")
+    for kind, metric in METRIC_NAMES.items():
+        name = F.when(F.col("event_type") == kind, metric).otherwise(name)
+    stats = alarms.period_statistics(
+        table(spark, sf, "events").withColumn("metric", name), ["metric"], {"v": F.max("value")}, 3600)
+    return alarms.default_states(stats, ["metric"], "metric", "v")
+
+
 @query("detect_offenders_rate_limit", """
 select user_id, date_trunc('day', ts) as window_start, count(*) as requests from events
 group by 1, 2 having count(*) > 5
