@@ -182,6 +182,9 @@ def test_neighbours_recall_and_copies(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 24))
     vectors = (centres[rng.integers(0, 12, 6000)] + 0.4 * rng.normal(size=(6000, 24))).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None] * rng.choice([1, 0.7], 6000)[:, None]
+    vectors[0] /= np.linalg.norm(vectors[0])
+    vectors[0] *= 2  # the longest vector is its own nearest
     vectors[1000:3000] = vectors[0]  # a third are copies of one
     rows = [(i, v.tolist(), "x") for i, v in enumerate(vectors)]
     rows += [(7000, None, "x"), (7020, [0.0] * 24, "x"), (7040, [float("nan")] * 24, "x"), (7060, [1.0] * 3, "x"), (None, vectors[5].tolist(), "x")]
@@ -275,7 +278,7 @@ def test_fingerprints_edit_and_likeness(spark, awkward):
         assert 0 <= r.near <= 1 and (r.edited != texts[r.id] or (r.near == 1 and r.p == r.e))
     assert all(len(p) == 1 for p in by_text.values())
     long = next(r for r in got if r.id == 90)
-    assert 0.25 < long.near < 0.42  # half of the text is shared: a third of the union
+    assert 0.45 < long.near < 0.55  # the next text is short: half of the text is what the union is more
 
 
 def test_fingerprints_merge_and_contain(spark):
@@ -467,7 +470,7 @@ def test_ppm_is_a_distribution():
         chosen = n >= 2
         kept.append((found[chosen], n[chosen].astype(float), np.array([total[c] for c in (found[chosen] >> np.uint64(8)).tolist()], float)))
     trie = ppm.Trie(kept)
-    for context in (b"abcde", b"zzzzz", b"\n\n\n\n\n", b" abca"):
+    for context in (b"eabcde", b"zzzzzz", b"\n\n\n\n\n\n", b"e abca"):
         codes = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.uint64)
         assert (10 ** trie.log10(codes, ppm.ORDER)).sum() == pytest.approx(1, abs=1e-4)
 
