@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -212,7 +213,9 @@ def repo_facts(listing: DataFrame, rules: Sequence[ComplianceRule] = RULES) -> D
     """One row per repo with the set of facts its files prove.
 
     A row looks up its own path and the directories above it, so its cost does
-    not grow with the number of rules.
+    not grow with the number of rules. Paths come from a scan without contents;
+    contents are read only of the files whose text a rule asks about, by a filter
+    on the path that reaches the scan.
     """
     paths, dirs, texts = _facts_wanted(rules)
     names = "array<string>"
@@ -226,11 +229,14 @@ def repo_facts(listing: DataFrame, rules: Sequence[ComplianceRule] = RULES) -> D
     facts = F.concat(
         F.transform(F.array_intersect(seen, _constant(paths, names)), lambda p: F.concat(F.lit("path:"), p)),
         F.transform(F.array_intersect(F.col("_above"), _constant(dirs, names)), lambda p: F.concat(F.lit("dir:"), p)),
-        F.transform(F.filter(patterns, lambda p: F.contains(F.col("content"), p)),
-                    lambda p: F.concat(F.lit("text:"), F.col("path"), F.lit(":"), p)),
         F.when(is_data, F.array(F.lit(_DATA))).otherwise(F.array().cast(names)),
     )
-    proven = listing.withColumn("_above", above).select("repo", F.explode_outer(facts).alias("fact"))
+    proven = listing.select("repo", "path").withColumn("_above", above).select("repo", F.explode_outer(facts).alias("fact"))
+    if texts:
+        found = F.transform(F.filter(patterns, lambda p: F.contains(F.col("content"), p)),
+                            lambda p: F.concat(F.lit("text:"), F.col("path"), F.lit(":"), p))
+        asked = listing.where(F.col("path").isin(*texts)).select("repo", "path", "content")
+        proven = proven.unionByName(asked.select("repo", F.explode(found).alias("fact")))
     config = _config_facts(listing, rules)
     if config is not None:
         proven = proven.unionByName(config)
@@ -239,15 +245,30 @@ def repo_facts(listing: DataFrame, rules: Sequence[ComplianceRule] = RULES) -> D
 
 _NONE = "array<string>"
 
-#: Result messages per check type: (passed, failed, subject file absent).
+# --- fixed values: result messages and steps -------------------------------------
+#: Per check type: (passed, failed, subject file absent); {file} is the rule's file.
 MESSAGES = {
-    "file_exists": ("All required files exist", "Missing required files", None),
-    "directory_structure": ("All required directories exist", "Missing required directories", None),
-    "file_content": ("All required patterns found", "Missing required patterns", "File not found"),
-    "configuration": ("Configuration is compliant", "Missing or incorrect settings", "Configuration file not found"),
-    "security_policy": ("Security policy compliance verified", "Security policy issues", None),
-    "data_governance": ("Data governance compliance verified", "Data governance issues", None),
+    "file_exists": ("All required files exist", "Missing required files: ", None),
+    "directory_structure": ("All required directories exist", "Missing required directories: ", None),
+    "file_content": ("All required patterns found in {file}", "Missing required patterns in {file}: ", "File not found: {file}"),
+    "configuration": (
+        "Configuration in {file} is compliant", "Missing or incorrect settings in {file}: ", "Configuration file not found: {file}"),
+    "security_policy": ("Security policy compliance verified", "Security policy issues: ", None),
+    "data_governance": ("Data governance compliance verified", "Data governance issues: ", None),
 }
+#: Per check type: step for a missing item (before and after it), and for an absent file.
+STEPS = {
+    "file_exists": ("Create file: ", "", None),
+    "directory_structure": ("Create directory: ", "", None),
+    "file_content": ("Add pattern to {file}: ", "", "Create file: {file}"),
+    "configuration": ("Set ", " in {file}", "Create configuration file: {file}"),
+    "security_policy": ("", "", None),
+    "data_governance": ("", "", None),
+}
+ISSUE_CHECKS = ("security_policy", "data_governance")
+UNSUPPORTED = "Unsupported configuration file format: "
+UNREADABLE = "Error reading configuration "
+# ----------------------------------------------------------------------------------
 
 
 def _rule_entry(r: ComplianceRule) -> dict:
@@ -258,7 +279,9 @@ def _rule_entry(r: ComplianceRule) -> dict:
         "file_content": lambda: [(p, _text(r.file, p)) for p in r.items],
         "configuration": lambda: [(f"{k}={v}", _setting(r.file, k, v)) for k, v in r.settings.items()],
     }.get(r.check_type, list)()
-    passed, failed, absent = MESSAGES.get(r.check_type, (None, None, None))
+    named = lambda texts: [t and t.format(file=r.file) for t in texts]
+    passed, failed, absent = named(MESSAGES.get(r.check_type, (None, None, None)))
+    before, after, create = named(STEPS.get(r.check_type, (None, None, None)))
     config = r.check_type == "configuration"
     return {
         "rule_id": r.rule_id, "framework": r.framework, "severity": r.severity, "check_type": r.check_type,
@@ -267,13 +290,17 @@ def _rule_entry(r: ComplianceRule) -> dict:
         "known": r.check_type in MESSAGES,
         "readable": not config or _structured(r.file),
         "needs": [{"label": label, "fact": fact} for label, fact in needs],
-        "passed": passed, "failed": failed, "absent": absent,
+        "passed": passed, "failed": failed, "absent": absent, "before": before, "after": after, "create": create,
+        "separator": "; " if r.check_type in ISSUE_CHECKS else ", ",
+        "unsupported": UNSUPPORTED + (re.search(r"(\.[^./]+)?$", r.file or "").group(0)),
+        "unreadable": UNREADABLE + (r.file or ""),
     }
 
 
 _ENTRY = (
     "array<struct<rule_id:string,framework:string,severity:string,check_type:string,subject:string,broken:string,"
-    "known:boolean,readable:boolean,needs:array<struct<label:string,fact:string>>,passed:string,failed:string,absent:string>>"
+    "known:boolean,readable:boolean,needs:array<struct<label:string,fact:string>>,passed:string,failed:string,absent:string,"
+    "before:string,after:string,create:string,separator:string,unsupported:string,unreadable:string>>"
 )
 
 
@@ -305,7 +332,7 @@ def _any_fact(facts: Column, items: Sequence[str]) -> Column:
 def evaluate_rules(
     listing: DataFrame, rules: Sequence[ComplianceRule] = RULES, frameworks: Sequence[str] = ()
 ) -> DataFrame:
-    """Result per (repo, rule): status, message, evidence.
+    """Result per (repo, rule): status, message, evidence, remediation_steps.
 
     The listing is reduced to the facts of each repo in one shuffle (with a
     map-side combine, so a repo with most of the files is no hot spot); every
@@ -326,15 +353,21 @@ def evaluate_rules(
     absent = r["subject"].isNotNull() & ~F.array_contains(facts, r["subject"])
     broken = r["broken"].isNotNull() & F.array_contains(facts, r["broken"])
 
-    def outcome(status: str, message: Column, evidence: Column = none) -> Column:
-        return F.struct(F.lit(status).alias("status"), message.alias("message"), evidence.alias("evidence"))
+    def outcome(status: str, message: Column, evidence: Column = none, steps: Column = none) -> Column:
+        return F.struct(F.lit(status).alias("status"), message.alias("message"), evidence.alias("evidence"),
+                        steps.alias("remediation_steps"))
+
+    # array_join takes a constant separator, so the two kinds are joined apart.
+    joined = F.when(r["separator"] == "; ", F.array_join("issues", "; ")).otherwise(F.array_join("issues", ", "))
+    each = F.transform("issues", lambda i: F.concat(r["before"], i, r["after"]))
 
     decided = (
         F.when(~r["known"], outcome("NOT_APPLICABLE", F.concat(F.lit("Unknown check type: "), r["check_type"])))
-        .when(absent, outcome("FAIL", r["absent"]))
-        .when(~r["readable"], outcome("NOT_APPLICABLE", F.lit("Unsupported configuration file format")))
-        .when(broken, outcome("ERROR", F.lit("Error reading configuration")))
-        .when(F.size("issues") > 0, outcome("FAIL", r["failed"], F.col("issues")))
+        .when(absent, outcome("FAIL", r["absent"], steps=F.array(r["create"])))
+        .when(~r["readable"], outcome("NOT_APPLICABLE", r["unsupported"]))
+        .when(broken, outcome("ERROR", r["unreadable"]))
+        .when(F.size("issues") > 0, outcome(
+            "FAIL", F.concat(r["failed"], joined), F.col("issues"), each))
         .otherwise(outcome("PASS", r["passed"]))
     )
     return (
@@ -372,10 +405,13 @@ def policy_findings(listing: DataFrame) -> DataFrame:
     path = F.col("path")
     ignores = F.filter(
         _constant(list(SECRET_IGNORES), _NONE), lambda p: ~F.contains(F.col("content"), p))
-    flags = listing.groupBy("repo").agg(
+    # Contents are read of the ignore files only; the other flags need paths alone.
+    gaps = listing.where(path == IGNORE_FILE).select("repo", "path", F.array_join(ignores, ", ").alias("gaps"))
+    rows = listing.select("repo", "path", F.lit(None).cast("string").alias("gaps")).where(~path.eqNullSafe(IGNORE_FILE)).unionByName(gaps)
+    flags = rows.groupBy("repo").agg(
         count_if(path.isin(*POLICY_FILES)).alias("policies"),
         count_if(path == IGNORE_FILE).alias("ignore_files"),
-        F.max(F.when(path == IGNORE_FILE, F.array_join(ignores, ", "))).alias("gaps"),
+        F.max("gaps").alias("gaps"),
         count_if(F.regexp_extract(path, r"(\.[^./]+)$", 1).isin(*SCANNED_DATA)).alias("data"),
         count_if(path.isin(*SCANNED_CLASSIFICATION)).alias("classified"),
     )

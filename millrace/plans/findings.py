@@ -169,19 +169,19 @@ listing as (
 """
 
 _NEED = [(r.rule_id, "dir" if r.check_type == "directory_structure" else "text" if r.check_type == "file_content" else "path",
-          r.file, i) for r in C.RULES for i in r.items]
+          r.file, i, n) for r in C.RULES for n, i in enumerate(r.items)]
 _KINDS = [(r.rule_id, r.framework, r.severity, r.check_type, r.file) for r in C.RULES]
 
 RESULTS = f"""
-need(rule_id, kind, file, item) as (values {_values(_NEED)}),
+need(rule_id, kind, file, item, place) as (values {_values(_NEED)}),
 rule(rule_id, framework, severity, check_type, file) as (values {_values(_KINDS)}),
 repos as (select distinct repo from listing),
-has as (select r.repo, n.rule_id, n.item, bool_or(case n.kind
+has as (select r.repo, n.rule_id, n.item, n.place::int as place, bool_or(case n.kind
             when 'path' then l.path = rtrim(n.item, '/') or starts_with(l.path, rtrim(n.item, '/') || '/')
             when 'dir' then starts_with(l.path, n.item || '/')
             else l.path = n.file and contains(l.content, n.item) end) as ok
-        from repos r join listing l on l.repo = r.repo, need n group by 1, 2, 3),
-miss as (select repo, rule_id, string_agg(item, ',' order by item) as items from has where not ok group by 1, 2),
+        from repos r join listing l on l.repo = r.repo, need n group by 1, 2, 3, 4),
+miss as (select repo, rule_id, string_agg(item, ',' order by item) as items, string_agg(item, ', ' order by place) as listed from has where not ok group by 1, 2),
 fileseen as (select r.repo, u.rule_id, bool_or(l.path = u.file) as seen, any_value(l.content) filter (where l.path = u.file) as body
          from repos r join listing l on l.repo = r.repo, rule u where u.file is not null group by 1, 2),
 pol as (select repo, bool_or(path in ({", ".join(repr(p) for p in C.SECURITY_FILES)})) as doc,
@@ -198,7 +198,12 @@ iss as (select p.repo, concat_ws(',', case when not doc then '{C.NO_POLICY}' end
             case when not ign then '{C.NO_IGNORE}' when gaps is not null then '{C.BAD_IGNORE}' || gaps end,
             case when not hook then '{C.NO_HOOKS}' end) as sec,
             concat_ws(',', case when data and not cls then '{C.NO_CLASSIFICATION}' end,
-            case when data and not ret then '{C.NO_RETENTION}' end) as gov
+            case when data and not ret then '{C.NO_RETENTION}' end) as gov,
+            concat_ws('; ', case when not doc then '{C.NO_POLICY}' end,
+            case when not ign then '{C.NO_IGNORE}' when gaps is not null then '{C.BAD_IGNORE}' || gaps end,
+            case when not hook then '{C.NO_HOOKS}' end) as sec_text,
+            concat_ws('; ', case when data and not cls then '{C.NO_CLASSIFICATION}' end,
+            case when data and not ret then '{C.NO_RETENTION}' end) as gov_text
         from pol p left join gap using (repo)),
 results as (
   select r.repo, u.rule_id, u.framework, u.severity,
@@ -214,7 +219,21 @@ results as (
          when u.check_type = 'file_content' then case when f.seen then coalesce(m.items, '') else '' end
          when u.check_type = 'security_policy' then i.sec
          when u.check_type = 'data_governance' then i.gov
-         when f.seen and u.file like '%.yml' and f.body = {_chars(CI_BAD)} then 'on.pull_request=True' else '' end as evidence
+         when f.seen and u.file like '%.yml' and f.body = {_chars(CI_BAD)} then 'on.pull_request=True' else '' end as evidence,
+    case when u.check_type = 'file_exists' then coalesce('Missing required files: ' || m.listed, 'All required files exist')
+         when u.check_type = 'directory_structure' then coalesce('Missing required directories: ' || m.listed, 'All required directories exist')
+         when u.check_type = 'file_content' then case when not f.seen then 'File not found: ' || u.file
+              when m.listed is null then 'All required patterns found in ' || u.file
+              else 'Missing required patterns in ' || u.file || ': ' || m.listed end
+         when u.check_type = 'security_policy' then case when i.sec = '' then 'Security policy compliance verified'
+              else 'Security policy issues: ' || i.sec_text end
+         when u.check_type = 'data_governance' then case when i.gov = '' then 'Data governance compliance verified'
+              else 'Data governance issues: ' || i.gov_text end
+         when not f.seen then 'Configuration file not found: ' || u.file
+         when u.file like '%.py' then 'Unsupported configuration file format: .py'
+         when f.body = {_chars(CI_BROKEN)} then 'Error reading configuration ' || u.file
+         when f.body = {_chars(CI_GOOD)} then 'Configuration in ' || u.file || ' is compliant'
+         else 'Missing or incorrect settings in ' || u.file || ': on.pull_request=True' end as message
   from repos r cross join rule u left join miss m on m.repo = r.repo and m.rule_id = u.rule_id
   left join fileseen f on f.repo = r.repo and f.rule_id = u.rule_id left join iss i on i.repo = r.repo)
 """
@@ -226,7 +245,7 @@ def evaluate_rules(spark, sf):
     plain = F.col("rule_id").isin([r.rule_id for r in C.RULES if r.items])
     evidence = F.when(plain, F.sort_array("evidence")).otherwise(F.col("evidence"))
     return results.select("repo", "rule_id", "framework", "severity", "status",
-                          F.array_join(evidence, ",").alias("evidence"))
+                          F.array_join(evidence, ",").alias("evidence"), "message")
 
 
 @query("compliance_report", f"""
