@@ -145,8 +145,7 @@ def with_following(docs: DataFrame, id_col: str, carried: list[str], prefix: str
     # One row per range: bounded by four times the number of shuffle partitions.
     heads = numbered.join(F.broadcast(firsts), [number, key, tie], "left_semi").dropDuplicates([number])
     heads = staged(
-        heads.select(receiver[F.col(number)].alias(number), F.lit(True).alias(tail),
-                     *(F.col(c).alias(f"{prefix}{c}") for c in carried)),
+        heads.select(receiver[F.col(number)].alias(number), *(F.col(c).alias(f"{prefix}{c}") for c in carried)),
         "range-heads",
     )
     window = W.partitionBy(number).orderBy(*order)
@@ -154,8 +153,9 @@ def with_following(docs: DataFrame, id_col: str, carried: list[str], prefix: str
         {f"{prefix}{c}": F.lead(c).over(window) for c in carried}
     )
     head = {c: fresh(c) for c in carried}
-    renamed = heads.select(number, tail, *(F.col(f"{prefix}{c}").alias(head[c]) for c in carried))
-    joined = inner.join(renamed, [number, tail], "left")
+    renamed = heads.select(number, *(F.col(f"{prefix}{c}").alias(head[c]) for c in carried))
+    # On the window's own key alone, so that the rows stay where they are.
+    joined = inner.join(renamed, number, "left")
     return joined.withColumns(
         {f"{prefix}{c}": F.when(F.col(tail), F.col(head[c])).otherwise(F.col(f"{prefix}{c}")) for c in carried}
     ).drop(key, number, tie, tail, *head.values())
@@ -171,13 +171,14 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     plain = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
-    printed = plain.withColumn("print", fingerprint(F.col("text")))
-    paired = with_following(printed, "id", ["text", "print"])
+    paired = with_following(plain, "id", ["text"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(
         F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)
     )
     return paired.select(
-        "id", n.cast("long").alias("n_chars"), edited.alias("edited"), "print", F.col("next_print")
-    ).withColumn("edited_print", fingerprint(F.col("edited")))
+        "id", n.cast("long").alias("n_chars"), edited.alias("edited"),
+        fingerprint(F.col("text")).alias("print"), fingerprint(F.col("next_text")).alias("next_print"),
+        fingerprint(edited).alias("edited_print"),
+    )
