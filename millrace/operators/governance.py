@@ -160,6 +160,46 @@ def resource_rules() -> list[Rule]:
     ]
 
 
+# --- fixed values: framework, network and region rules ---------------------------
+FRAMEWORK_NEEDS = (
+    ("soc2", "encryption_key", "SOC 2 CC1.1: Encryption key required"),
+    ("soc2", "log_group", "SOC 2 CC2.1: Logging required"),
+    ("soc2", "alert_topic", "SOC 2 CC6.1: Monitoring and alerting required"),
+    ("gdpr", "encryption_key", "GDPR Article 32: Encryption required for personal data"),
+    ("gdpr", "log_group", "GDPR Article 30: Audit logging required"),
+    ("hipaa", "encryption_key", "HIPAA 164.312(a)(1): Encryption required for PHI"),
+    ("hipaa", "log_group", "HIPAA 164.312(b): Audit logging required"),
+)
+NO_FRAMEWORK = "No validator available for framework: "
+NO_FLOW_LOGS = "VPC Flow Logs should be enabled for security monitoring"
+NO_DNS_NAMES = "DNS hostnames should be enabled for proper service discovery"
+REGION_PATTERN = r"^[a-z]{2}-[a-z]+-\d+$"
+NO_REGION, BAD_REGION = "AWS region cannot be empty", "Invalid AWS region format"
+# -----------------------------------------------------------------------------------
+
+
+def framework_rules() -> list[Rule]:
+    """Columns: framework, and encryption_key, log_group, alert_topic (NULL when the resource has none)."""
+    known = sorted({f for f, _, _ in FRAMEWORK_NEEDS})
+    return [
+        *[Rule(c, lambda d, f=f, c=c: (F.col("framework") == f) & F.col(c).isNull(), text) for f, c, text in FRAMEWORK_NEEDS],
+        Rule("framework", lambda d: ~F.col("framework").isin(*known),
+             lambda d: F.concat(F.lit(NO_FRAMEWORK), F.col("framework")), WARNING),
+    ]
+
+
+def network_rules() -> list[Rule]:
+    """Columns: flow_logs, dns_hostnames (NULL counts as off), region."""
+    off = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    empty = lambda: F.coalesce(F.col("region"), F.lit("")) == ""
+    return [
+        Rule("flow_logs", lambda d: off("flow_logs"), NO_FLOW_LOGS, WARNING),
+        Rule("dns_hostnames", lambda d: off("dns_hostnames"), NO_DNS_NAMES, WARNING),
+        Rule("region", lambda d: empty(), NO_REGION),
+        Rule("region", lambda d: ~empty() & ~F.col("region").rlike(REGION_PATTERN), BAD_REGION),
+    ]
+
+
 def config_rules() -> list[Rule]:
     return [*security_rules(), *monitoring_rules(), *backup_rules(), *recovery_rules(), *resource_rules()]
 

@@ -231,3 +231,35 @@ select * from v
 def config_rule_packs(spark, sf):
     return rules.violations(config_inventory(spark, sf), ["c_custkey"], G.config_rules()).select(
         "c_custkey", "severity", "property_name", "message")
+
+
+@query("framework_rule_packs", """
+with c as (
+  select c_custkey, c_custkey as k, list_extract(['soc2', 'gdpr', 'hipaa', 'pci'], (c_custkey % 4 + 1)::int) as framework,
+         c_custkey % 3 = 0 as no_key, c_custkey % 5 = 0 as no_logs, c_custkey % 7 = 0 as no_topic,
+         list_extract(['us-east-1', 'eu-west-12', 'useast1', ''], (c_custkey % 11 % 4 + 1)::int) as region from customer)
+select c_custkey, 'ERROR' as severity, 'encryption_key' as property_name,
+       case framework when 'soc2' then 'SOC 2 CC1.1: Encryption key required' when 'gdpr' then 'GDPR Article 32: Encryption required for personal data'
+         else 'HIPAA 164.312(a)(1): Encryption required for PHI' end as message from c where framework <> 'pci' and no_key
+union all select c_custkey, 'ERROR', 'log_group', case framework when 'soc2' then 'SOC 2 CC2.1: Logging required'
+         when 'gdpr' then 'GDPR Article 30: Audit logging required' else 'HIPAA 164.312(b): Audit logging required' end
+  from c where framework <> 'pci' and no_logs
+union all select c_custkey, 'ERROR', 'alert_topic', 'SOC 2 CC6.1: Monitoring and alerting required' from c where framework = 'soc2' and no_topic
+union all select c_custkey, 'WARNING', 'framework', 'No validator available for framework: pci' from c where framework = 'pci'
+union all select c_custkey, 'WARNING', 'flow_logs', 'VPC Flow Logs should be enabled for security monitoring' from c where k % 2 = 0
+union all select c_custkey, 'WARNING', 'dns_hostnames', 'DNS hostnames should be enabled for proper service discovery' from c where k % 6 < 3
+union all select c_custkey, 'ERROR', 'region', 'AWS region cannot be empty' from c where region = ''
+union all select c_custkey, 'ERROR', 'region', 'Invalid AWS region format' from c where region = 'useast1'
+""")
+def framework_rule_packs(spark, sf):
+    """Inventory derived from customers: what a framework asks of a resource, its network and its region."""
+    k = F.col("c_custkey")
+    pick = lambda items, at: F.get(F.array(*[F.lit(i) for i in items]), at.cast("int"))
+    inventory_rows = table(spark, sf, "customer").select(
+        "c_custkey", pick(["soc2", "gdpr", "hipaa", "pci"], k % 4).alias("framework"),
+        F.when(k % 3 != 0, F.lit("key")).alias("encryption_key"), F.when(k % 5 != 0, F.lit("logs")).alias("log_group"),
+        F.when(k % 7 != 0, F.lit("topic")).alias("alert_topic"),
+        F.when(k % 4 != 0, k % 2 != 0).alias("flow_logs"), F.when(k % 6 != 0, k % 6 >= 3).alias("dns_hostnames"),
+        pick(["us-east-1", "eu-west-12", "useast1", ""], k % 11 % 4).alias("region"))
+    packs = [*G.framework_rules(), *G.network_rules()]
+    return rules.violations(inventory_rows, ["c_custkey"], packs).select("c_custkey", "severity", "property_name", "message")

@@ -165,12 +165,12 @@ def overlay_settings(spark, sf):
     return cdc.overlay_settings(base, overrides)
 
 
-@query("stream_redrive", """
+@query("redrive_route", """
 with attempts as (select event_id % 997 as message_id from events)
 select message_id, count(*) as receives, case when count(*) > 3 then 'DLQ' else 'QUEUE' end as route
 from attempts group by 1
 """)
-def stream_redrive(spark, sf):
+def redrive_route(spark, sf):
     attempts = table(spark, sf, "events").select((F.col("event_id") % 997).alias("message_id"))
     return cdc.attempts_exceeded(attempts, "message_id")
 

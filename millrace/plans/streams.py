@@ -244,6 +244,26 @@ def stream_alert_escalation(spark, sf):
     return job.finish(spark, last_batch(done)).select("event_id", "user_id", "status")
 
 
+@query("stream_redrive", """
+select event_id, event_type,
+       case when event_id % 97 = 0 then 3 when event_id % 11 = 0 then 2 else 1 end as receives,
+       case when event_id % 97 = 0 then 'DLQ' else 'DONE' end as route
+from events
+union all select event_id, event_type, 1, 'REPLAYED' from events where event_id % 97 = 0
+""")
+def stream_redrive(spark, sf):
+    """Some messages always fail, some only at first; dead letters succeed once they are replayed."""
+    root = shared_dir(spark, "redrive")
+    first_only = (F.col("event_id") % 11 == 0) & (F.col("receives") == 1)
+    job = state.RedriveStream(f"{root}/state", (F.col("event_id") % 97 == 0) | first_only)
+    done = replay(table(spark, sf, "events").select("event_id", "event_type", "ts"), root, job.writer)
+    routed = job.finish(spark, last_batch(done))
+    mended = state.RedriveStream(f"{root}/again", F.lit(False))
+    mended.on_batch(job.replay(spark), 0)
+    replayed = mended.finish(spark, 0).withColumn("route", F.lit("REPLAYED"))
+    return routed.unionByName(replayed).select("event_id", "event_type", "receives", "route")
+
+
 @query("raw_stream_backup", "select event_id, ts, user_id, event_type, value, props from events")
 def raw_stream_backup(spark, sf):
     root = shared_dir(spark, "backup")

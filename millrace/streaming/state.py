@@ -203,3 +203,50 @@ class AlertEscalationStream:
         if carried is not None:
             self._decide(carried, last_batch + 1, None)
         return spark.read.parquet(self.out).drop("batch")
+
+
+class RedriveStream:
+    """Retries with a dead-letter table.
+
+    Each batch tries its new messages and those still pending from the batch
+    before. A message that fails is pending again until it has been received
+    ``max_receives`` times; then it goes to the dead-letter table. Everything is
+    written under the batch number, so a replayed batch replaces itself.
+    """
+
+    def __init__(self, root: str, fails: Column, max_receives: int = 3):
+        self.root, self.fails, self.max_receives = root.rstrip("/"), fails, max_receives
+        self.done, self.pending, self.dead = (f"{self.root}/{d}" for d in ("done", "pending", "dead"))
+
+    def on_batch(self, batch: DataFrame, batch_id: int) -> None:
+        """``fails`` may use ``receives``, the number of this attempt."""
+        fresh = batch.withColumn("receives", F.lit(0))
+        waiting = _load(batch.sparkSession, f"{self.pending}/batch={batch_id - 1}")
+        rows = fresh if waiting is None else fresh.unionByName(waiting.select(*fresh.columns))
+        tried = durable(
+            rows.withColumn("receives", F.col("receives") + 1)
+            .withColumn("_failed", F.coalesce(self.fails, F.lit(False))))
+        spent = F.col("receives") >= self.max_receives
+        for path, part in ((self.done, ~F.col("_failed")), (self.pending, F.col("_failed") & ~spent),
+                           (self.dead, F.col("_failed") & spent)):
+            tried.where(part).drop("_failed").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    def writer(self, stream: DataFrame) -> DataStreamWriter:
+        return stream.writeStream.foreachBatch(self.on_batch)
+
+    def finish(self, spark: SparkSession, last_batch: int) -> DataFrame:
+        """Retry what is pending after the end of the stream; returns all messages with their route."""
+        waiting = _load(spark, f"{self.pending}/batch={last_batch}")
+        if waiting is not None:
+            nothing = waiting.drop("receives").where(F.lit(False))
+            for number in range(last_batch + 1, last_batch + self.max_receives):
+                self.on_batch(nothing, number)
+        parts = [
+            spark.read.parquet(path).drop("batch").withColumn("route", F.lit(route))
+            for path, route in ((self.done, "DONE"), (self.dead, "DLQ"))
+        ]
+        return parts[0].unionByName(parts[1])
+
+    def replay(self, spark: SparkSession) -> DataFrame:
+        """Messages of the dead-letter table as new input."""
+        return spark.read.parquet(self.dead).drop("batch", "receives")

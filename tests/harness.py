@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -113,7 +114,7 @@ def main(argv):
         wanted = []
     else:
         queries, oracles = load()
-    spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="12g")
+    spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="12g", spark__checkpoint__dir=tempfile.mkdtemp(prefix="harness-"))
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = 0
