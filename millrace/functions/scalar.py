@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ipaddress import IPv6Address
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,27 @@ PRIVATE_RANGES = (
 )
 # Addresses inside those ranges that are not private.
 PUBLIC_EXCEPTIONS = (("192.0.0.9", 32), ("192.0.0.10", 32))
+# The same for IPv6; mapped IPv4 addresses are judged as IPv4.
+PRIVATE_RANGES_6 = (
+    ("::1", 128),
+    ("::", 128),
+    ("64:ff9b:1::", 48),
+    ("100::", 64),
+    ("2001::", 23),
+    ("2001:db8::", 32),
+    ("2002::", 16),
+    ("fc00::", 7),
+    ("fe80::", 10),
+)
+PUBLIC_EXCEPTIONS_6 = (
+    ("2001:1::1", 128),
+    ("2001:1::2", 128),
+    ("2001:3::", 32),
+    ("2001:4:112::", 48),
+    ("2001:20::", 28),
+    ("2001:30::", 28),
+)
+MAPPED_PREFIX = "0" * 20 + "ffff"
 # ----------------------------------------------------------------------------
 
 
@@ -117,9 +140,54 @@ def ipv4_number(c: Column) -> Column:
     return F.when(c.rlike(IPV4_PATTERN), number)
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def ipv6_hex(c: Column) -> Column:
+    """IPv6 text as 32 hex digits, NULL when it is not an address."""
+    groups = lambda t: F.filter(F.split(t, ":"), lambda g: g != "")
+    none = F.array().cast("array<string>")
+
+    def dotted_tail(t: Column) -> Column:
+        four = F.lower(F.lpad(F.hex(ipv4_number(t)), 8, "0"))
+        return _once(four, lambda h: F.concat(F.substr(h, F.lit(1), F.lit(4)), F.lit(":"), F.substr(h, F.lit(5), F.lit(4))))
+
+    def joined(parts: Column) -> Column:
+        given = F.size(parts["l"]) + F.size(parts["r"])
+        whole = F.concat(parts["l"], F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - given, F.lit(0))), parts["r"])
+        fits = F.when(parts["short"], given <= 7).otherwise(given == 8)
+        return F.when(fits, _once(whole, lambda w: F.when(
+            F.forall(w, lambda g: F.length(g) <= 4), F.array_join(F.transform(w, lambda g: F.lpad(F.lower(g), 4, "0")), ""))))
+
+    def expanded(body: Column) -> Column:
+        fine = body.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$") & ~body.rlike(":::|::.*::|^:[^:]|[^:]:$")
+        parts = F.struct(
+            groups(F.substring_index(body, "::", 1)).alias("l"),
+            F.when(body.contains("::"), groups(F.substring_index(body, "::", -1))).otherwise(none).alias("r"),
+            body.contains("::").alias("short"))
+        return F.when(fine, _once(parts, joined))
+
+    body = F.when(c.contains("."), F.concat(
+        F.regexp_extract(c, r"^(.*:)[0-9.]+$", 1), dotted_tail(F.regexp_extract(c, r"[0-9.]+$", 0)))).otherwise(c)
+    return _once(body, expanded)
+
+
 def ip_private(c: Column) -> Column:
-    """Whether the IPv4 address lies in a private range; malformed text is not private."""
-    number = ipv4_number(c)
+    """Whether the IPv4 or IPv6 address lies in a private range; malformed text is not private."""
+    bounds = lambda ranges: [
+        (f"{int(IPv6Address(a)):032x}", f"{int(IPv6Address(a)) + 2 ** (128 - n) - 1:032x}") for a, n in ranges]
+
+    def judged(six: Column) -> Column:
+        inside = lambda ranges: any_of([six.between(lo, hi) for lo, hi in bounds(ranges)])
+        return F.when(six.isNotNull() & ~six.startswith(MAPPED_PREFIX), inside(PRIVATE_RANGES_6) & ~inside(PUBLIC_EXCEPTIONS_6)
+                      ).otherwise(_once(F.coalesce(F.conv(F.substr(six, F.lit(25), F.lit(8)), 16, 10).cast("long"), ipv4_number(c)), _private_4))
+
+    return _once(ipv6_hex(c), judged)
+
+
+def _private_4(number: Column) -> Column:
 
     def inside(ranges) -> Column:
         found = []
@@ -135,20 +203,33 @@ def ip_private(c: Column) -> Column:
 def cidr_check(c: Column) -> Column:
     """Struct: is_valid, severity, num_addresses, prefix_warning.
 
-    A bare address counts as /32. More than 65,536 addresses is a warning;
-    prefixes below 8 or above 28 set ``prefix_warning``.
+    IPv4 with a prefix, a netmask or a host mask, and IPv6 with a prefix; a bare address is a
+    network of one. More than 65,536 addresses is a warning; prefixes below 8 or
+    above 28 set ``prefix_warning``. The number of addresses is NULL beyond a long.
     """
-    address, prefix = F.substring_index(c, "/", 1), F.when(c.contains("/"), F.substring_index(c, "/", -1)).otherwise("32")
-    valid = F.coalesce(
-        address.rlike(IPV4_PATTERN) & prefix.rlike("^[0-9]{1,2}$") & (prefix.try_cast("int") <= 32)
-        & (F.length(F.regexp_replace(c, "[^/]", "")) <= 1),
-        F.lit(False),
-    )
-    bits = F.when(valid, prefix.try_cast("int"))
-    addresses = F.pow(F.lit(2.0), F.lit(32) - bits).cast("long")
-    severity = (
-        F.when(~valid, "ERROR").when(addresses > CIDR_BROAD_ADDRESSES, "WARNING").otherwise("INFO")
-    )
+    address, given = F.substring_index(c, "/", 1), F.when(c.contains("/"), F.substring_index(c, "/", -1))
+    width = F.when(ipv6_hex(address).isNotNull(), 128).when(address.rlike(IPV4_PATTERN), 32)
+
+    def ones(bits: Column) -> Column:
+        """Prefix length of a mask: ones and then zeros, or the reverse."""
+        return F.when(bits.rlike("^1*0*$"), F.length(F.replace(bits, F.lit("0"), F.lit("")))).when(
+            bits.rlike("^0+1+$"), F.length(F.replace(bits, F.lit("1"), F.lit(""))))
+
+    def prefix(width: Column) -> Column:
+        length = F.when(given.isNull(), width).when(given.rlike("^[0-9]{1,3}$"), given.try_cast("int")).when(
+            width == 32, _once(F.lpad(F.bin(ipv4_number(given)), 32, "0"), ones))
+        return F.struct(width.alias("width"), length.alias("length"))
+
+    one_mask = F.length(F.regexp_replace(c, "[^/]", "")) <= 1
+    return _once(_once(width, prefix), lambda p: _cidr_result(
+        p["width"], p["length"], F.coalesce(one_mask & (p["length"] <= p["width"]), F.lit(False))))
+
+
+def _cidr_result(width: Column, length: Column, valid: Column) -> Column:
+    bits = F.when(valid, length)
+    size = F.pow(F.lit(2.0), width - bits)
+    addresses = F.when(width - bits < 63, size.cast("long"))
+    severity = F.when(~valid, "ERROR").when(size > CIDR_BROAD_ADDRESSES, "WARNING").otherwise("INFO")
     return F.struct(
         valid.alias("is_valid"),
         severity.alias("severity"),
