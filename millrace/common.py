@@ -9,7 +9,7 @@ from functools import reduce
 from operator import and_, or_
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,10 +120,11 @@ def numbered(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
         .withColumn("_range", F.spark_partition_id()).withColumn("_local", local)
     )
     sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._range") < F.col("a._range"), "left")
-    starts = before.groupBy(F.col("a._range").alias("_range")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_start"))
+    # One row per shuffle partition, whatever the number of rows.
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     return (
-        placed.join(F.broadcast(starts), "_range")  # one row per shuffle partition
+        placed.join(F.broadcast(starts), "_range")
         .withColumn(out, F.col("_start") + F.col("_local")).drop("_range", "_local", "_start")
     )
 
