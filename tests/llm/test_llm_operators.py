@@ -469,7 +469,7 @@ def test_ppm_is_a_distribution():
             total[c] += x
         chosen = n >= 2
         kept.append((found[chosen], n[chosen].astype(float), np.array([total[c] for c in (found[chosen] >> np.uint64(8)).tolist()], float)))
-    trie = ppm.Trie(kept)
+    trie = ppm.Trie(kept[::-1])
     for context in (b"eabcde", b"zzzzzz", b"\n\n\n\n\n\n", b"e abca"):
         codes = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.uint64)
         assert (10 ** trie.log10(codes, ppm.ORDER)).sum() == pytest.approx(1, abs=1e-4)
