@@ -105,12 +105,15 @@ def _lines(min_chars: int):
     return run
 
 
-def _probe_heavy(heavy: tuple[bytes, ...], shards: int):
-    """Settle lines of the heavy shard; give every other line its shard."""
+def _probe_heavy(min_chars: int, heavy: tuple[bytes, ...], shards: int):
+    """Settle lines of the heavy shard; give every other line its shard.
+
+    Texts become lines in the same function: a second one in the task would keep a second Python worker.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Shard.unpack(*heavy)
-        for batch in batches:
+        for batch in _lines(min_chars)(batches):
             lines = batch.column(1)
             if not len(lines):
                 continue
@@ -220,14 +223,13 @@ def drop_repeated_lines(
     or more stay only in the document with the largest id.
     """
     spark = docs.sparkSession
-    lines = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")
-    ).mapInArrow(_lines(min_chars), "id long, line binary")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    lines = texts.mapInArrow(_lines(min_chars), "id long, line binary")
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     index, heavy, shards = line_index(lines, min_docs, shards)
 
-    marked = lines.mapInArrow(
-        _probe_heavy(heavy, shards), "shard int, settled boolean, id long, line binary"
+    marked = texts.mapInArrow(
+        _probe_heavy(min_chars, heavy, shards), "shard int, settled boolean, id long, line binary"
     )
     arrays = ("mph", "prints", "counts", "holders")
     both = index.select(
