@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.common import shared_dir
@@ -51,11 +52,9 @@ def ranked(df: DataFrame, keys: Sequence[Column], rank: str, name: str = "ranked
         name,
     )
     counts = placed.groupBy(part).agg(F.count("*").alias(n))
-    before = counts.alias("a").join(counts.alias("b"), F.col(f"b.{part}") < F.col(f"a.{part}"), "left")
-    offsets = before.groupBy(F.col(f"a.{part}").alias(part)).agg(
-        F.coalesce(F.sum(f"b.{n}"), F.lit(0)).alias(offset)
-    )
     # One row per shuffle partition: bounded by the number of tasks, not by rows.
+    earlier = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(part, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(offset))
     return (
         placed.join(F.broadcast(offsets), part)
         .withColumn(rank, F.col(local) + F.col(offset))
