@@ -5,7 +5,9 @@ a random shift, and the position of its cell on the Hilbert curve. Spark sorts t
 keys of all curves by range and numbers them; ``TILE`` consecutive ones are a
 tile. A query meets the tiles up to some radius around its own place on every
 curve; a tile's task scores its queries against its vectors in one product and hands
-on the best; they merge by query and are ranked on the original vectors.
+on the best; they merge by query and are ranked on the original vectors. The nearest
+tiles come first: what they find for a query is the least that tiles farther off
+must reach to be handed on.
 
 The largest inner product is the nearest neighbour once vectors are brought to
 equal length by one more coordinate, and queries by scaling.
@@ -196,7 +198,10 @@ def _tile(k: int):
         for at in range(0, len(queries), 2048):
             some = queries.iloc[at : at + 2048]
             who, rows, scores = _best(_stack(some["asked"]), data, k)
-            parts.append(pd.DataFrame({"query_id": ids[at + who], "point": points_[rows], "score": scores}))
+            near = scores >= some["least"].to_numpy(np.float64)[who]
+            parts.append(
+                pd.DataFrame({"query_id": ids[at + who[near]], "point": points_[rows[near]], "score": scores[near]})
+            )
         return pd.concat(parts)
 
     return run
@@ -265,15 +270,23 @@ def nearest(
     exact = _top(found_points.select("point", "vector").mapInPandas(_exact(trial, k + 1), columns), k + 1)
     used, radius = _window(entries, staged(exact, "neighbour-trials"), tiles)
 
-    around = F.explode(F.sequence(F.greatest(F.col("tile") - radius, F.lit(0)), F.least(F.col("tile") + radius, F.lit(tiles - 1))))
     probing = entries.where(F.col("query") & (F.col("curve") < used)).select(
-        F.col("point").alias("query_id"), F.col("vector").alias("asked"), around.alias("tile")
+        F.col("point").alias("query_id"), F.col("vector").alias("asked"), F.col("tile").alias("own")
     )
     stored = entries.where(~F.col("query") & (F.col("curve") <= used)).select("point", "vector", "tile")
-    candidates = (
-        stored.groupBy("tile").cogroup(probing.groupBy("tile")).applyInPandas(_tile(k + 1), columns)
-    )
-    best = _top(candidates.groupBy("query_id", "point").agg(F.max("score").alias("score")), k + 1)
+
+    def found_around(asking: DataFrame, reach: int) -> DataFrame:
+        around = F.sequence(F.greatest(F.col("own") - reach, F.lit(0)), F.least(F.col("own") + reach, F.lit(tiles - 1)))
+        met = asking.select("query_id", "asked", "least", F.explode(around).alias("tile"))
+        found = stored.groupBy("tile").cogroup(met.groupBy("tile")).applyInPandas(_tile(k + 1), columns)
+        return found.groupBy("query_id", "point").agg(F.max("score").alias("score"))
+
+    first = found_around(probing.withColumn("least", F.lit(float("-inf"))), min(radius, 1))
+    # The smallest of a query's best k + 1; with fewer there is no bound yet.
+    bound = _top(first, k + 1).groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n"))
+    least = staged(bound.where(F.col("n") > k).select("query_id", F.col("low").alias("least")), "neighbour-bounds")
+    bounded = probing.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    best = _top(found_around(bounded, radius), k + 1)
     expanded = best.join(found_points.select("point", "ids"), "point").select(
         "query_id", F.explode("ids").alias("vec_id"), "score"
     ).where("query_id <> vec_id")
