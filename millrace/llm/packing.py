@@ -137,7 +137,7 @@ class _Index:
     def __init__(self, rests: list[np.ndarray], idf: np.ndarray, average: float):
         self.terms = [_counts(r) for r in rests]
         docs = np.repeat(np.arange(len(rests)), [len(t) for t, _ in self.terms])
-        tokens = np.concatenate([t for t, _ in self.terms]).astype(np.int64)
+        tokens = np.concatenate([t for t, _ in self.terms])
         times = np.concatenate([c for _, c in self.terms]).astype(np.float64)
         lengths = np.array([len(r) for r in rests], np.float64)[docs]
         weight = idf[tokens] * times * (K1 + 1) / (times + K1 * (1 - B + B * lengths / average))
@@ -148,9 +148,8 @@ class _Index:
         self.size = len(rests)
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.tokens, terms)
-        at = at[at < len(self.tokens)]
-        found = at[np.isin(self.tokens[at], terms, assume_unique=True)]
+        at = np.minimum(np.searchsorted(self.tokens, terms), len(self.tokens) - 1)
+        found = at[self.tokens[at] == terms]
         lo, n = self.start[found], self.start[found + 1] - self.start[found]
         total = int(n.sum())
         place = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
