@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
@@ -159,6 +160,25 @@ def test_near_duplicates_awkward(spark, awkward):
     assert near_dedup.near_duplicate_classes(docs_of(spark, awkward).limit(0)).count() == 0
 
 
+def test_near_duplicates_keep_texts_that_share_an_id(spark):
+    rng = random.Random(21)
+    say = lambda: [f"{rng.choice('abcdefgh')}{rng.randint(0, 9999)}" for _ in range(80)]
+    texts = [say() for _ in range(12)]
+    near = [*texts[0][:-1], "end"]
+    rows = [(None if i % 2 else 7, " ".join(t), "s") for i, t in enumerate(texts)]
+    rows += [(7, " ".join(near), "s"), (9, " ".join(texts[3]), "s"), (7, " ".join(texts[2]), "s")]
+    want = Counter(" ".join(t) for t in texts)
+    for _ in range(2):
+        rng.shuffle(rows)
+        kept = near_dedup.keep_one(docs_of(spark, rows)).collect()
+        got = Counter(r.text for r in kept)
+        first = min((" ".join(texts[0]), " ".join(near)), key=lambda t: hashlib.md5(t.encode()).digest())
+        assert got == want - Counter([" ".join(texts[0])]) + Counter([first])
+        assert {r.doc_id for r in kept if r.text == " ".join(texts[3])} == {None}
+    frame = near_dedup.near_duplicate_classes(docs_of(spark, rows))
+    assert Counter(r.id for r in frame.collect()) == Counter(i for i, _, _ in rows)
+
+
 def test_components_of_a_long_path(spark):
     path = [(i, i + 1) for i in range(200)] + [(1000, 2000)]
     random.Random(1).shuffle(path)
