@@ -6,10 +6,12 @@ A message (conversation, turn, role, text) whose text is a JSON object with
 results meet in a hash join on conversation and identifier. A result comes
 directly after its call if it was written before it, else at its own turn;
 arguments are checked against the tool's schema; messages are written as JSON with
-sorted keys and no white space.
+sorted keys and no white space. All other fields of messages, calls and results are
+written too; arguments that are no JSON stay as their string. A text that is no JSON
+object as a whole (cut off, keys given twice) is plain text.
 
 The output has one row per conversation and part of ``PART_TURNS`` turns, so a
-conversation of any length is never gathered whole.
+long conversation is not gathered whole; the rows of one part are, however many.
 
 Repeated rows count once. Of calls with one identifier in a conversation the
 first by turn counts for linking, of its results the first; others are orphans.
@@ -47,6 +49,35 @@ def canonical(json: Column) -> Column:
     return F.to_json(F.try_parse_json(json))
 
 
+def _fields(parsed: Column) -> Column:
+    """Fields of a parsed JSON object (map of name to variant); NULL if it is no object."""
+    return F.try_variant_get(parsed, "$", "map<string,variant>")
+
+
+def _object(known: Mapping[str, Column], fields: Column, role: Column | None = None) -> Column:
+    """JSON object of written values and of all further ``fields``, keys sorted.
+
+    A field named role that differs from ``role`` is written as role_in_text.
+    """
+    further = F.map_filter(fields, lambda k, v: ~k.isin(*(x for x in known if x != "role")))
+    if role is not None:
+        same = lambda k, v: (k == "role") & F.try_variant_get(v, "$", "string").eqNullSafe(role)
+        further = F.map_filter(further, lambda k, v: ~same(k, v))
+    name = lambda k: F.when(k == "role", "role_in_text").otherwise(k) if role is not None else k
+    more = F.transform(
+        F.map_entries(further),
+        lambda e: F.struct(
+            name(e["key"]).alias("k"),
+            F.concat(_quoted(name(e["key"])), F.lit(":"), F.coalesce(F.to_json(e["value"]), F.lit("null"))).alias("v"),
+        ),
+    )
+    own = F.array(*(
+        F.struct(F.lit(k).alias("k"), F.concat(F.lit(f'"{k}":'), v).alias("v")) for k, v in known.items()
+    ))
+    parts = F.array_sort(F.concat(own, F.coalesce(more, F.slice(own, 1, 0))))
+    return F.concat(F.lit("{"), F.array_join(F.transform(parts, lambda p: p["v"]), ","), F.lit("}"))
+
+
 def _quoted(text: Column) -> Column:
     """JSON string literal of a text; NULL counts as empty."""
     wrapped = F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("v")))  # {"v":"..."}
@@ -91,8 +122,13 @@ def link_tool_calls(
         empty(role_col).alias("role"), empty(text_col).alias("text"),
     ).distinct()
     holds = (F.col("role") != "tool") & F.col("text").contains('"tool_calls"')
-    read = rows.withColumn("calls", F.when(holds, F.from_json("text", CALLS)["tool_calls"])).withColumn(
-        "result", F.when((F.col("role") == "tool"), F.from_json("text", RESULT))
+    parsed = F.when(holds | (F.col("role") == "tool"), F.try_parse_json("text"))
+    read = (
+        rows.withColumn("parsed", parsed).withColumn("fields", _fields(F.col("parsed")))
+        .withColumn("calls", F.when(holds & F.col("fields").isNotNull(), F.from_json("text", CALLS)["tool_calls"]))
+        .withColumn(
+            "result", F.when((F.col("role") == "tool") & F.col("fields").isNotNull(), F.from_json("text", RESULT))
+        )
     )
     identifier = F.col("result.tool_call_id")
     calls = (
@@ -122,26 +158,36 @@ def link_tool_calls(
         "conv", "turn", place.alias("at"), F.lit(1).alias("kind"),
         F.when(
             identifier.isNotNull(),
-            F.concat(
-                F.lit('{"content":'), _quoted(F.col("result.content")), F.lit(',"role":"tool","tool_call_id":'),
-                _quoted(identifier), F.lit("}"),
+            _object(
+                {"content": _quoted(F.col("result.content")), "role": F.lit('"tool"'), "tool_call_id": _quoted(identifier)},
+                F.col("fields"), F.col("role"),
             ),
         ).otherwise(plain).alias("json"),
         F.lit(0).alias("calls"), linked.alias("linked"), (~linked).alias("orphan"), none.alias("errors"),
     )
+    each = F.try_variant_get(F.col("parsed"), "$.tool_calls", "array<variant>")
     written = F.transform(
         "calls",
-        lambda c: F.concat(
-            F.lit('{"arguments":'), F.coalesce(canonical(c["arguments"]), F.lit("null")),
-            F.lit(',"id":'), _quoted(c["id"]), F.lit(',"name":'), _quoted(c["name"]), F.lit("}"),
+        lambda c, i: _object(
+            {
+                "arguments": F.coalesce(
+                    canonical(c["arguments"]), F.when(c["arguments"].isNotNull(), _quoted(c["arguments"])), F.lit("null")
+                ),
+                "id": _quoted(c["id"]), "name": _quoted(c["name"]),
+            },
+            _fields(F.get(each, i)),
         ),
     )
     spoken = read.where(F.col("role") != "tool").select(
         "conv", "turn", F.col("turn").alias("at"), F.lit(0).alias("kind"),
         F.when(
             F.col("calls").isNotNull(),
-            F.concat(
-                F.lit('{"role":'), _quoted(F.col("role")), F.lit(',"tool_calls":['), F.array_join(written, ","), F.lit("]}")
+            _object(
+                {
+                    "role": _quoted(F.col("role")),
+                    "tool_calls": F.concat(F.lit("["), F.array_join(written, ","), F.lit("]")),
+                },
+                F.col("fields"), F.col("role"),
             ),
         ).otherwise(plain).alias("json"),
         F.coalesce(F.size("calls"), F.lit(0)).alias("calls"), F.lit(False).alias("linked"), F.lit(False).alias("orphan"),
@@ -153,10 +199,10 @@ def link_tool_calls(
 
 
 def format_chats(messages: DataFrame, schemas: Mapping[str, Schema], **columns: str) -> DataFrame:
-    """One row per conversation and part: counts and the messages as a JSON array in order."""
+    """One row per conversation and part: counts, the messages as a JSON array in order, and their errors."""
     rows = link_tool_calls(messages, schemas, **columns)
     part = F.floor(F.col("at") / PART_TURNS).cast("long")
-    ordered = F.array_sort(F.collect_list(F.struct("at", "kind", "turn", "json")))
+    ordered = F.array_sort(F.collect_list(F.struct("at", "kind", "turn", "json", "errors")))
     return rows.groupBy(F.col("conv").alias("conv_id"), part.alias("part")).agg(
         F.count("*").alias("n_messages"),
         F.sum("calls").alias("n_calls"),
@@ -164,4 +210,5 @@ def format_chats(messages: DataFrame, schemas: Mapping[str, Schema], **columns:
         F.count(F.when(F.col("orphan"), 1)).alias("n_orphans"),
         F.sum(F.size("errors")).alias("n_errors"),
         F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda m: m["json"]), ","), F.lit("]")).alias("chat"),
+        F.flatten(F.transform(ordered, lambda m: m["errors"])).alias("errors"),
     )

@@ -245,4 +245,4 @@ def tool_traffic(conversations: DataFrame) -> DataFrame:
 )
 def op9_tool_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chats.format_chats(tool_traffic(conversations), ANSWER_TOOL)
+    return chats.format_chats(tool_traffic(conversations), ANSWER_TOOL).drop("errors")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -532,6 +533,26 @@ def test_chats_link_order_and_validate(spark):
     assert chats.format_chats(frame.limit(0), schema).count() == 0
 
 
+def test_chats_keep_content_fields_and_invalid_arguments(spark):
+    rows = [
+        (1, 0, "assistant", '{"content": "Let me see", "mood": {"b": 1, "a": null}, "tool_calls": [{"type": "function", "id": "x", "name": "add", "arguments": "a = 1"}]}'),
+        (1, 1, "tool", '{"tool_call_id": "x", "content": "3", "is_error": false, "role": "tool"}'),
+        (1, 2, "assistant", '{"role": "bot", "tool_calls": [], "content": [{"text": "hi"}]}'),
+        (1, 3, "assistant", '{"tool_calls": [{"id": "y", "name": "add", "arguments": "{\\"a\\": 1}"}], "content": "one", "content": "two"}'),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chats.format_chats(frame, {"add": {"a": ("integer", True)}}).first()
+    assert json.loads(got.chat) == [
+        {"content": "Let me see", "mood": {"a": None, "b": 1}, "role": "assistant",
+         "tool_calls": [{"arguments": "a = 1", "id": "x", "name": "add", "type": "function"}]},
+        {"content": "3", "is_error": False, "role": "tool", "tool_call_id": "x"},
+        {"content": [{"text": "hi"}], "role": "assistant", "role_in_text": "bot", "tool_calls": []},
+        {"content": rows[3][3], "role": "assistant"},
+    ]
+    assert got.chat.startswith('[{"content":"Let me see","mood":{"a":null,"b":1},"role":"assistant","tool_calls":[{"arguments":"a = 1",')
+    assert got.errors == ["arguments are no object"] and got.n_linked == 1
+
+
 def test_chats_name_the_errors(spark):
     rows = [('{"a": 1.5, "c": true}',), ('{"b": "x"}',), ('{"a": 3}',), ("nonsense",), (None,)]
     schema = {"add": {"a": ("integer", True), "b": ("number", False)}}
