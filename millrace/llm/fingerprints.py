@@ -4,13 +4,13 @@ A fingerprint holds the hashes of all word shingles that lie below a fixed
 fraction of the hash space (1 / ``SCALE``). Which hashes are kept does not
 depend on the document, so fingerprints of parts merge to that of the whole, and the share
 of a small document's hashes found in a large one estimates containment. Texts
-of up to ``SMALL`` shingles keep every hash (scale 1); any comparison first cuts
+of up to ``SMALL`` distinct shingles keep every hash (scale 1); any comparison first cuts
 both sides to the coarser scale.
 
 As text a fingerprint is its scale, a colon, and its sorted hashes, sixteen hex
 digits each. NULL texts count as empty; texts of fewer words than a shingle
-are one shingle, texts without words none. Two fingerprints without hashes at
-their common scale are alike (1.0) only if they are the same.
+are one shingle, texts without words none. A comparison for which
+nothing is left at the common scale, though there were shingles, is NULL: not known.
 """
 
 from __future__ import annotations
@@ -58,14 +58,14 @@ def shingle_hashes(text: Column) -> Column:
 def fingerprint(text: Column) -> Column:
     """struct(scale int, hashes array<long>) of a text."""
 
-    def made(shingles: Column) -> Column:
-        scale = F.when(F.size(shingles) <= SMALL, F.lit(1)).otherwise(F.lit(SCALE))
-        kept = F.when(F.size(shingles) <= SMALL, shingles).otherwise(
-            F.filter(shingles, lambda h: h <= _below(F.lit(SCALE)))
+    def made(distinct: Column) -> Column:
+        small = F.size(distinct) <= SMALL
+        kept = F.when(small, distinct).otherwise(F.filter(distinct, lambda h: h <= _below(F.lit(SCALE))))
+        return F.struct(
+            F.when(small, F.lit(1)).otherwise(F.lit(SCALE)).alias("scale"), F.array_sort(kept).alias("hashes")
         )
-        return F.struct(scale.alias("scale"), F.array_sort(F.array_distinct(kept)).alias("hashes"))
 
-    return _let(shingle_hashes(text), made)
+    return _let(F.array_distinct(shingle_hashes(text)), made)
 
 
 def as_text(print_: Column) -> Column:
@@ -87,19 +87,32 @@ def _sizes(a: Column, b: Column) -> tuple[Column, Column, Column]:
     return count(a["hashes"]), count(b["hashes"]), count(F.array_intersect(a["hashes"], b["hashes"]))
 
 
+def _none(print_: Column) -> Column:
+    """Whether a text has no shingles at all; at a coarser scale no hashes do not say so."""
+    return (print_["scale"] == 1) & (F.size(print_["hashes"]) == 0)
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of the shingles of both texts that they have in common."""
+    """Estimated share of the shingles of both texts that they have in common.
+
+    1.0 for two texts without shingles, 0.0 if one has none, NULL if no hash of either is left to compare.
+    """
     in_a, in_b, shared = _sizes(a, b)
-    return F.when(a["hashes"] == b["hashes"], F.lit(1.0)).otherwise(
-        F.coalesce(F.try_divide(shared.cast("double"), (in_a + in_b - shared).cast("double")), F.lit(0.0))
+    return (
+        F.when(_none(a) & _none(b), F.lit(1.0)).when(_none(a) | _none(b), F.lit(0.0))
+        .otherwise(F.try_divide(shared.cast("double"), (in_a + in_b - shared).cast("double")))
     )
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the first text's shingles that the second has."""
+    """Estimated share of the first text's shingles that the second has.
+
+    1.0 for two texts without shingles, 0.0 if one has none, NULL if no hash of the first is left to compare.
+    """
     in_a, _, shared = _sizes(a, b)
-    return F.when(a["hashes"] == b["hashes"], F.lit(1.0)).otherwise(
-        F.coalesce(F.try_divide(shared.cast("double"), in_a.cast("double")), F.lit(0.0))
+    return (
+        F.when(_none(a) & _none(b), F.lit(1.0)).when(_none(a) | _none(b), F.lit(0.0))
+        .otherwise(F.try_divide(shared.cast("double"), in_a.cast("double")))
     )
 
 

@@ -317,6 +317,30 @@ def test_fingerprints_merge_and_contain(spark):
     assert 600 < row[6] < 900  # an eighth of 5996
 
 
+def test_fingerprints_of_repeated_lines(spark):
+    rows = [(f"line {i} says {i} again and again\n" * 60, f"word{i} " * 300) for i in range(60)]
+    prints = spark.createDataFrame(rows, "line string, word string").withColumn("none", F.lit("")).select(
+        *(fingerprints.fingerprint(F.col(c)).alias(c) for c in ("line", "word", "none"))
+    )
+    sizes = prints.select(F.size("line.hashes"), F.size("word.hashes"), "line.scale", "word.scale").distinct().collect()
+    assert [tuple(r) for r in sizes] == [(7, 1, 1, 1)]
+    for f in (fingerprints.likeness, fingerprints.containment):
+        for a, b, want in (("line", "word", 0.0), ("word", "none", 0.0), ("none", "line", 0.0), ("line", "line", 1.0), ("none", "none", 1.0)):
+            assert {r[0] for r in prints.select(f(F.col(a), F.col(b))).collect()} == {want}
+
+
+def test_fingerprints_with_nothing_left_to_compare(spark):
+    big = " ".join(f"w{i}" for i in range(6000))
+    parts = [(" ".join(f"w{j}" for j in range(i, i + 5)), big) for i in range(0, 400, 10)]
+    got = spark.createDataFrame(parts, "part string, whole string").select(
+        *(fingerprints.fingerprint(F.col(c)).alias(c) for c in ("part", "whole"))
+    ).select(fingerprints.containment(F.col("part"), F.col("whole"))).collect()
+    # A part of one shingle is in the whole or cannot be judged, never out of it.
+    assert {r[0] for r in got} == {None, 1.0}
+    left = F.struct(F.lit(8).alias("scale"), F.array().cast("array<long>").alias("hashes"))
+    assert spark.range(1).select(fingerprints.likeness(left, left)).first()[0] is None
+
+
 # -- packing ---------------------------------------------------------------------------
 
 
