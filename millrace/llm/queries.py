@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import (
-    chats, fingerprints, line_dedup, mixing, near_dedup, neighbours, packing, ppm, quality, sharding,
+    chats, fingerprints, line_dedup, middle, mixing, near_dedup, neighbours, packing, ppm, quality, sharding,
 )
 from millrace.llm.common import table
 
@@ -246,3 +246,45 @@ def tool_traffic(conversations: DataFrame) -> DataFrame:
 def op9_tool_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chats.format_chats(tool_traffic(conversations), ANSWER_TOOL).drop("errors")
+
+
+@query(
+    "op12_fill_in_middle",
+    """
+    with drawn as (
+      select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(doc_id::varchar, '')) as digest from documents
+    ), cut as (
+      select *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') as units,
+             ('0x' || substr(digest, 1, 8))::bigint as h1, ('0x' || substr(digest, 9, 8))::bigint as h2,
+             ('0x' || substr(digest, 17, 8))::bigint as h3, ('0x' || substr(digest, 25, 8))::bigint as h4
+      from drawn
+    ), placed as (
+      select *, len(units)::bigint as n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) as low,
+             greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) as high,
+             case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>')
+                       or h3 % 100 >= 90 then 'plain'
+                  when h4 % 100 < 20 then 'spm' else 'psm' end as form
+      from cut
+    ), pieces as (
+      select *, coalesce(array_to_string(units[1:low], ''), '') as prefix,
+             coalesce(array_to_string(units[low + 1:high], ''), '') as middle,
+             coalesce(array_to_string(units[high + 1:], ''), '') as suffix
+      from placed
+    )
+    select doc_id, n, form,
+           case when form <> 'plain' then length(prefix) end as prefix_chars,
+           case when form <> 'plain' then length(middle) end as middle_chars,
+           sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                  else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+           sha256(text) as restored_sha256
+    from pieces
+    """,
+)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    output, form = F.col("fim.output"), F.col("fim.form")
+    return middle.fill_in_middle(docs).select(
+        "doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars",
+        digest(output).alias("output_sha256"), digest(middle.restore(output, form)).alias("restored_sha256"),
+    )
