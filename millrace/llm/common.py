@@ -37,6 +37,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables a job passes through, below one shared folder; what later steps no longer read is removed."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, shared_dir(spark, name)
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        """As :func:`staged`; the frame can be handed to :meth:`drop`."""
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.scratch_path = path
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete staged tables that no frame reads any more."""
+        for frame in frames:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(frame.scratch_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ranked(df: DataFrame, keys: Sequence[Column], rank: str, name: str = "ranked") -> DataFrame:
     """``df`` with its 0-based position in the order of ``keys``; ties in any order.
 

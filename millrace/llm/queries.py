@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import (
-    chats, fingerprints, line_dedup, middle, mixing, near_dedup, neighbours, packing, ppm, quality, sharding,
+    chats, embedding_dedup, fingerprints, line_dedup, middle, mixing, near_dedup, neighbours, packing, ppm, quality, sharding,
+    trie,
 )
-from millrace.llm.common import table
+from millrace.llm.common import Scratch, table
 
 #: Tokenizer file, the same vocabulary as ranks, and its split pattern.
 VOCABULARY = (
@@ -248,6 +249,11 @@ def op9_tool_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.format_chats(tool_traffic(conversations), ANSWER_TOOL).drop("errors")
 
 
+@query("op11_multi_index_dedup")
+def op11_multi_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 @query(
     "op12_fill_in_middle",
     """
@@ -288,3 +294,65 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars",
         digest(output).alias("output_sha256"), digest(middle.restore(output, form)).alias("restored_sha256"),
     )
+
+
+@query(
+    "op13_prefix_trie",
+    """
+    with rows as (
+      select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text
+      from conversations where conv_id is not null
+    ), turns as (
+      select conv_id, length(text) as n_chars, sha256(length(role) || ':' || role || text) as hash,
+             row_number() over (partition by conv_id order by turn nulls first, left(role, 64), left(text, 64),
+                                sha256(length(role) || ':' || role || text)) as pos
+      from rows
+    ), sized as (
+      select conv_id, count(*) as n from rows group by conv_id
+    ), convs as (
+      -- CRC-32 bit by bit: take in a byte, then shift eight times (-1).
+      select conv_id, n, xor(4294967295::bigint, list_reduce(
+               list_concat([4294967295::bigint], flatten([[ord(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]
+                                                          for x in string_split(conv_id::varchar, '')])),
+               lambda c, x: case when x >= 0 then xor(c, x) when c % 2 = 1 then xor(3988292384::bigint, c // 2) else c // 2 end)) % 6 as h
+      from sized
+    ), plan as (
+      select c.conv_id, c.h, least(c.h, coalesce(b.n, 0)) as shared, c.conv_id - c.conv_id % 100 as base
+      from convs c left join convs b on b.conv_id = c.conv_id - c.conv_id % 100
+    ), rebuilt as (
+      select p.conv_id, t.pos as depth, t.hash, t.n_chars from plan p join turns t on t.conv_id = p.base and t.pos <= p.shared
+      union all
+      select p.conv_id, p.shared + t.pos - p.h, t.hash, t.n_chars from plan p join turns t on t.conv_id = p.conv_id and t.pos > p.h
+    ), paths as (
+      select conv_id, depth, n_chars, string_agg(hash, ',') over (partition by conv_id order by depth) as path from rebuilt
+      union all select conv_id, 0, 0, '' from convs
+    ), members as (
+      select *, depth = max(depth) over (partition by conv_id) as last,
+             lag(path) over (partition by conv_id order by depth) as parent_path
+      from paths
+    ), nodes as (
+      select path, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(n_chars) as n_chars, any_value(parent_path) as parent_path,
+             sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where last), '')) as ends_sha256
+      from members group by path, depth
+    ), kids as (
+      select parent_path, count(*) as n from nodes where depth > 0 group by 1
+    ), weights as (
+      select n.*, coalesce(k.n, 0) as n_children, (n_convs - 1) * n_chars as saved from nodes n left join kids k on k.parent_path = n.path
+    ), totals as (
+      select a.path, count(*) filter (where w.n_children = 0) as n_leaves, sum(w.saved) as saved
+      from weights w join paths a on a.conv_id = w.conv_id and a.depth <= w.depth group by a.path
+    )
+    select w.conv_id, w.depth::bigint as depth, p.conv_id as parent_conv_id, w.n_convs, w.n_children, t.n_leaves,
+           t.saved::bigint as saved_tokens, w.ends_sha256
+    from weights w join totals t on t.path = w.path left join nodes p on w.depth > 0 and p.path = w.parent_path
+    """,
+)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    scratch = Scratch(spark, "trie")
+    built = trie.prefix_trie(*trie.share_heads(*trie.positions(conversations, scratch), every=100, most=5), scratch)
+    nothing = F.sha2(F.lit(b""), 256)
+    return built.nodes.join(trie.end_digests(built.ends), list(trie.NODE), "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends_sha256", nothing).alias("ends_sha256"),
+    )
