@@ -109,9 +109,12 @@ def with_default_limits(stats: DataFrame, metric: str) -> DataFrame:
 
 
 def default_states(stats: DataFrame, series: Sequence[str], metric: str, value: str, evaluation_periods: int = 2,
-                   period: str = "period") -> DataFrame:
-    """State of every metric series against its default limit: n breaching periods in a row, gaps not breaching."""
-    limited = with_default_limits(stats, metric)
+                   period: str = "period", period_seconds: int = 300) -> DataFrame:
+    """State of every metric series against its default limit: n breaching periods in a row, gaps not breaching.
+
+    Every period from a series' first to its last has a row; ``metric`` must be one of ``series``.
+    """
+    limited = with_default_limits(dense_periods(stats, series, period, period_seconds), metric)
     bad = F.when(F.col("op") == ">", F.col(value) > F.col("threshold")).otherwise(F.col(value) < F.col("threshold"))
     run = Window.partitionBy(*series).orderBy(period).rowsBetween(1 - evaluation_periods, 0)
     enough = F.count(F.lit(1)).over(run) == evaluation_periods
@@ -129,8 +132,13 @@ def anomaly_band(
     min_history: int = 3,
     evaluation_periods: int = 2,
     period: str = "period",
+    period_seconds: int = 3600,
 ) -> DataFrame:
-    """Compare each period with mean +- ``factor`` deviations of the periods before it."""
+    """Compare each period with mean +- ``factor`` deviations of the ``history`` periods before it.
+
+    Every period from a series' first to its last has a row; those without a value are not anomalous and add nothing to the history.
+    """
+    stats = dense_periods(stats, series, period, period_seconds)
     ordered = Window.partitionBy(*series).orderBy(period)
     past = ordered.rowsBetween(-history, -1)
     banded = stats.withColumns({

@@ -26,6 +26,46 @@ def filter_policy_route(df: DataFrame, policies: Mapping[str, Policy | None]) ->
     return df.withColumn("subscriber", F.explode(F.array_compact(F.array(*hits))))
 
 
+def policy_table_route(
+    events: DataFrame, policies: DataFrame, event_id: str, attributes: Sequence[str], spread: int = 16
+) -> DataFrame:
+    """(subscriber, event id) as :func:`filter_policy_route`, for policies that are a table of any size.
+
+    ``policies``: (subscriber, attribute, value) rows, one per allowed value; a subscriber with a row whose attribute is NULL
+    accepts all. Each policy is posted under the values of one attribute only, the one that the fewest events meet.
+    Events look up their (attribute, value) pairs in these postings by an equi-join, and what a policy asks of other attributes
+    is tested on the candidate. So the candidates are bounded by the rarest condition of each
+    policy, and a plan is the same for one policy or a million. Postings of all-accepting policies are
+    spread over ``spread`` keys, those of a hot pair are split by adaptive execution. Attributes compare as text.
+    """
+    text = {a: F.col(a).cast("string") for a in attributes}
+    pairs = F.array(*[F.struct(F.lit(a).alias("attribute"), v.alias("value")) for a, v in text.items()])
+    asked = events.select(
+        event_id, F.map_from_arrays(F.array(*[F.lit(a) for a in attributes]), F.array(*text.values())).alias("_has"), F.explode(
+            F.concat(pairs, F.array(F.struct(
+                F.lit("").alias("attribute"), F.pmod(F.xxhash64(event_id), F.lit(spread)).cast("string").alias("value"))))).alias("p"),
+    ).where(F.col("p.value").isNotNull()).select(event_id, "_has", "p.attribute", "p.value")
+    met = asked.where("attribute <> ''").groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("_met"))
+
+    open_to_all = policies.where(F.col("attribute").isNull()).select("subscriber").distinct()
+    stated = policies.where(F.col("attribute").isNotNull()).distinct()
+    weighed = stated.join(met, ["attribute", "value"], "left").groupBy("subscriber", "attribute").agg(
+        F.collect_set("value").alias("values"), F.sum(F.coalesce("_met", F.lit(0))).alias("_met"))
+    # One row per policy; it holds what the policy says, as a message does.
+    whole = weighed.groupBy("subscriber").agg(
+        F.min_by("attribute", F.struct("_met", "attribute")).alias("pivot"),
+        F.collect_list(F.struct("attribute", "values")).alias("conditions"))
+    others = F.filter("conditions", lambda c: c["attribute"] != F.col("pivot"))
+    own = F.flatten(F.transform(F.filter("conditions", lambda c: c["attribute"] == F.col("pivot")), lambda c: c["values"]))
+    posted = whole.select(
+        "subscriber", F.col("pivot").alias("attribute"), F.explode(own).alias("value"), others.alias("rest"))
+    all_posted = open_to_all.select(
+        "subscriber", F.lit("").alias("attribute"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<string>")).alias("value"),
+        F.array().cast(posted.schema["rest"].dataType).alias("rest"))
+    fits = F.forall("rest", lambda c: F.coalesce(F.array_contains(c["values"], F.try_element_at("_has", c["attribute"])), F.lit(False)))
+    return asked.join(posted.unionByName(all_posted), ["attribute", "value"]).where(fits).select("subscriber", event_id)
+
+
 def choice_route(df: DataFrame, accepted: Column, yes: str, no: str, column: str = "route") -> DataFrame:
     """Two-way choice; a NULL test takes the ``no`` branch."""
     return df.withColumn(column, F.when(accepted, F.lit(yes)).otherwise(F.lit(no)))

@@ -138,6 +138,37 @@ def filter_policy_route(spark, sf):
     return routing.filter_policy_route(events, POLICIES).select("subscriber", "event_id")
 
 
+@query("policy_table_route", """
+with p as (select o_orderkey as n, 's' || o_orderkey as subscriber, o_orderkey % 40 as kind from orders where o_totalprice > 400000),
+policy as (
+  select subscriber, 'user_id' as attribute, cast(n % 997 as varchar) as value from p
+  union select subscriber, 'user_id', cast((n + 1) % 997 as varchar) from p where kind % 3 = 0
+  union select subscriber, 'event_type', case n % 4 when 0 then 'click' when 1 then 'error' when 2 then 'view' else 'refund' end from p where kind % 2 = 0
+  union select 'all', null, null),
+need as (select subscriber, count(distinct attribute) as n from policy where attribute is not null group by 1),
+has as (select event_id, 'user_id' as attribute, cast(user_id as varchar) as value from events
+        union all select event_id, 'event_type', event_type from events),
+hit as (select p.subscriber, h.event_id, count(*) as n from policy p join has h using (attribute, value) group by 1, 2)
+select subscriber, event_id from hit join need using (subscriber, n)
+union all select 'all', event_id from events
+""")
+def policy_table_route(spark, sf):
+    """Thousands of policies derived from the large orders: one or two users, some with a kind of event, and one for all."""
+    n = F.col("o_orderkey")
+    large = table(spark, sf, "orders").where("o_totalprice > 400000")
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("click", "error", "view", "refund")]), (n % 4 + 1).cast("int"))
+    rule = lambda when, attribute, value: F.when(when, F.struct(F.lit(attribute).alias("attribute"), value.alias("value")))
+    rules = F.array_compact(F.array(
+        rule(F.lit(True), "user_id", (n % 997).cast("string")),
+        rule(n % 40 % 3 == 0, "user_id", ((n + 1) % 997).cast("string")),
+        rule(n % 40 % 2 == 0, "event_type", kinds)))
+    policies = large.select(F.concat(F.lit("s"), n.cast("string")).alias("subscriber"), F.inline(rules))
+    anyone = spark.range(1).select(
+        F.lit("all").alias("subscriber"), F.lit(None).cast("string").alias("attribute"), F.lit(None).cast("string").alias("value"))
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    return routing.policy_table_route(events, policies.unionByName(anyone), "event_id", ["user_id", "event_type"])
+
+
 @query("validity_route", f"""
 with {RAW_EVENTS}
 select id, case when id is not null and event_type is not null and user_id is not null

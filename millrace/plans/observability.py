@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import alarms, logs as L, metrics as M
+from millrace.operators import alarms, limits, logs as L, metrics as M
 from millrace.plans.inputs import EVENTS_AS_OF, LOGS, METRICS, logs, metrics
 from millrace.plans.registry import query, table
 
@@ -221,9 +221,12 @@ def alarm_evaluate(spark, sf):
 
 
 @query("anomaly_band", """
-with s as (select event_type, time_bucket(interval 1 hour, ts) as period, sum(cast(value as decimal(18,2)))::double as v
+with h as (select event_type, time_bucket(interval 1 hour, ts) as period, sum(cast(value as decimal(18,2)))::double as v
            from events group by 1, 2),
-w as (select *, count(*) over p as n, avg(v) over p as m, stddev_pop(v) over p as d from s
+span as (select event_type, min(period) as lo, max(period) as hi from h group by 1),
+grid as (select event_type, unnest(generate_series(lo, hi, interval 1 hour)) as period from span),
+s as (select event_type, period, v from grid left join h using (event_type, period)),
+w as (select *, count(v) over p as n, avg(v) over p as m, stddev_pop(v) over p as d from s
       window p as (partition by event_type order by period rows between 12 preceding and 1 preceding)),
 a as (select *, n >= 3 and coalesce(abs(v - m) > 2.0 * d, false) as anomalous from w)
 select event_type, period, v, round(m, 4) as expected, anomalous,
@@ -275,8 +278,11 @@ METRIC_NAMES = {"error": "Errors", "click": "Duration", "purchase": "Throttles",
 with s as (select case event_type when 'error' then 'Errors' when 'click' then 'Duration' when 'purchase' then 'Throttles'
                     when 'signup' then 'CPUUtilization' else 'QueueDepth' end as metric,
                   time_bucket(interval 1 hour, ts) as period, max(value) as v from events group by 1, 2),
-l as (select *, case metric when 'Errors' then 5.0 when 'Duration' then 30000.0 when 'Throttles' then 1.0 when 'CPUUtilization' then 80.0
-              else 100.0 end::double as threshold, case when metric = 'QueueDepth' then '<' else '>' end as op from s),
+span as (select metric, min(period) as lo, max(period) as hi from s group by 1),
+grid as (select metric, unnest(generate_series(lo, hi, interval 1 hour)) as period from span),
+l as (select metric, period, v, case metric when 'Errors' then 5.0 when 'Duration' then 30000.0 when 'Throttles' then 1.0
+                when 'CPUUtilization' then 80.0 else 100.0 end::double as threshold,
+             case when metric = 'QueueDepth' then '<' else '>' end as op from grid left join s using (metric, period)),
 b as (select *, coalesce(case op when '>' then v > threshold else v < threshold end, false) as bad from l)
 select metric, period, v, threshold, op,
        case when count(*) over r = 2 and bool_and(bad) over r then 'ALARM' else 'OK' end as state
@@ -289,7 +295,7 @@ def alarm_defaults(spark, sf):
         name = F.when(F.col("event_type") == kind, metric).otherwise(name)
     stats = alarms.period_statistics(
         table(spark, sf, "events").withColumn("metric", name), ["metric"], {"v": F.max("value")}, 3600)
-    return alarms.default_states(stats, ["metric"], "metric", "v")
+    return alarms.default_states(stats, ["metric"], "metric", "v", period_seconds=3600)
 
 
 @query("detect_offenders_rate_limit", """
@@ -300,6 +306,42 @@ def detect_offenders_rate_limit(spark, sf):
     return M.offenders(table(spark, sf, "events"), "user_id", 86_400, 5)
 
 
+@query("offenders_rolling", """
+with n as (select user_id, ts, epoch_us(ts) - epoch_us(lag(ts, 3) over (partition by user_id order by ts, event_id)) as us
+           from events where ts is not null)
+select user_id, count(*) as over, min(ts) as first_over, max(ts) as last_over from n where us < 86400000000 group by 1
+""")
+def offenders_rolling(spark, sf):
+    """Clients with more than three requests within any 24 hours, also over a day's edge."""
+    return limits.rolling_offenders(table(spark, sf, "events"), "user_id", "ts", "event_id", 86_400, 3)
+
+
+@query("token_bucket_throttle", """
+with recursive c as (
+  select event_type as client, cast(floor(epoch_us(ts) / 3600000000) as bigint) as tick, count(*) as requests
+  from events where ts is not null group by 1, 2),
+o as (select *, row_number() over (partition by client order by tick) as rn,
+             tick - lag(tick, 1, tick) over (partition by client order by tick) as waited from c),
+b as (
+  select client, tick, requests, rn, least(requests, 20) as allowed, 20 - least(requests, 20) as tokens from o where rn = 1
+  union all
+  select o.client, o.tick, o.requests, o.rn, least(o.requests, least(20, b.tokens + 2 * o.waited)),
+         least(20, b.tokens + 2 * o.waited) - least(o.requests, least(20, b.tokens + 2 * o.waited))
+  from b join o on o.client is not distinct from b.client and o.rn = b.rn + 1)
+select client, cast(sum(requests) as bigint) as requests, cast(sum(allowed) as bigint) as allowed,
+       cast(sum(requests - allowed) as bigint) as throttled, min(case when allowed < requests then tick end) as first_throttled
+from b group by 1
+""")
+def token_bucket_throttle(spark, sf):
+    """What buckets of 2 tokens an hour and 20 at most let through, per kind of event."""
+    spent = limits.token_bucket(
+        table(spark, sf, "events").withColumnRenamed("event_type", "client"), "client", "ts", 2, 20, 3_600_000_000)
+    return spent.groupBy("client").agg(
+        F.sum("requests").alias("requests"), F.sum("allowed").alias("allowed"),
+        F.sum(F.col("requests") - F.col("allowed")).alias("throttled"),
+        F.min(F.when(F.col("allowed") < F.col("requests"), F.col("tick"))).alias("first_throttled"))
+
+
 @query("queue_backlog", f"""
 select event_type, count(*) as visible,
        cast(floor((epoch_us(timestamp '{EVENTS_AS_OF}') - epoch_us(min(ts))) / 1000000) as bigint) as oldest_age_seconds,

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from millrace.operators import cdc, retention
+from millrace.common import shared_dir
+from millrace.operators import cdc, digests, retention
 from millrace.plans.inputs import EVENTS_AS_OF, ORDERS_AS_OF
 from millrace.plans.registry import query, table
+from millrace.sources.keyed import StoredByKey
 
 
 @query("reconcile", """
@@ -34,6 +38,28 @@ def reconcile(spark, sf):
     return cdc.reconcile(orders, target, ["o_orderkey"], ["o_totalprice", "o_orderstatus"])
 
 
+@query("reconcile_digest", """
+with target as (
+  select o_orderkey, case when o_orderkey % 5000 = 7 then o_totalprice + 1 else o_totalprice end as o_totalprice, o_orderstatus
+  from orders where o_orderkey % 7000 <> 5
+  union all select o_orderkey + 10000000000, o_totalprice, o_orderstatus from orders where o_orderkey % 9000 = 3)
+select coalesce(s.o_orderkey, t.o_orderkey) as o_orderkey,
+       case when t.o_orderkey is null then 'MISSING_IN_TARGET' when s.o_orderkey is null then 'EXTRA_IN_TARGET'
+            when s.o_totalprice is distinct from t.o_totalprice then 'MISMATCH' else 'MATCH' end as status,
+       case when s.o_orderkey is not null and t.o_orderkey is not null
+             and s.o_totalprice is distinct from t.o_totalprice then 'o_totalprice' end as differing
+from orders s full outer join target t on s.o_orderkey = t.o_orderkey
+""")
+def reconcile_digest(spark, sf):
+    """A target that hardly differs: rows of buckets with equal digests are not joined."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    key = F.col("o_orderkey")
+    changed = orders.where(key % 7000 != 5).withColumn(
+        "o_totalprice", F.when(key % 5000 == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    extra = orders.where(key % 9000 == 3).withColumn("o_orderkey", key + 10_000_000_000)
+    return digests.reconcile_by_digest(orders, changed.unionByName(extra), ["o_orderkey"], ["o_totalprice", "o_orderstatus"])
+
+
 CHANGES_SQL = """
 changes as (
   select o_orderkey, 'U' as op, 1::bigint as seq, o_totalprice * 2 as o_totalprice, 'X' as o_orderstatus from orders where o_orderstatus = 'P'
@@ -77,6 +103,26 @@ def cdc_apply(spark, sf):
     return cdc.apply_changes(orders.select(*ORDER_COLUMNS), order_changes(orders), ["o_orderkey"])
 
 
+@query("cdc_apply_stored", f"""
+with {CHANGES_SQL},
+feed as (select * from changes where o_orderkey % 500 = 3),
+last as (select * from (select *, row_number() over (partition by o_orderkey order by seq desc) as rn from feed) where rn = 1),
+merged as (
+  select o_orderkey, o_totalprice, o_orderstatus from orders where o_orderkey not in (select o_orderkey from last)
+  union all select o_orderkey, o_totalprice, o_orderstatus from last where op <> 'D')
+select * from merged where o_orderkey % 700 <> 9
+""")
+def cdc_apply_stored(spark, sf):
+    """A small feed and a few erasures on a table stored by key."""
+    orders = table(spark, sf, "orders")
+    name = f"stored_{uuid.uuid4().hex[:12]}"
+    stored = StoredByKey(spark, name, shared_dir(spark, "stored"), ["o_orderkey"], parts=32)
+    stored.create(orders.select(*ORDER_COLUMNS))
+    stored.apply(order_changes(orders).where("o_orderkey % 500 = 3"))
+    stored.erase(orders.where("o_orderkey % 700 = 9"))
+    return stored.rows()
+
+
 @query("cdc_table_selection", """
 select 'sales' as schema_name, 'orders' as table_name, o_orderkey as row_key from orders
 union all select 'crm', 'customer', c_custkey from customer

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.common import shared_dir
+from millrace.common import bin_start, shared_dir
+from millrace.operators import alarms
 from millrace.plans.inputs import EVENTS_AS_OF
 from millrace.plans.reconciliation import CHANGES_SQL, order_changes
 from millrace.plans.registry import query, table
-from millrace.streaming import jobs, state
+from millrace.streaming import jobs, state, stateful
 
 #: Bounds between the drops of a replay. The first drop is open below and has the
 #: rows without a time, the last is open above: together they are the whole table.
@@ -39,6 +40,14 @@ def deliver(drop, root, writer_of):
     return jobs.run_available(writer_of(stream), f"{root}/checkpoint")
 
 
+def clock(events, at=None):
+    """A row of no one that moves the watermark to ``at``, or else far past all others, as later traffic would."""
+    empty = {c: F.lit(None).cast(t) for c, t in events.dtypes if c not in ("event_id", "ts")}
+    late = F.max("ts") + F.expr("interval 30 days")
+    late = (late if at is None else F.lit(at).cast("timestamp_ntz")).alias("ts")
+    return events.agg(late).withColumns({"event_id": F.lit(-1).cast("long"), **empty}).select(*events.columns)
+
+
 def last_batch(query):
     return max((p["batchId"] for p in query.recentProgress), default=-1)
 
@@ -142,9 +151,15 @@ from events
 """)
 def stream_sliding_count(spark, sf):
     root = shared_dir(spark, "sliding")
-    job = state.SlidingCountStream(root)
-    done = replay(table(spark, sf, "events").select("event_id", "ts"), root, job.writer)
-    return job.finish(spark, last_batch(done)).drop("late")
+    events = table(spark, sf, "events").select("event_id", "ts")
+
+    def writer(stream):
+        counts = stateful.sliding_count(stream)
+        return counts.where("event_id >= 0").writeStream.format("parquet").option("path", f"{root}/out")
+
+    replay(events, root, writer)
+    deliver(clock(events), root, writer)
+    return spark.read.parquet(f"{root}/out")
 
 
 @query("stream_tumbling_metrics", """
@@ -223,10 +238,41 @@ s as (select cast(batch as integer) as batch, count(*) as records, min(ts) as ol
 select *, age_seconds > 300 as alarm from s
 """)
 def stream_lag_monitor(spark, sf):
-    root = shared_dir(spark, "lag")
     now = F.lit(EVENTS_AS_OF).cast("timestamp_ntz")
-    replay(table(spark, sf, "events"), root, lambda stream: jobs.lag_rows(stream, "ts", f"{root}/out", now))
-    return spark.read.parquet(f"{root}/out")
+    lag = stateful.lag_metric(watched(spark, sf), now)
+    return lag.drop("newest").withColumns(
+        {"batch": F.col("batch").cast("int"), "alarm": F.col("age_seconds") > jobs.BUFFER_SECONDS})
+
+
+def watched(spark, sf):
+    """Metric rows a listener made of a replay of all events."""
+    root = shared_dir(spark, "lag")
+    listener = stateful.ProgressMetrics()
+    spark.streams.addListener(listener)
+    try:
+        replay(table(spark, sf, "events"), root, lambda stream: (
+            listener.observe(stream, "ts").writeStream.format("parquet").option("path", f"{root}/out")))
+        return listener.rows(spark)
+    finally:
+        spark.streams.removeListener(listener)
+
+
+@query("stream_lag_alarm", f"""
+with w as (select {DROP_SQL} as batch, ts from events),
+s as (select batch, time_bucket(interval 1 day, max(ts)) as period,
+             cast(epoch(timestamp '{EVENTS_AS_OF}') as bigint) - cast(epoch(date_trunc('second', min(ts))) as bigint) as age_seconds
+      from w group by 1),
+grid as (select unnest(generate_series((select min(period) from s), (select max(period) from s), interval 1 day)) as period),
+f as (select grid.period, s.age_seconds, coalesce(s.age_seconds > 1209600, false) as bad from grid left join s using (period))
+select 'events' as source, period, age_seconds,
+       case when bad then 'ALARM' else 'OK' end as state from f
+""")
+def stream_lag_alarm(spark, sf):
+    """Daily alarm over the listener's metric rows: the oldest record of a micro-batch is two weeks behind."""
+    lag = stateful.lag_metric(watched(spark, sf), F.lit(EVENTS_AS_OF).cast("timestamp_ntz"))
+    days = lag.select(F.lit("events").alias("source"), bin_start(F.col("newest"), 86_400).alias("period"), "age_seconds")
+    return alarms.evaluate(
+        days, ["source"], "age_seconds", 14 * 86_400, ">", evaluation_periods=1, period_seconds=86_400)
 
 
 @query("stream_alert_escalation", """
@@ -237,11 +283,42 @@ from events a where a.event_type = 'error'
 """)
 def stream_alert_escalation(spark, sf):
     root = shared_dir(spark, "alerts")
-    job = state.AlertEscalationStream(
-        root, "user_id", "ts", "event_id", F.col("event_type") == "error", F.col("event_type") == "click", 6 * 3600)
     events = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
-    done = replay(events, root, job.writer)
-    return job.finish(spark, last_batch(done)).select("event_id", "user_id", "status")
+
+    def writer(stream):
+        decided = stateful.escalate(
+            stream, "user_id", "event_id", "ts", F.col("event_type") == "error", F.col("event_type") == "click",
+            "6 hours", "10 minutes")
+        return decided.writeStream.format("parquet").option("path", f"{root}/out")
+
+    replay(events, root, writer)
+    deliver(clock(events), root, writer)
+    return spark.read.parquet(f"{root}/out").select("event_id", "user_id", "status")
+
+
+@query("stream_ttl", f"""
+with k as (select user_id, ts, coalesce(ts > lag(ts) over w + interval 2 days, true) as fresh
+           from events where ts is not null and user_id is not null window w as (partition by user_id order by ts)),
+l as (select user_id, ts, count(*) filter (where fresh) over (partition by user_id order by ts) as life from k),
+s as (select user_id, min(ts) as first_seen, max(ts) as last_seen, count(*) as writes, max(ts) + interval 2 days as expires_at
+      from l group by user_id, life)
+select user_id, first_seen, last_seen, writes, expires_at,
+       case when expires_at <= timestamp '{EVENTS_AS_OF}' then 'EXPIRED' else 'LIVE' end as state from s
+""")
+def stream_ttl(spark, sf):
+    """Keys with two days to live after each write: the lives that ended by the as-of time, and what the state still holds."""
+    root = shared_dir(spark, "ttl")
+    events = table(spark, sf, "events").select("user_id", "event_id", "ts")
+
+    def writer(stream):
+        gone = stateful.expired(stream, ["user_id"], "ts", "2 days", "0 seconds")
+        return gone.writeStream.format("parquet").option("path", f"{root}/out")
+
+    replay(events, root, writer)
+    deliver(clock(events, EVENTS_AS_OF), root, writer)
+    ended = spark.read.parquet(f"{root}/out").withColumnRenamed("expired_at", "expires_at").withColumn("state", F.lit("EXPIRED"))
+    held = stateful.live(spark, f"{root}/checkpoint", ["user_id"]).withColumn("state", F.lit("LIVE"))
+    return ended.unionByName(held)
 
 
 @query("stream_redrive", """

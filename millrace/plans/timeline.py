@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import timeline
+from millrace.operators import limits, timeline
 from millrace.plans.registry import query, table
 
 
@@ -50,6 +50,25 @@ def capture_dedupe_first(spark, sf):
     return kept.select("event_id", "ts", "user_id", "event_type")
 
 
+@query("capture_dedupe_rolling", """
+with recursive n as (
+  select event_type, user_id % 7 as body, ts, min(event_id) as event_id from events where ts is not null group by 1, 2, 3),
+links as (
+  select event_type, body, ts, min(ts) over (partition by event_type, body order by ts
+         range between interval 1 hour following and unbounded following) as next_ts from n),
+kept as (
+  select event_type, body, min(ts) as ts from n group by 1, 2
+  union all
+  select k.event_type, k.body, l.next_ts from kept k join links l using (event_type, body, ts) where l.next_ts is not null)
+select n.event_id, n.ts, n.event_type, n.body from kept join n using (event_type, body, ts)
+union all select min(event_id), null, event_type, user_id % 7 from events where ts is null group by 3, 4
+""")
+def capture_dedupe_rolling(spark, sf):
+    """Messages of a kind and body at least an hour after the last one kept."""
+    events = table(spark, sf, "events").select("event_id", "ts", "event_type", (F.col("user_id") % 7).alias("body"))
+    return limits.rolling_dedupe(events, ["event_type", "body"], "ts", "event_id", 3_600_000_000)
+
+
 @query("point_in_time_features", """
 select l.event_id as label_id, l.user_id, l.ts as label_time, f.ts as feature_time, f.value as last_purchase
 from (select * from events where event_type = 'error') l
