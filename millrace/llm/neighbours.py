@@ -2,7 +2,7 @@
 
 Every vector gets one key per curve: a random projection to ``DIMS`` dimensions,
 a random shift, and the position of its cell on the Hilbert curve. Spark sorts the
-keys of all curves by range and numbers them; ``TILE`` consecutive ones are a
+keys of all curves by range and numbers them; ``TILE`` consecutive ones of a curve are a
 tile. A query meets the tiles up to some radius around its own place on every
 curve; a tile's task scores its queries against its vectors in one product and hands
 on the best; they merge by query and are ranked on the original vectors. The nearest
@@ -40,6 +40,8 @@ from millrace.llm.common import ranked, staged
 DIMS, BITS = 8, 6
 CURVES = 4
 TILE = 1024
+#: Tiles whose queries meet a tile in one group.
+TOGETHER = 32
 #: Queries whose exact neighbours set the radius, and the share of them to reach.
 TRIALS, AIM = 64, 0.97
 #: Rows that set the scale of the projections, at most.
@@ -227,7 +229,7 @@ def _window(entries: DataFrame, trials: DataFrame, tiles: int) -> tuple[int, int
         near = np.sort(table[:, :used].min(axis=1))
         reach = near[min(len(near) - 1, int(np.ceil(AIM * len(near))) - 1)]
         radius = int(np.ceil(reach / TILE))
-        cost = used * min(2 * radius + 1, -(-tiles // CURVES))
+        cost = used * min(2 * radius + 1, tiles)
         if best is None or cost < best[0]:
             best = (cost, used, radius)
     return best[1], best[2]
@@ -258,10 +260,11 @@ def nearest(
         _entries(curves), "curve int, key long, point long, query boolean, vector array<double>"
     )
     order = [F.col("curve"), F.col("key"), F.xxhash64("point"), F.col("query")]
-    entries = ranked(keyed, order, "rank", "neighbour-entries").withColumn(
-        "tile", F.floor(F.col("rank") / TILE).cast("long")
-    )
-    tiles = -(-entries.count() // TILE)
+    entries = ranked(keyed, order, "rank", "neighbour-entries")
+    # Every curve orders the same rows, so its part of the order has the same length, and a point stands once in it.
+    each = entries.count() // CURVES
+    entries = entries.withColumn("tile", F.floor(F.col("rank") % F.lit(max(1, each)) / TILE).cast("long"))
+    tiles = -(-each // TILE)
 
     asked = queries.orderBy(F.xxhash64("vec_id")).limit(TRIALS).toPandas()
     if not len(asked):
@@ -271,14 +274,20 @@ def nearest(
     used, radius = _window(entries, staged(exact, "neighbour-trials"), tiles)
 
     probing = entries.where(F.col("query") & (F.col("curve") < used)).select(
-        F.col("point").alias("query_id"), F.col("vector").alias("asked"), F.col("tile").alias("own")
+        F.col("curve").alias("along"), F.col("point").alias("query_id"), F.col("vector").alias("asked"), F.col("tile").alias("own")
     )
-    stored = entries.where(~F.col("query") & (F.col("curve") <= used)).select("point", "vector", "tile")
+    stored = entries.where(~F.col("query") & (F.col("curve") < used)).select("curve", "tile", "point", "vector")
 
     def found_around(asking: DataFrame, reach: int) -> DataFrame:
-        around = F.sequence(F.greatest(F.col("own") - reach, F.lit(0)), F.least(F.col("own") + reach, F.lit(tiles - 1)))
-        met = asking.select("query_id", "asked", "least", F.explode(around).alias("tile"))
-        found = stored.groupBy("tile").cogroup(met.groupBy("tile")).applyInPandas(_tile(k + 1), columns)
+        """Tiles meet the queries of up to ``reach`` tiles around, ``TOGETHER`` of those tiles in a group."""
+        last = F.lit(tiles - 1)
+        low, high = (lambda c: F.greatest(F.col(c) - reach, F.lit(0))), (lambda c: F.least(F.col(c) + reach, last))
+        group = lambda c: F.floor(c / TOGETHER).cast("long")
+        met = asking.select(
+            "along", "query_id", "asked", "least", group(F.col("own")).alias("from"), F.explode(F.sequence(low("own"), high("own"))).alias("at")
+        )
+        held = stored.withColumn("group", F.explode(F.sequence(group(low("tile")), group(high("tile")))))
+        found = held.groupBy("curve", "tile", "group").cogroup(met.groupBy("along", "at", "from")).applyInPandas(_tile(k + 1), columns)
         return found.groupBy("query_id", "point").agg(F.max("score").alias("score"))
 
     first = found_around(probing.withColumn("least", F.lit(float("-inf"))), min(radius, 1))
