@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # --- fixed values ------------------------------------------------------------
@@ -85,3 +86,28 @@ def zones_kept(df: DataFrame, ts: str, as_of: str, zones: Mapping[str, int | Non
         df.select(F.inline(each)).groupBy("zone")
         .agg(F.count(F.when(F.col("keep"), 1)).alias("kept"), F.count(F.when(~F.col("keep"), 1)).alias("dropped"))
     )
+
+
+def drop_partitions(spark: SparkSession, root: str, day: str, ts: str, cutoff: str) -> tuple[list[str], list[str]]:
+    """Apply a cutoff to a table partitioned by ``day=YYYY-MM-DD``: (folders removed, folders rewritten).
+
+    Days before the cutoff's go whole, by the name of their folder: nothing in them is read. Only the day the cutoff falls into
+    is read, and written again without the rows before it, beside the old files, which it replaces at the end. Rows without a day stay.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    edge, _, time = cutoff.partition(" ")
+    names = [s.getPath().getName() for s in files.listStatus(path(root)) if s.isDirectory()]
+    days = {n: n.partition("=")[2] for n in names if re.fullmatch(rf"{re.escape(day)}=\d{{4}}-\d\d-\d\d", n)}
+    gone = sorted(n for n, d in days.items() if d < edge)
+    for name in gone:
+        files.delete(path(f"{root}/{name}"), True)
+    split = [n for n, d in days.items() if d == edge and time.strip("0:.")]
+    for name in split:
+        stored = spark.read.option("basePath", root).parquet(f"{root}/{name}")
+        kept = stored.where(F.col(ts) >= F.lit(cutoff).cast("timestamp_ntz"))
+        if kept.head(1):
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(root)
+        else:
+            files.delete(path(f"{root}/{name}"), True)
+    return gone, split

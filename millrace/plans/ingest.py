@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.common import shared_dir
+from millrace.common import literal_table, shared_dir
 from millrace.operators import cdc, etl, metrics as M
 from millrace.plans.inputs import LOGS, RAW_EVENTS, SALES, logs, raw_events, sales
 from millrace.plans.registry import query, table
-from millrace.sources import files, tables
+from millrace.sources import evolution, files, tables
 from millrace.streaming import jobs
 
 MICROS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
@@ -79,6 +79,56 @@ def schema_evolution_merge(spark, sf):
     return files.evolve(old, new)
 
 
+GENERATIONS_SQL = """
+select 0 as generation, c_custkey::bigint as c_custkey, c_name, c_acctbal::double as c_acctbal, null::varchar as segment,
+       cast(c_nationkey as varchar) as nation from customer where c_custkey % 3 = 0
+union all select 1, c_custkey, c_name, null, c_mktsegment, cast(c_nationkey as varchar) from customer where c_custkey % 3 = 1
+union all select 2, c_custkey, null, c_acctbal::double, c_mktsegment, 'N' || c_nationkey from customer where c_custkey % 3 = 2
+"""
+
+
+def generations(spark, sf):
+    """Three runs of one export: a key that widens, columns that come and go, a number that becomes a text."""
+    customer = table(spark, sf, "customer")
+    root = shared_dir(spark, "generations")
+    of = lambda n: customer.where(F.col("c_custkey") % 3 == n)
+    nation = F.col("c_nationkey").cast("int").alias("nation")
+    segment = F.col("c_mktsegment").alias("segment")
+    runs = [
+        of(0).select(F.col("c_custkey").cast("int").alias("c_custkey"), "c_name", F.col("c_acctbal").cast("decimal(12,2)").alias("c_acctbal"), nation),
+        of(1).select("c_custkey", "c_name", segment, nation),
+        of(2).select("c_custkey", F.col("c_acctbal").cast("double").alias("c_acctbal"), segment,
+                     F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("nation")),
+    ]
+    for n, run in enumerate(runs):
+        run.write.parquet(f"{root}/run={n}")
+    return [spark.read.parquet(f"{root}/run={n}") for n in range(len(runs))]
+
+
+@query("schema_evolution_types", GENERATIONS_SQL)
+def schema_evolution_types(spark, sf):
+    return evolution.evolve_all(generations(spark, sf), "generation")
+
+
+@query("schema_evolution_report", """
+select 'c_custkey' as column_name, 'retyped' as change, 'int,bigint' as types, 'bigint' as merged_type, count(*) as "rows" from customer
+union all select 'c_name', 'removed', 'string', 'string', count(c_name) from customer where c_custkey % 3 <> 2
+union all select 'c_acctbal', 'retyped', 'decimal(12,2),double', 'double', count(c_acctbal) from customer where c_custkey % 3 <> 1
+union all select 'nation', 'retyped', 'int,string', 'string', count(c_nationkey) from customer
+union all select 'segment', 'added', 'string', 'string', count(c_mktsegment) from customer where c_custkey % 3 <> 0
+""")
+def schema_evolution_report(spark, sf):
+    """How each column changed over the generations, and how many rows have it."""
+    runs = generations(spark, sf)
+    merged = evolution.evolve_all(runs)
+    filled = merged.agg(*[F.count(c).alias(c) for c in merged.columns])
+    counts = filled.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("rows")) for c in merged.columns])))
+    report = literal_table(
+        spark, [r[:4] for r in evolution.evolution_report(runs)], "column_name string, change string, types string, merged_type string")
+    return counts.join(report, "column_name")
+
+
 @query("write_partitioned", f"""
 with {SALES}
 select distinct order_id, customer_id, cast(amount as double) as amount, cast(year(order_date) as integer) as order_year,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import learning as ML
+from millrace.operators import learning as ML, sketches
 from millrace.plans.inputs import bucket_sql
 from millrace.plans.registry import query, table
 
@@ -156,6 +156,22 @@ def drift_check(spark, sf):
     return weekly_drift(spark, sf).withColumn("psi", F.round("psi", 6))
 
 
+@query("drift_rolling", """
+with b as (select ts::date as day, least(greatest(floor(value / 10.0)::int, 0), 9) as bin from events where value is not null and ts is not null),
+g as (select d.day, x.bin, (select count(*) from b where b.day = d.day and b.bin = x.bin) as n
+      from (select distinct day from b) d, (select unnest(range(10)) as bin) x),
+r as (select *, coalesce(sum(n) over (partition by bin order by day range between interval 7 days preceding and interval 1 day preceding), 0) as ref from g),
+t as (select *, sum(n) over (partition by day) as total, sum(ref) over (partition by day) as refs from r),
+s as (select day, cast(refs as bigint) as refs, greatest(n / total, 1e-6) as c, greatest(ref / nullif(refs, 0), 1e-6) as p from t),
+psi as (select day, max(refs) as reference_rows, round(sum(case when refs > 0 then (c - p) * ln(c / p) end), 6) as psi from s group by 1)
+select *, coalesce(psi > 0.1, false) as drift from psi
+""")
+def drift_rolling(spark, sf):
+    """Each day against the seven before it, from stored daily histograms."""
+    daily = sketches.daily_histogram(table(spark, sf, "events"), "ts", "value", 0.0, 100.0, 10)
+    return sketches.rolling_drift(daily).withColumn("psi", F.round("psi", 6))
+
+
 @query("retrain_trigger", f"""
 with {DRIFT}, acc as (select (count(*) filter (where quality = toxic))::double / count(*)::double as a from labels),
 r as (select week, a as accuracy, psi, date_diff('day', date '2024-01-01', week) as days from psi, acc)

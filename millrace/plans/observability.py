@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import alarms, limits, logs as L, metrics as M
+from millrace.operators import alarms, limits, logs as L, metrics as M, templates
 from millrace.plans.inputs import EVENTS_AS_OF, LOGS, METRICS, logs, metrics
 from millrace.plans.registry import query, table
 
@@ -114,6 +114,38 @@ def log_patterns(spark, sf):
     return L.patterns(lines, "line").select(F.md5("pattern").alias("pattern_id"), "n", "share")
 
 
+@query("log_templates", rf"""
+with {LOGS},
+masked as (select regexp_replace(regexp_replace(regexp_replace(coalesce(message || ' by user ' || 'u' || chr(97 + cast(correlation_id % 26 as integer)) || chr(97 + cast(correlation_id // 26 % 26 as integer)), ''),
+             '"[^"]*"', '<str>', 'g'), '0x[0-9a-fA-F]+', '<hex>', 'g'), '[0-9]+', '<num>', 'g') as m from logs),
+counted as (select m, count(*) as n from masked group by 1),
+known as (select m, n, string_split(trim(regexp_replace(m, '\s+', ' ', 'g')), ' ') as w from counted),
+grouped as (select *, len(w) as words, case when contains(w[1], '<') then '<*>' else w[1] end as first from known),
+placed as (select m, n, words, first, unnest(w) as word, generate_subscripts(w, 1) as spot from grouped),
+often as (select words, first, spot, word, sum(n) as c from placed group by all),
+sizes as (select words, first, sum(n) as total from grouped group by all),
+fixed as (select words, first, spot, word, true as kept from often join sizes using (words, first) where c >= total * 0.02 and c >= 2),
+lined as (select m, n, words, first, list(case when kept or contains(word, '<') then word else '<*>' end order by spot) as t
+          from placed left join fixed using (words, first, spot, word) group by 1, 2, 3, 4),
+found as (select words, first, t, sum(n) as n from lined group by all),
+opened as (select words, first, t, n, spot, list_transform(t, lambda x, i: case when i = spot then '<*>' else x end) as o
+           from (select *, unnest(range(1, len(t) + 1)) as spot from found)),
+crowded as (select words, first, spot, o from opened group by all having count(*) >= 8 or 2 * sum(case when t = o then n end) >= sum(n)),
+loose as (select words, first, t, list(distinct spot) as spots from opened join crowded using (words, first, spot, o) group by all),
+merged as (select list_transform(t, lambda x, i: case when list_contains(coalesce(spots, []), i) then '<*>' else x end) as t, n
+           from found left join loose using (words, first, t))
+select array_to_string(t, ' ') as template, cast(sum(n) as bigint) as n,
+       sum(n)::double / (select count(*) from logs)::double * 100.0 as share from merged group by 1
+""")
+def log_templates(spark, sf):
+    """Templates of log messages that name one of hundreds of users."""
+    user = F.col("correlation_id")
+    letter = lambda x: F.chr((F.lit(97) + x % 26).cast("int"))
+    name = F.concat(F.lit("u"), letter(user), letter(F.floor(user / 26)))
+    named = logs(spark, sf).select(F.concat(F.col("message"), F.lit(" by user "), name).alias("message"))
+    return templates.mine_templates(named, "message")
+
+
 @query("metric_statistics", f"""
 with {METRICS}
 select namespace, metric_name, pipeline, time_bucket(interval 1 hour, ts) as period, round(sum(value), 4) as sum,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import quality, rules
+from millrace.operators import quality, rules, sketches
 from millrace.plans.inputs import EVENTS_AS_OF, ORDERS_AS_OF, SALES, sales
 from millrace.plans.registry import query, table
 
@@ -116,6 +116,45 @@ def data_profile(spark, sf):
     )
 
 
+@query("profile_merge", """
+with w as (select date_trunc('week', ts)::date as week, * from events where ts is not null)
+select week, 'value' as column_name, count(*) as "rows", count(*) - count(value) as nulls, null::varchar as low, null::varchar as high,
+       round(min(value)::double, 6) as low_number, round(max(value)::double, 6) as high_number,
+       round(avg(value), 6) as mean, round(stddev_samp(value), 6) as stddev, true as distinct_close, true as median_close from w group by 1
+union all
+select week, 'event_type', count(*), count(*) - count(event_type), min(event_type), max(event_type), null, null, null, null, true, null
+from w group by 1
+union all
+select week, 'user_id', count(*), count(*) - count(user_id), null, null, min(user_id)::double, max(user_id)::double,
+       round(avg(user_id), 6), round(stddev_samp(user_id), 6), true, true from w group by 1
+""")
+def profile_merge(spark, sf):
+    """Weekly profiles merged from daily sketches. Distinct counts and medians are held against exact ones, within their stated errors."""
+    events = table(spark, sf, "events").where("ts is not null")
+    week = F.to_date(F.date_trunc("week", "ts"))
+    daily = sketches.daily_sketches(events, "ts", ["value", "event_type", "user_id"])
+    merged = sketches.merged_profile(daily, F.to_date(F.date_trunc("week", "day")), ["value", "user_id"])
+    is_text = F.col("column_name") == "event_type"
+    weekly = events.select(week.alias("period"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("x")) for c in ("value", "event_type", "user_id")])))
+    asked = weekly.join(merged.select("period", "column_name", "p50"), ["period", "column_name"])
+    number = F.expr("try_cast(x as double)")
+    exact = asked.groupBy("period", "column_name").agg(
+        F.count_distinct("x").alias("exact"),
+        (F.count(F.when(number <= F.col("p50"), 1)) / F.count("x")).alias("upto"),
+        (F.count(F.when(number < F.col("p50"), 1)) / F.count("x")).alias("below"))
+    both = merged.join(exact, ["period", "column_name"])
+    figure = lambda c: F.when(~is_text, F.round(F.col(c).cast("double"), 6))
+    return both.select(
+        F.col("period").alias("week"), "column_name", "rows", "nulls",
+        F.when(is_text, F.col("low")).alias("low"), F.when(is_text, F.col("high")).alias("high"),
+        F.when(~is_text, F.round(F.expr("try_cast(low as double)"), 6)).alias("low_number"),
+        F.when(~is_text, F.round(F.expr("try_cast(high as double)"), 6)).alias("high_number"),
+        figure("mean").alias("mean"), figure("stddev").alias("stddev"),
+        (F.abs(F.col("distinct") / F.col("exact") - 1) <= 0.05).alias("distinct_close"),
+        F.when(~is_text, (F.col("upto") >= 0.48) & (F.col("below") <= 0.52)).alias("median_close"))
+
+
 @query("integrity_checks", f"""
 with f as (
   select bool_and(o_orderkey is not null and o_custkey is not null) as completeness,

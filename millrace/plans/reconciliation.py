@@ -116,7 +116,7 @@ def cdc_apply_stored(spark, sf):
     """A small feed and a few erasures on a table stored by key."""
     orders = table(spark, sf, "orders")
     name = f"stored_{uuid.uuid4().hex[:12]}"
-    stored = StoredByKey(spark, name, shared_dir(spark, "stored"), ["o_orderkey"], parts=32)
+    stored = StoredByKey(spark, name, shared_dir(spark, "stored"), ["o_orderkey"], parts=16, buckets=4)
     stored.create(orders.select(*ORDER_COLUMNS))
     stored.apply(order_changes(orders).where("o_orderkey % 500 = 3"))
     stored.erase(orders.where("o_orderkey % 700 = 9"))
@@ -254,6 +254,18 @@ def retention_kept_rows(spark, sf):
     return retention.enforce(orders, "o_orderdate", "curated", ORDERS_AS_OF)
 
 
+@query("retention_drop_partitions", """
+select event_id, ts, event_type from events where ts is null or ts >= timestamp '2024-01-17 06:00:00'
+""")
+def retention_drop_partitions(spark, sf):
+    """Days before the cutoff go by their folders; the day it falls into is rewritten."""
+    root = shared_dir(spark, "retention")
+    events = table(spark, sf, "events").select("event_id", "ts", "event_type")
+    events.withColumn("day", F.to_date("ts")).hint("rebalance", "day").write.partitionBy("day").parquet(root)
+    retention.drop_partitions(spark, root, "day", "ts", "2024-01-17 06:00:00")
+    return spark.read.parquet(root).drop("day")
+
+
 @query("lifecycle_tier", f"""
 with a as (select date_diff('day', o_orderdate, timestamp '{ORDERS_AS_OF}') as age, length(o_orderpriority) as b from orders),
 t as (

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.cdc import apply_changes
+from millrace.operators.cdc import apply_changes, reduce_changes
 
 PART = "_part"
 
@@ -64,7 +64,12 @@ class StoredByKey:
 
     def merged(self, feed: DataFrame, parts: Sequence[int], seq: str = "seq", op: str = "op") -> DataFrame:
         """Rows of ``parts`` after the changes of ``feed``."""
-        return apply_changes(self._stored(parts).drop(PART), feed, self.keys, seq, op)
+        last = reduce_changes(feed, self.keys, seq)
+        return apply_changes(self._stored(parts).drop(PART), self._dealt(last), self.keys, seq, op)
+
+    def _dealt(self, few: DataFrame) -> DataFrame:
+        """The smaller side of a join in as many partitions as the table has buckets, so that it alone is shuffled."""
+        return few.repartition(self.buckets, *self.keys)
 
     def apply(self, feed: DataFrame, seq: str = "seq", op: str = "op") -> list[int]:
         """Apply a change feed (latest change per key wins, ``D`` removes); returns the parts rewritten."""
@@ -75,7 +80,7 @@ class StoredByKey:
 
     def erase(self, requests: DataFrame) -> list[int]:
         """Remove the keys of ``requests``; returns the parts rewritten."""
-        asked = requests.select(*self.keys).distinct()
+        asked = self._dealt(requests.select(*self.keys).distinct())
         parts = self.touched(asked)
         if parts:
             self.rewrite(self._stored(parts).drop(PART).join(asked, self.keys, "left_anti"), parts)
