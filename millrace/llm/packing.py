@@ -42,6 +42,31 @@ TOKENS = "id long, ids binary, n long, df binary"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+def _tally(high: np.ndarray, low: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs (high, low) in order, and how often each occurs; ``low`` has ``bits`` bits.
+
+    One sort for all documents of a block: pairs are packed into as few bytes as hold them.
+    """
+    if not len(high):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind = np.uint32 if int(high.max()).bit_length() + bits <= 32 else np.uint64
+    key = high.astype(kind)
+    key <<= kind(bits)
+    key |= low.astype(kind)
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    pairs = key[first]
+    return (
+        (pairs >> kind(bits)).astype(np.int64), (pairs & kind((1 << bits) - 1)).astype(np.int64),
+        np.diff(np.concatenate([first, [len(key)]])),
+    )
+
+
+def _numbers(arrays: list[np.ndarray]) -> np.ndarray:
+    """Position of the array each element of their concatenation comes from."""
+    return np.repeat(np.arange(len(arrays), dtype=np.uint32), [len(a) for a in arrays])
+
+
 def _counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and how often each occurs."""
     ordered = np.sort(ids, kind="stable")
@@ -61,11 +86,10 @@ def _tokenise(end_id: int, *vocabulary):
             # Few documents at a time, so that long ones do not add up.
             for at in range(0, len(texts), 256):
                 ids = [encoder.encode(t or "") + end for t in texts[at : at + 256]]
-                sizes = []
-                for found in ids:
-                    array = np.frombuffer(found, encoder.dtype)
-                    df[_counts(array)[0]] += 1
-                    sizes.append(len(array))
+                arrays = [np.frombuffer(found, encoder.dtype) for found in ids]
+                sizes = [len(a) for a in arrays]
+                _, seen, _ = _tally(_numbers(arrays), np.concatenate(arrays), 8 * encoder.dtype.itemsize)
+                df += np.bincount(seen, minlength=len(df))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, 256), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()),
                      pa.nulls(len(ids), pa.binary())],
@@ -112,20 +136,27 @@ def _deal(dtype: str, idf: np.ndarray, df: np.ndarray, end_id: int):
         weights = idf.copy()
         weights[end_id] = 0.0
         for batch in batches:
-            cells = []
+            # A document without a rest has a cell of its own.
             salts = mix64(batch.column(0).fill_null(-1).to_numpy().view(np.uint64))
-            for i, found in enumerate(batch.column(1).to_pylist()):
-                ids = np.frombuffer(found, dtype)
-                rest = ids[len(ids) - len(ids) % WINDOW :]
-                distinct, times = _counts(rest)
-                if len(distinct) == 0:
-                    cells.append(int(salts[i] & np.uint64(0x3FFFFFFFFFFFFFFF)))
+            cells = (salts & np.uint64(0x3FFFFFFFFFFFFFFF)).astype(np.int64)
+            found = batch.column(1).to_pylist()
+            for at in range(0, len(found), 256):
+                block = [np.frombuffer(x, dtype) for x in found[at : at + 256]]
+                rests = [ids[len(ids) - len(ids) % WINDOW :] for ids in block]
+                doc, token, times = _tally(_numbers(rests), np.concatenate(rests), 8 * rests[0].itemsize)
+                if not len(doc):
                     continue
-                at = int(distinct[np.argmax(weights[distinct] * times / (times + K1))])
-                salt = int(salts[i] % np.uint64(int(df[at]) // CELL + 1))
-                cells.append(at << 32 | salt)
+                telling = weights[token] * times / (times + K1)
+                start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+                # The first of the largest in each document's run.
+                best = np.maximum.reduceat(telling, start)
+                hit = np.flatnonzero(telling == np.repeat(best, np.diff(np.concatenate([start, [len(doc)]]))))
+                hit = hit[np.concatenate([[True], doc[hit][1:] != doc[hit][:-1]])]
+                row = at + doc[hit]
+                salt = salts[row] % (df[token[hit]] // CELL + 1).astype(np.uint64)
+                cells[row] = token[hit] << 32 | salt.astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cells, pa.int64()), batch.column(0), batch.column(1)], ["cell", "id", "ids"]
+                [pa.array(cells), batch.column(0), batch.column(1)], ["cell", "id", "ids"]
             )
 
     return run
@@ -135,18 +166,19 @@ class _Index:
     """Inverted index of the rests of a block: ids, their documents and BM25 weights."""
 
     def __init__(self, rests: list[np.ndarray], idf: np.ndarray, average: float):
-        self.terms = [_counts(r) for r in rests]
-        docs = np.repeat(np.arange(len(rests)), [len(t) for t, _ in self.terms])
-        tokens = np.concatenate([t for t, _ in self.terms])
-        times = np.concatenate([c for _, c in self.terms]).astype(np.float64)
+        self.rests = rests
+        tokens, docs, times = _tally(np.concatenate(rests), _numbers(rests), max(1, (len(rests) - 1).bit_length()))
         lengths = np.array([len(r) for r in rests], np.float64)[docs]
         weight = idf[tokens] * times * (K1 + 1) / (times + K1 * (1 - B + B * lengths / average))
-        order = np.argsort(tokens, kind="stable")
-        self.docs, self.weights = docs[order], weight[order].astype(np.float32)
-        self.tokens, start = np.unique(tokens[order], return_index=True)
-        self.start = np.concatenate([start, [len(tokens)]])
+        self.docs, self.weights = docs, weight.astype(np.float32)
+        start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        self.tokens, self.start = tokens[start], np.concatenate([start, [len(tokens)]])
         self.size = len(rests)
 
+    def terms(self, at: int) -> np.ndarray:
+        """Distinct ids of a rest."""
+        return _counts(self.rests[at])[0].astype(np.int64)
+
     def scores(self, terms: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.tokens, terms), len(self.tokens) - 1)
         found = at[self.tokens[at] == terms]
@@ -214,7 +246,7 @@ class _Packer:
                 queue = []
 
     def _seed(self, index, docs, unused, at: int) -> None:
-        self.terms = index.terms[at][0]
+        self.terms = index.terms(at)
         self._take(index, docs, unused, at)
 
     def _take(self, index, docs, unused, at: int) -> None:
@@ -223,7 +255,7 @@ class _Packer:
         rest = self.put(doc, start, ids, n)
         if rest is not None:
             # The cut document is the seed of the next window.
-            self.terms = index.terms[at][0]
+            self.terms = index.terms(at)
             self.put(doc, start + len(ids) - len(rest), rest, n)
 
     def close(self) -> None:
