@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import (
@@ -150,14 +150,20 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     compared = fingerprints.compare_with_edited(docs)
+
+    def near(other: str) -> Column:
+        """Likeness; where no hash is left to compare, whether the fingerprints are equal."""
+        one, two = F.col("print"), F.col(other)
+        return F.coalesce(fingerprints.likeness(one, two), (fingerprints.as_text(one) == fingerprints.as_text(two)).cast("double"))
+
     return compared.select(
         F.col("id").alias("doc_id"),
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprints.as_text(F.col("print")).alias("fingerprint"),
         fingerprints.as_text(F.col("edited_print")).alias("edited_fingerprint"),
-        fingerprints.likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
-        fingerprints.likeness(F.col("print"), F.col("next_print")).alias("near_next"),
+        near("edited_print").alias("near_edited"),
+        near("next_print").alias("near_next"),
         fingerprints.containment(F.col("edited_print"), F.col("print")).alias("edited_in_text"),
     )
 
