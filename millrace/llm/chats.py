@@ -4,7 +4,11 @@ A message (conversation, turn, role, text) whose text is a JSON object with
 ``tool_calls`` (each with id, name, arguments) makes calls; a message of role
 ``tool`` whose text is an object with ``tool_call_id`` and ``content`` is a result. Calls and
 results meet in a hash join on conversation and identifier. A result comes
-directly after its call if it was written before it, else at its own turn;
+directly after its call if it was written before it, else at its own turn. A call whose
+arguments hold the identifier of another call as a JSON string, at any depth, comes after
+that call's result (after the call, if it has none): messages with such links are ordered topologically, in rounds
+that each place those whose predecessors are placed. Messages in a circle of links, and what
+hangs on one, stay at their own turns, with the error "circular link";
 arguments are checked against the tool's schema; messages are written as JSON with
 sorted keys and no white space. All other fields of messages, calls and results are
 written too; arguments that are no JSON stay as their string. A text that is no JSON
@@ -26,6 +30,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import staged
+
 PART_TURNS = 256
 
 CALLS = "tool_calls array<struct<id string, name string, arguments string>>"
@@ -107,6 +113,68 @@ def argument_errors(name: Column, arguments: Column, schemas: Mapping[str, Schem
     return F.when(F.coalesce(no_object, F.lit(True)), F.array(F.lit("arguments are no object"))).otherwise(checks)
 
 
+def topological_places(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv, node, at, level) of all ``nodes`` (conv, node, turn, kind) that ``edges`` (conv, node, pred) order.
+
+    ``at`` is the latest turn among a node and all before it, ``level`` its depth among those of one ``at`` (its kind at
+    least). One round of equi-joins for each step of the longest chain. Nodes in or behind a circle are left out.
+    """
+    todo = staged(edges.distinct(), "chat-links")
+    needs = todo.groupBy("conv", "node").agg(F.count("*").alias("needs"))
+    start = nodes.join(needs, ["conv", "node"], "left_anti")
+    placed = staged(start.select("conv", "node", F.col("turn").alias("at"), F.col("kind").alias("level")), "chat-places")
+    newest, waiting = placed, staged(nodes.join(needs, ["conv", "node"]), "chat-waiting")
+    met = None
+    while waiting.head(1) and newest.head(1):
+        before = newest.select("conv", F.col("node").alias("pred"), "at", "level")
+        found = todo.join(before, ["conv", "pred"]).groupBy("conv", "node").agg(
+            F.count("*").alias("n"), F.max(F.struct("at", "level")).alias("latest"))
+        found = found if met is None else found.unionByName(met)
+        met = staged(
+            found.groupBy("conv", "node").agg(F.sum("n").alias("n"), F.max("latest").alias("latest")), "chat-met")
+        ready = waiting.join(met, ["conv", "node"]).where(F.col("n") == F.col("needs"))
+        behind = F.col("latest.at") >= F.col("turn")
+        newest = staged(ready.select(
+            "conv", "node", F.when(behind, F.col("latest.at")).otherwise(F.col("turn")).alias("at"),
+            F.when(behind, F.greatest("kind", F.col("latest.level") + 1)).otherwise(F.col("kind")).alias("level"),
+        ), "chat-places")
+        placed = placed.unionByName(newest)
+        waiting = staged(waiting.join(newest.select("conv", "node"), ["conv", "node"], "left_anti"), "chat-waiting")
+    return placed
+
+
+def _links(read: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Nodes and edges of the conversations in which a call names another one; None if there are none.
+
+    A conversation is named by ``key`` (NULL is one of its own), a message by a hash.
+    """
+    key = F.coalesce(F.concat(F.lit("c"), F.col("conv").cast("string")), F.lit(""))
+    # A turn that is NULL comes first.
+    turn = F.coalesce("turn", F.lit(-(1 << 63)))
+    rows = read.select(key.alias("conv"), "node", turn.alias("turn"), "calls", "result", "role")
+    each = rows.where(F.col("calls").isNotNull()).select("conv", "node", "turn", F.explode("calls").alias("call"))
+    named = each.select(
+        "conv", "node", F.explode(F.array_distinct(F.regexp_extract_all("call.arguments", F.lit('"([^"\\\\]*)"'), F.lit(1)))).alias("id"))
+    first = lambda d: d.groupBy("conv", "id").agg(F.min(F.struct("turn", "node")).alias("m")).select("conv", "id", F.col("m.node").alias("pred"))
+    callers = first(each.where(F.col("call.id").isNotNull()).select("conv", F.col("call.id").alias("id"), "turn", "node"))
+    answers = first(rows.where((F.col("role") == "tool") & F.col("result.tool_call_id").isNotNull()).select(
+        "conv", F.col("result.tool_call_id").alias("id"), "turn", "node"))
+    known = callers.join(answers.withColumnRenamed("pred", "answer"), ["conv", "id"], "left")
+    asks = staged(
+        named.join(known, ["conv", "id"]).where(F.col("node") != F.col("pred"))
+        .select("conv", "node", F.coalesce("answer", "pred").alias("pred")).distinct(), "chat-asks")
+    if not asks.head(1):
+        return None
+    linked = asks.select("conv").distinct()
+    answered = known.where(F.col("answer").isNotNull()).join(linked, "conv", "left_semi").select(
+        "conv", F.col("answer").alias("node"), "pred")
+    edges = asks.unionByName(answered).where(F.col("node") != F.col("pred"))
+    ends = edges.select("conv", "node").unionByName(edges.select("conv", F.col("pred").alias("node"))).distinct()
+    kind = F.when(F.col("role") == "tool", 1).otherwise(0)
+    nodes = rows.select("conv", "node", "turn", kind.alias("kind")).join(ends, ["conv", "node"], "left_semi")
+    return staged(nodes, "chat-nodes"), edges
+
+
 def link_tool_calls(
     messages: DataFrame,
     schemas: Mapping[str, Schema],
@@ -115,7 +183,7 @@ def link_tool_calls(
     role_col: str = "role",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per message: conv, turn, place (order key), json, calls, linked, orphan, errors."""
+    """One row per message: conv, turn, at and kind (its place), json, calls, linked, orphan, errors."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = messages.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"),
@@ -124,7 +192,7 @@ def link_tool_calls(
     holds = (F.col("role") != "tool") & F.col("text").contains('"tool_calls"')
     parsed = F.when(holds | (F.col("role") == "tool"), F.try_parse_json("text"))
     read = (
-        rows.withColumn("parsed", parsed).withColumn("fields", _fields(F.col("parsed")))
+        rows.withColumn("node", F.xxhash64("turn", "role", "text")).withColumn("parsed", parsed).withColumn("fields", _fields(F.col("parsed")))
         .withColumn("calls", F.when(holds & F.col("fields").isNotNull(), F.from_json("text", CALLS)["tool_calls"]))
         .withColumn(
             "result", F.when((F.col("role") == "tool") & F.col("fields").isNotNull(), F.from_json("text", RESULT))
@@ -155,7 +223,7 @@ def link_tool_calls(
     none = F.array().cast("array<string>")
     plain = F.concat(F.lit('{"content":'), _quoted(F.col("text")), F.lit(',"role":'), _quoted(F.col("role")), F.lit("}"))
     answered = results.select(
-        "conv", "turn", place.alias("at"), F.lit(1).alias("kind"),
+        "conv", "turn", "node", place.alias("at"), F.lit(1).alias("kind"),
         F.when(
             identifier.isNotNull(),
             _object(
@@ -179,7 +247,7 @@ def link_tool_calls(
         ),
     )
     spoken = read.where(F.col("role") != "tool").select(
-        "conv", "turn", F.col("turn").alias("at"), F.lit(0).alias("kind"),
+        "conv", "turn", "node", F.col("turn").alias("at"), F.lit(0).alias("kind"),
         F.when(
             F.col("calls").isNotNull(),
             _object(
@@ -195,7 +263,22 @@ def link_tool_calls(
             F.flatten(F.transform("calls", lambda c: argument_errors(c["name"], c["arguments"], schemas))), none
         ).alias("errors"),
     )
-    return spoken.unionByName(answered)
+    everything = spoken.unionByName(answered)
+    found = _links(read)
+    if found is None:
+        return everything.drop("node")
+    nodes, edges = found
+    places = topological_places(nodes, edges)
+    # A message with links but without a place is in a circle of them or behind one.
+    ordered = nodes.select("conv", "node").join(places, ["conv", "node"], "left").select(
+        F.col("conv").alias("key"), F.col("node").alias("of"), F.when(F.col("at") != -(1 << 63), F.col("at")).alias("to"), "level")
+    key = F.coalesce(F.concat(F.lit("c"), F.col("conv").cast("string")), F.lit(""))
+    circular = F.col("key").isNotNull() & F.col("level").isNull()
+    return everything.join(ordered, (key == F.col("key")) & (F.col("node") == F.col("of")), "left").select(
+        "conv", "turn", F.when(F.col("level").isNotNull(), F.col("to")).when(circular, F.col("turn")).otherwise(F.col("at")).alias("at"),
+        F.coalesce("level", "kind").alias("kind"), "json", "calls", "linked", "orphan",
+        F.when(circular, F.concat("errors", F.array(F.lit("circular link")))).otherwise(F.col("errors")).alias("errors"),
+    )
 
 
 def format_chats(messages: DataFrame, schemas: Mapping[str, Schema], **columns: str) -> DataFrame:
