@@ -226,17 +226,23 @@ def vector_topk(
     value = F.col(vector).cast("array<double>")
     fine = F.coalesce(F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False))
     asked = queries.where(fine).select(F.col(query_id), value.alias(vector))
-    found = asked.agg(F.min(F.size(vector)), F.max(F.size(vector)), F.count(F.lit(1))).first()
+    # Queries that fit one block are read once; more are measured and numbered first.
+    few = asked.select(query_id, vector).limit(SENT_QUERIES + 1).collect()
+    if len(few) <= SENT_QUERIES:
+        sizes = [len(r[1]) for r in few]
+        found = (min(sizes, default=None), max(sizes, default=None), len(few))
+    else:
+        found = asked.agg(F.min(F.size(vector)), F.max(F.size(vector)), F.count(F.lit(1))).first()
     if found[0] != found[1]:
         raise ValueError(f"query vectors have between {found[0]} and {found[1]} elements")
     stored = store.select(store_id, vector).where(F.col(vector).isNotNull())
     types = dict(store.dtypes) | {query_id: dict(queries.dtypes)[query_id]}
     schema = f"q {types[query_id]}, i {types[store_id]}, score double"
-    placed = asked if found[2] <= SENT_QUERIES else durable(numbered(asked, [query_id], "_place"))
+    placed = None if found[2] <= SENT_QUERIES else durable(numbered(asked, [query_id], "_place"))
     candidates = store.sparkSession.createDataFrame([], schema)
     for start in range(0, found[2], SENT_QUERIES):
-        part = placed if placed is asked else placed.where(F.col("_place").between(start, start + SENT_QUERIES - 1))
-        block = part.select(query_id, vector).collect()  # at most SENT_QUERIES rows
+        block = few if placed is None else placed.where(
+            F.col("_place").between(start, start + SENT_QUERIES - 1)).select(query_id, vector).collect()  # at most SENT_QUERIES rows
         unit, usable = _unit_rows(np.array([r[1] for r in block], dtype=np.float64).reshape(len(block), -1))
         ids = pa.array([r[0] for r, u in zip(block, usable) if u], type=ARROW_TYPES[queries.schema[query_id].dataType])
         if len(ids):

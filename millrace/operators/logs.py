@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -20,7 +21,9 @@ BATCH_MARKER = "batch (processing )?completed"
 
 def errors_by_bin(df: DataFrame, ts: str = "ts", seconds: int = BIN_SECONDS, pattern: str = ERROR_PATTERN) -> DataFrame:
     """Rows whose message matches the error pattern per time bin, newest first."""
-    errors = df.where(F.col("message").rlike(pattern))
+    # A pattern without signs is looked for as it stands.
+    found = F.col("message").contains(pattern) if re.fullmatch(r"[\w ]*", pattern) else F.col("message").rlike(pattern)
+    errors = df.where(found)
     return (
         errors.groupBy(bin_start(F.col(ts), seconds).alias("bin"))
         .agg(F.count(F.lit(1)).alias("errors"))

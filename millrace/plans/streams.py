@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.common import bin_start, shared_dir
@@ -9,6 +11,7 @@ from millrace.operators import alarms
 from millrace.plans.inputs import EVENTS_AS_OF
 from millrace.plans.reconciliation import CHANGES_SQL, order_changes
 from millrace.plans.registry import query, table
+from millrace.sources.keyed import StoredByKey
 from millrace.streaming import jobs, state, stateful
 
 #: Bounds between the drops of a replay. The first drop is open below and has the
@@ -202,16 +205,19 @@ union all select o_orderkey, o_totalprice, o_orderstatus from last where op <> '
 """)
 def stream_cdc_apply(spark, sf):
     root = shared_dir(spark, "cdc")
-    kept = state.KeyedTable(f"{root}/table", ["o_orderkey"], "seq")
+    kept = stored_table(spark, root, "o_orderkey")
     orders = table(spark, sf, "orders")
     load = orders.select("o_orderkey", F.lit("I").alias("op"), F.lit(0).cast("long").alias("seq"), "o_totalprice", "o_orderstatus")
     changes = order_changes(orders)
     # Later changes are delivered first: the order of arrival must not matter.
     for drop in (load, changes.where("seq >= 2"), changes.where("seq < 2")):
-        deliver(drop, root, lambda stream: state.apply_change_stream(stream, kept))
-        if drop is load:
-            kept.compact(spark)
-    return kept.rows(spark, "op").drop("seq")
+        deliver(drop, root, lambda stream: kept.keep_current(stream, "seq"))
+    return kept.rows().where("op <> 'D'").drop("op", "seq")
+
+
+def stored_table(spark, root, key):
+    """Table of a stream, in a few parts since its batches touch all of them."""
+    return StoredByKey(spark, f"stored_{uuid.uuid4().hex[:12]}", f"{root}/table", [key], parts=4, buckets=4)
 
 
 @query("stream_keyed_state", """
@@ -219,15 +225,15 @@ select user_id, count(*) as events, round(sum(value), 4) as total, max(ts) as la
 """)
 def stream_keyed_state(spark, sf):
     root = shared_dir(spark, "keyed")
-    kept = state.KeyedTable(f"{root}/table", ["user_id"], "events")
+    kept = stored_table(spark, root, "user_id")
 
     def writer(stream):
         running = stream.groupBy("user_id").agg(
             F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"), F.max("ts").alias("last_seen"))
-        return state.keyed_state_stream(running, kept)
+        return kept.keep_current(running, "events").outputMode("update")
 
     replay(table(spark, sf, "events"), root, writer)
-    return kept.rows(spark).withColumn("total", F.round("total", 4))
+    return kept.rows().withColumn("total", F.round("total", 4))
 
 
 @query("stream_lag_monitor", f"""

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
+from millrace.common import durable
 from millrace.operators.cdc import apply_changes, reduce_changes
 
 PART = "_part"
@@ -52,12 +54,15 @@ class StoredByKey:
         """Folders with these numbers: others are not listed, let alone read."""
         return self.spark.table(self.name).where(F.col(PART).isin(list(parts)))
 
-    def rewrite(self, rows: DataFrame, parts: Sequence[int]) -> None:
-        """Replace whole parts by ``rows``. New files are written beside the old ones and take their place at the end."""
+    def rewrite(self, rows: DataFrame, parts: Sequence[int], emptied: bool = True) -> None:
+        """Replace whole parts by ``rows``. New files are written beside the old ones and take their place at the end.
+
+        ``emptied``: whether parts can be without rows now; their folders go.
+        """
         columns = self.spark.table(self.name).columns
-        emptied = [p for p in parts if p not in {r[0] for r in rows.select(self.part()).distinct().collect()}]
+        left = {r[0] for r in rows.select(self.part()).distinct().collect()} if emptied else set(parts)
         self._laid_out(rows).select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(self.name)
-        for p in emptied:
+        for p in sorted(set(parts) - left):
             self.spark.sql(f"alter table {self.name} drop if exists partition ({PART}={p})")
             gone = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{PART}={p}")
             gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
@@ -78,6 +83,35 @@ class StoredByKey:
             self.rewrite(self.merged(feed, parts, seq, op), parts)
         return parts
 
+    def upsert(self, feed: DataFrame, seq: str) -> list[int]:
+        """Keep the row with the highest ``seq`` of every key, stored or new; returns the parts rewritten.
+
+        The order of arrival does not matter, and a feed applied twice changes nothing: so it serves a stream's
+        batches, removed keys staying as marked rows. The first feed makes the table.
+        """
+        if not self.spark.catalog.tableExists(self.name):
+            self.create(reduce_changes(feed, self.keys, seq))
+            return list(range(self.parts))
+        parts = self.touched(feed)
+        if parts:
+            columns = [c for c in feed.columns if c not in self.keys]
+            new = self._dealt(reduce_changes(feed, self.keys, seq)).select(*self.keys, F.struct(*columns).alias("_new"))
+            old = self._stored(parts).select(*self.keys, F.struct(*columns).alias("_old"))
+            later = F.col("_old").isNull() | (F.col(f"_new.{seq}") >= F.col(f"_old.{seq}"))
+            row = F.when(F.col("_new").isNotNull() & later, F.col("_new")).otherwise(F.col("_old"))
+            merged = old.join(new, self.keys, "full_outer").select(*self.keys, row.alias("_row")).select(*self.keys, "_row.*")
+            self.rewrite(merged, parts, emptied=False)
+        return parts
+
+    def keep_current(self, stream: DataFrame, seq: str) -> DataStreamWriter:
+        """Apply a stream of changes, or of running aggregates in update mode, batch by batch."""
+        return stream.writeStream.foreachBatch(lambda batch, _: self._on_batch(batch, seq))
+
+    def _on_batch(self, batch: DataFrame, seq: str) -> None:
+        rows = durable(batch)
+        if rows.head(1):
+            self.upsert(rows, seq)
+
     def erase(self, requests: DataFrame) -> list[int]:
         """Remove the keys of ``requests``; returns the parts rewritten."""
         asked = self._dealt(requests.select(*self.keys).distinct())

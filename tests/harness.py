@@ -52,7 +52,7 @@ def compare(spark, con, name, fn, sql, sf_dir) -> str | None:
     got_columns = frame.columns
     got = rows_of(got_columns, frame.collect())
     if sql is None:
-        return None if got_columns else "no columns"
+        return None if got else "EMPTY"
     result = con.execute(sql)
     want_columns = [d[0] for d in result.description]
     want = rows_of(want_columns, result.fetchall())

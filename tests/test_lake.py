@@ -221,3 +221,16 @@ def test_nothing_to_drop(spark, tmp_path, days):
     spark.sql("select 1 as id, timestamp_ntz '2024-05-05 10:00:00' as ts, date '2024-05-05' as day").write.partitionBy("day").parquet(root)
     cutoff = dt.datetime(2024, 5, 5) - dt.timedelta(days=days)
     assert retention.drop_partitions(spark, root, "day", "ts", f"{cutoff:%Y-%m-%d %H:%M:%S}") == ([], [])
+
+
+def test_upserts_in_any_order(spark, tmp_path):
+    """Changes that arrive late or twice do not matter; untouched parts keep their files."""
+    stored = StoredByKey(spark, "upsert_test", str(tmp_path / "t"), ["k"], parts=8, buckets=2)
+    schema = "k long, op string, seq long, v long"
+    feeds = [[(i, "I", 0, i) for i in range(50)], [(1, "U", 5, 10), (2, "D", 3, None)], [(1, "U", 2, 7), (2, "I", 1, 8), (60, "I", 1, 60)]]
+    for rows in (feeds[0], feeds[1], feeds[2], feeds[1]):
+        stored.upsert(spark.createDataFrame(rows, schema), "seq")
+    want = {i: i for i in range(50)} | {1: 10, 60: 60}
+    del want[2]
+    assert {r.k: r.v for r in stored.rows().where("op <> 'D'").collect()} == want
+    spark.sql("drop table upsert_test")
