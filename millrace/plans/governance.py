@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions.text import PII_PATTERNS, SECRET_PATTERNS, mask_patterns
-from millrace.operators import alarms, findings, governance as G, rules
+from millrace.operators import alarms, detectors, findings, governance as G, rules
 from millrace.plans.registry import query, table
 
 
@@ -55,6 +55,61 @@ def secrets_scan(spark, sf):
         "severity", findings.normal_severity(F.lit(""), "unrated"))
 
 
+#: Documents with numbers appended that have, or lack, valid check digits and ranges.
+CANDIDATES_SQL = r"""
+given as (
+  select doc_id, text || ' ref ' || lpad(cast(doc_id * 7919 % 10000000000000 as varchar), 16, '4') || ' host 10.' || doc_id % 300 || '.0.7 id '
+         || lpad(cast(doc_id % 1000 as varchar), 3, '0') || '-' || lpad(cast(doc_id % 100 as varchar), 2, '0') || '-1234 to DE'
+         || lpad(cast(doc_id % 100 as varchar), 2, '0') || '370400440532013000 end' as text from documents)
+"""
+
+
+@query("pii_proven", rf"""
+with {CANDIDATES_SQL},
+c as (
+  select doc_id, 'card' as kind, unnest(regexp_extract_all(text, '{detectors.CANDIDATES["card"]}')) as x from given
+  union all select doc_id, 'iban', unnest(regexp_extract_all(text, '{detectors.CANDIDATES["iban"]}')) from given
+  union all select doc_id, 'ipv4', unnest(regexp_extract_all(text, '{detectors.CANDIDATES["ipv4"]}')) from given
+  union all select doc_id, 'ssn', unnest(regexp_extract_all(text, '{detectors.CANDIDATES["ssn"]}')) from given),
+b as (select *, regexp_replace(x, '[ -]', '', 'g') as bare, string_split_regex(x, '[.-]') as parts from c),
+v as (
+  select doc_id, kind, case kind
+    when 'card' then not regexp_matches(bare, '^0+$') and list_sum(list_transform(list_reverse(string_split(bare, '')),
+      lambda d, i: case when i % 2 = 1 then d::int when d::int > 4 then 2 * d::int - 9 else 2 * d::int end)) % 10 = 0
+    when 'iban' then list_reduce(list_concat(['0'], string_split(bare[5:] || bare[1:4], '')), lambda a, d:
+      cast((case when d between '0' and '9' then a::bigint * 10 + d::bigint else a::bigint * 100 + ascii(d) - 55 end) % 97 as varchar)) = '1'
+    when 'ipv4' then len(list_filter(parts, lambda p: p::int > 255)) = 0
+    else parts[1] not in ('000', '666') and parts[1] < '900' and parts[2] <> '00' and parts[3] <> '0000' end as good from b)
+select doc_id, kind, cast(count(*) as integer) as candidates, cast(count(*) filter (where good) as integer) as proven from v group by 1, 2
+""")
+def pii_proven(spark, sf):
+    """Documents with numbers appended to them, some with valid check digits or ranges and some without."""
+    n = F.col("doc_id")
+    padded = lambda x, width, sign="0": F.lpad(x.cast("string"), width, sign)
+    text = F.concat(
+        "text", F.lit(" ref "), padded(n * 7919 % 10_000_000_000_000, 16, "4"), F.lit(" host 10."), (n % 300).cast("string"), F.lit(".0.7 id "),
+        padded(n % 1000, 3), F.lit("-"), padded(n % 100, 2), F.lit("-1234 to DE"), padded(n % 100, 2), F.lit("370400440532013000 end"))
+    return detectors.scan_proven(table(spark, sf, "documents").select("doc_id", text.alias("text")), ["doc_id"], "text")
+
+
+@query("phrase_topics", r"""
+with words as (
+  select item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from benchmark),
+phrases as (select distinct array_to_string(w[1:2 + item_id % 3], ' ') as run, item_id % 5 as topic from words where len(w) > 0),
+docs as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents),
+spots as (select doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda p: array_to_string(w[p:p + n - 1], ' '))) as run
+          from docs, (select unnest([1, 2, 3, 4]) as n)),
+runs as (select distinct doc_id, run from spots)
+select doc_id, topic, count(*) as hits from runs join phrases using (run) group by 1, 2
+""")
+def phrase_topics(spark, sf):
+    """Documents that hold the first two to four words of benchmark items, by topic."""
+    words = detectors.normal_words(F.col("text"))
+    phrases = table(spark, sf, "benchmark").select(
+        F.array_join(F.slice(words, F.lit(1), (F.col("item_id") % 3 + 2).cast("int")), " ").alias("phrase"), (F.col("item_id") % 5).alias("topic"))
+    return detectors.phrase_hits(table(spark, sf, "documents"), ["doc_id"], "text", phrases, "phrase", "topic")
+
+
 WORDS = ("that", "from", "password", "und")
 TOPICS = {"numbers": ("6", "seven"), "secrets": ("token", "api_key")}
 
