@@ -97,9 +97,11 @@ with words as (
   select item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from benchmark),
 phrases as (select distinct array_to_string(w[1:2 + item_id % 3], ' ') as run, item_id % 5 as topic from words where len(w) > 0),
 docs as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents),
-spots as (select doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda p: array_to_string(w[p:p + n - 1], ' '))) as run
-          from docs, (select unnest([1, 2, 3, 4]) as n)),
-runs as (select distinct doc_id, run from spots)
+tok as (select doc_id, unnest(w) as t, generate_subscripts(w, 1) as pos from docs),
+l as (select doc_id, t, lead(t, 1) over o as t2, lead(t, 2) over o as t3, lead(t, 3) over o as t4
+      from tok window o as (partition by doc_id order by pos)),
+runs as (select doc_id, t as run from l union select doc_id, t || ' ' || t2 from l union select doc_id, t || ' ' || t2 || ' ' || t3 from l
+         union select doc_id, t || ' ' || t2 || ' ' || t3 || ' ' || t4 from l)
 select doc_id, topic, count(*) as hits from runs join phrases using (run) group by 1, 2
 """)
 def phrase_topics(spark, sf):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from millrace.common import durable
+from millrace.common import all_of, durable
 from millrace.operators.cdc import apply_changes, reduce_changes
 
 PART = "_part"
@@ -95,11 +95,16 @@ class StoredByKey:
         parts = self.touched(feed)
         if parts:
             columns = [c for c in feed.columns if c not in self.keys]
-            new = self._dealt(reduce_changes(feed, self.keys, seq)).select(*self.keys, F.struct(*columns).alias("_new"))
-            old = self._stored(parts).select(*self.keys, F.struct(*columns).alias("_old"))
+            whole = all_of([F.col(k).isNotNull() for k in self.keys])
+            stored = self._stored(parts)
+            new = self._dealt(reduce_changes(feed.where(whole), self.keys, seq)).select(*self.keys, F.struct(*columns).alias("_new"))
+            old = stored.where(whole).select(*self.keys, F.struct(*columns).alias("_old"))
             later = F.col("_old").isNull() | (F.col(f"_new.{seq}") >= F.col(f"_old.{seq}"))
             row = F.when(F.col("_new").isNotNull() & later, F.col("_new")).otherwise(F.col("_old"))
             merged = old.join(new, self.keys, "full_outer").select(*self.keys, row.alias("_row")).select(*self.keys, "_row.*")
+            # NULL keys equal nothing in a join; there is one row for each combination with them.
+            lacking = stored.where(~whole).select(*self.keys, *columns).unionByName(feed.where(~whole).select(*self.keys, *columns))
+            merged = merged.unionByName(reduce_changes(lacking, self.keys, seq).select(*merged.columns))
             self.rewrite(merged, parts, emptied=False)
         return parts
 

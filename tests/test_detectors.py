@@ -17,7 +17,7 @@ def test_check_digits_and_ranges(spark):
     assert found(spark, "4111 1111 1111 1111 and 4111-1111-1111-1112, 0000 0000 0000 0000") == {"card": (3, 1)}
     assert found(spark, "GB82 WEST 1234 5698 7654 32; DE89370400440532013000; DE88370400440532013000")["iban"] == (3, 2)
     assert found(spark, "10.0.0.1 256.1.1.1 999.9.9.9 8.8.8.8") == {"ipv4": (4, 2)}
-    assert found(spark, "078-05-1120 000-12-1234 666-12-1234 912-12-1234 123-00-1234 123-45-0000") == {"ssn": (6, 1)}
+    assert found(spark, "078-05-1120, 000-12-1234, 666-12-1234, 912-12-1234, 123-00-1234, 123-45-0000") == {"ssn": (6, 1)}
     assert found(spark, None) == {} and found(spark, "") == {} and found(spark, "nothing 12 here") == {}
 
 
