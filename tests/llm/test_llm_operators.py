@@ -502,22 +502,68 @@ def test_ppm_base_scores_and_model(spark, awkward):
     assert all(r.score < 0 for r in got)
 
 
-def test_ppm_is_a_distribution():
+def ppm_by_hand(training, texts):
+    """Log10 probability of each text: contexts of up to six bytes, longest first, seen symbols excluded on escape."""
+    follow = {}
+    bytes_of = lambda t: b"\n" * ppm.ORDER + b" ".join(ppm.tokens((t or "").encode())) + ppm.END
+    for t in training:
+        data = bytes_of(t)
+        for i in range(ppm.ORDER, len(data)):
+            for k in range(ppm.ORDER + 1):
+                follow.setdefault(data[i - k : i], Counter())[data[i]] += 1
+
+    def probability(context, symbol):
+        seen = follow.get(context)
+        shorter = (lambda s: probability(context[1:], s)) if context else (lambda s: 1 / 256)
+        if not seen:
+            return shorter(symbol)
+        total = sum(seen.values())
+        if symbol in seen:
+            return (seen[symbol] - 0.5) / total
+        return len(seen) / (2 * total) / (1 - sum(map(shorter, seen))) * shorter(symbol)
+
+    out = []
+    for t in texts:
+        data = bytes_of(t)
+        out.append(sum(math.log10(probability(data[i - ppm.ORDER : i], data[i])) for i in range(ppm.ORDER, len(data))))
+    return out
+
+
+@pytest.mark.parametrize("hot", [0, 7, 1 << 21])
+def test_ppm_scores_with_every_counted_gram(spark, awkward, monkeypatch, hot):
+    monkeypatch.setattr(ppm, "HOT_GRAMS", hot)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeXYé中") for _ in range(rng.randint(1, 5))) for _ in range(40)]
+    short = [r for r in awkward if len(r[1] or "") < 5_000]
+    rows = short + [(4000 + i, " ".join(rng.choice(words[: 25 if i % 5 else 40]) for _ in range(rng.randint(1, 30))), "s") for i in range(60)]
+    trained = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1
+    want = ppm_by_hand([t for i, t, _ in rows if trained(i)], [t for _, t, _ in rows])
+    got = ppm.score_documents(docs_of(spark, rows), quality.remainder("doc_id", 5) != 1).collect()
+    assert Counter((r.id, round(r.score, 4)) for r in got) == Counter((r[0], round(w, 4)) for r, w in zip(rows, want))
+
+
+def test_ppm_equal_texts_have_equal_scores(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "HOT_GRAMS", 20)
+    monkeypatch.setattr(ppm, "HOT", 3)
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) for _ in range(30)) for _ in range(12)]
+    rows = [(i, texts[i % 12], "s") for i in range(240)]
+    got = ppm.score_documents(docs_of(spark, rows).repartition(5), F.col("doc_id") % 3 != 0).collect()
+    assert len({(r.id % 12, r.base_score, r.score) for r in got}) == 12
+
+
+def test_ppm_is_a_distribution(spark):
     rng = np.random.default_rng(3)
-    text = bytes(rng.choice(list(b"abcde "), 3000).tolist())
-    codes, _ = ppm.grams([text + b"\n"])
-    kept = []
-    for order in range(ppm.ORDER + 1):
-        found, n = np.unique(codes & ppm._mask(order + 1), return_counts=True)
-        total = Counter()
-        for c, x in zip((found >> np.uint64(8)).tolist(), n.tolist()):
-            total[c] += x
-        chosen = n >= 2
-        kept.append((found[chosen], n[chosen].astype(float), np.array([total[c] for c in (found[chosen] >> np.uint64(8)).tolist()], float)))
-    trie = ppm.Trie(kept[::-1])
+    text = bytes(rng.choice(list(b"abcde "), 3000).tolist()).decode()
+    levels = ppm.train_trie(spark.createDataFrame([(text,)], "text string"))
     for context in (b"eabcde", b"zzzzzz", b"\n\n\n\n\n\n", b"e abca"):
-        codes = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.uint64)
-        assert (10 ** trie.log10(codes, ppm.ORDER)).sum() == pytest.approx(1, abs=1e-4)
+        codes = [(int.from_bytes(context + bytes([s]), "big"),) for s in range(256)]
+        asked = spark.createDataFrame(codes, "code long")
+        seen = asked.join(levels[-1], "code").select("code", F.log10((F.col("n") - 0.5) / F.col("total")).alias("value"))
+        for more in ppm.unseen_values(asked.join(levels[-1], "code", "left_anti"), levels):
+            seen = seen.unionByName(more)
+        values = [r.value for r in seen.collect()]
+        assert len(values) == 256 and sum(10**v for v in values) == pytest.approx(1, abs=1e-9)
 
 
 def test_ppm_without_training(spark, awkward):
