@@ -122,7 +122,7 @@ def _probe_heavy(min_chars: int, heavy: tuple[bytes, ...], shards: int):
             known, drop = index.probe(high, low, ids)
             keep = ~known | drop
             # Settled rows only pass through the exchange: deal them by document.
-            spread = np.where(known, mix64(ids.view(np.uint64)), high) % np.uint64(shards)
+            spread = np.where(known, mix64(ids.view(np.uint64)), high.byteswap()) % np.uint64(shards)
             chosen = pa.array(keep)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -198,8 +198,8 @@ def line_index(lines: DataFrame, min_docs: int, shards: int) -> tuple[DataFrame,
     high, low = _halves(list(top["line"]))
     heavy = Shard.build(high, low, top["docs"].to_numpy(np.int64), top["holder"].to_numpy(np.int64)).pack()
     shards = max(shards, counted.count() // SHARD_KEYS)
-    # Same shard as in _probe_heavy: the first eight bytes, little-endian, modulo the shards.
-    number = F.conv(F.hex(F.reverse(F.substring("line", 1, 8))), 16, 10).cast("decimal(20,0)")
+    # Same shard as in _probe_heavy: the first eight bytes, big-endian, modulo the shards.
+    number = F.conv(F.hex(F.substring("line", 1, 8)), 16, 10).cast("decimal(20,0)")
     dealt = counted.withColumn("shard", F.pmod(number, F.lit(shards)).cast("int"))
     index = dealt.groupBy("shard").applyInPandas(
         _build_shard, "shard int, mph binary, prints binary, counts binary, holders binary"
