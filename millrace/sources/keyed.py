@@ -13,6 +13,9 @@ from millrace.operators.cdc import apply_changes, reduce_changes
 
 PART = "_part"
 
+#: Option of the table itself: an overwrite replaces the parts it writes, whatever the session's setting.
+BY_PART = ("partitionOverwriteMode", "dynamic")
+
 
 class StoredByKey:
     """Parquet table in ``parts`` folders by key hash, each in ``buckets`` files by key.
@@ -33,14 +36,14 @@ class StoredByKey:
 
     def create(self, df: DataFrame) -> None:
         """Store ``df``; one file per part and bucket."""
-        self._laid_out(df).repartition(self.buckets, *self.keys).write.format("parquet").option("path", self.path).partitionBy(
-            PART).bucketBy(self.buckets, *self.keys).sortBy(*self.keys).saveAsTable(self.name)
+        self._laid_out(df).repartition(self.buckets, *self.keys).write.format("parquet").option("path", self.path).option(
+            *BY_PART).partitionBy(PART).bucketBy(self.buckets, *self.keys).sortBy(*self.keys).saveAsTable(self.name)
 
     def attach(self, schema: str) -> None:
         """Make a stored table known to another session."""
         self.spark.sql(
-            f"create table if not exists {self.name} ({schema}, {PART} int) using parquet partitioned by ({PART}) "
-            f"clustered by ({', '.join(self.keys)}) sorted by ({', '.join(self.keys)}) into {self.buckets} buckets location '{self.path}'")
+            f"create table if not exists {self.name} ({schema}, {PART} int) using parquet options ('{BY_PART[0]}' '{BY_PART[1]}') "
+            f"partitioned by ({PART}) clustered by ({', '.join(self.keys)}) sorted by ({', '.join(self.keys)}) into {self.buckets} buckets location '{self.path}'")
         self.spark.catalog.recoverPartitions(self.name)
 
     def rows(self) -> DataFrame:
@@ -61,7 +64,7 @@ class StoredByKey:
         """
         columns = self.spark.table(self.name).columns
         left = {r[0] for r in rows.select(self.part()).distinct().collect()} if emptied else set(parts)
-        self._laid_out(rows).select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(self.name)
+        self._laid_out(rows).select(*columns).write.mode("overwrite").insertInto(self.name)
         for p in sorted(set(parts) - left):
             self.spark.sql(f"alter table {self.name} drop if exists partition ({PART}={p})")
             gone = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{PART}={p}")
