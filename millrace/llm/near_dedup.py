@@ -4,14 +4,14 @@
    in the order of that id and their digest, so that rows of one id stay apart.
 2. Shingles of ``SHINGLE`` words are labelled with their occurrence number. For each
    of ``SKETCHES`` hash functions the two smallest are kept in text order, so that
-   a sketch depends on content and order. ``ROWS`` sketches make a bucket key: with one,
+   a sketch depends on content and order. Each sketch is a bucket key of its own, so that
    texts that differ in a fifth of their words still meet.
-3. A bucket links each member to its smallest id: one candidate per member and
-   bucket, never all pairs. The members that prove different from that id, in whichever
-   of its buckets, are compared by their sketches in one task, and each is held against
-   the ``PROPOSED`` earlier members it agrees with most; so a link does not depend on who
-   happens to lead a bucket. If more than ``TOGETHER`` failed, they enter finer buckets
-   (the same leader and more sketches) first and start again there.
+3. A bucket links each member to its smallest id, so that most classes form without pairs.
+   Then every two texts of one bucket that are not in one class yet are candidates too,
+   whoever leads it. Members of one leader meet in cells of like length; a cell of more than
+   ``TOGETHER`` members is cut into blocks and every two blocks are one task. Only what
+   cannot be similar goes: texts whose lengths or counts of words in ``BINS`` bins need more
+   edits than allowed (a bound, nothing is estimated).
 4. Candidates are verified by banded alignment of their words: similar when the
    edit distance is at most (1 - ``threshold``) of the longer text. A banded
    distance is an upper bound; a pair is rejected only at the full band.
@@ -25,10 +25,10 @@ empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -38,15 +38,10 @@ from millrace.llm.common import fresh, mix64, ranked, staged, utf8
 
 SHINGLE = 5
 SKETCHES = 96
-#: Sketches in a bucket key.
-ROWS = 1
-#: Members that failed against one leader and are compared by their sketches in one task, and sketches of a
-#: candidate pair that must agree there: one more than the key itself.
-TOGETHER, AGREEING = 2_048, 2
-#: Earlier members a failed member is held against.
-PROPOSED = 3
-#: Finer buckets that a member of a mixed bucket enters, and the sketches each adds to the key.
-FINER, ADDED = 6, 2
+#: Members of a leader compared in one task come from two blocks of about this many texts and words at most.
+TOGETHER, WORDS = 2_048, 1 << 21
+#: Bins in which the words of a text are counted, to 255 each.
+BINS = 512
 #: Shingles hashed at once.
 BLOCK = 1 << 15
 #: First band of the alignment; the next ones are four times as wide each.
@@ -125,67 +120,110 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bands = SKETCHES // ROWS
-    numbers = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    numbers = np.arange(SKETCHES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for batch in batches:
-        flat = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, bands, ROWS)
-        keys = np.broadcast_to(numbers, flat.shape[:2]).copy()
-        for i in range(ROWS):
-            keys = mix64(keys ^ flat[:, :, i].astype(np.uint64))
-        ids = np.repeat(batch.column("id").to_numpy(), bands)
+        flat = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, SKETCHES)
+        keys = mix64(numbers ^ flat.astype(np.uint64))
+        ids = np.repeat(batch.column("id").to_numpy(), SKETCHES)
+        at = np.tile(np.arange(SKETCHES, dtype=np.int32), len(flat))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], ["key", "id"]
+            [pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids), pa.array(at)], ["key", "id", "at"]
         )
 
 
-def _finer(depth: int):
-    """Keys of the finer buckets of a member: its key and some more of its sketches."""
+class _Cell:
+    """Members of one leader and of like length; ``known`` names the class each is in."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column("key").to_numpy().view(np.uint64)
-            flat = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, SKETCHES)
-            out = []
-            for i in range(FINER):
-                key = keys
-                for j in range(ADDED):
-                    at = mix64(keys + np.uint64((depth * FINER + i) * ADDED + j)) % np.uint64(SKETCHES)
-                    more = flat[np.arange(len(flat)), at.astype(np.int64)].astype(np.uint64)
-                    key = mix64(key * np.uint64(3) + mix64(more + (at << np.uint64(32))))
-                out.append(key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.tile(batch.column("id").to_numpy(), FINER))],
-                ["key", "id"],
-            )
+    COLUMNS = "leader long, cell long, lo int, hi int, block int, own boolean, known long, id long, low long, high long"
+
+    def __init__(self, rows: pa.Table, threshold: float):
+        self.rows = rows = rows.sort_by([("n", "ascending"), ("id", "ascending")])
+        self.ids, self.n, self.own, self.block, known = (
+            rows.column(c).to_numpy() for c in ("id", "n", "own", "block", "known")
+        )
+        self.known = known.copy()
+        self.bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        self.flat = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint32).reshape(-1, SKETCHES)
+        self.masks = [rows.column(c).to_numpy() for c in ("low", "high")]
+        self.across = rows.column("lo")[0] != rows.column("hi")[0]
+        self.allowed = np.floor((1 - threshold) * self.n + 1e-9).astype(np.int64)
+        self.first = np.searchsorted(self.n, self.n - self.allowed)
+
+    def candidates(self, i: int) -> np.ndarray:
+        """Shorter members of other classes that share a bucket with member ``i`` and may be similar to it.
+
+        Two texts meet under the leader of the first bucket they share, and nowhere else.
+        """
+        lo = self.first[i]
+        meet = (self.known[lo:i] != self.known[i]) & (self.own[lo:i] | self.own[i])
+        if self.across:
+            meet &= self.block[lo:i] != self.block[i]
+        at = np.flatnonzero(meet) + lo
+        if not len(at):
+            return at
+        # A replaced word moves two counts, an added or missing one moves one.
+        edits = (np.abs(self.bins[at] - self.bins[i]).sum(axis=1, dtype=np.int32) + self.n[i] - self.n[at]) // 2
+        at = at[edits <= self.allowed[i]]
+        agree = self.flat[at] == self.flat[i]
+        bucket = agree.argmax(axis=1)
+        half = SKETCHES // 2
+        led = np.where(bucket < half, self.masks[0][i] >> (bucket % half), self.masks[1][i] >> (bucket % half)) & 1
+        return at[agree.any(axis=1) & (led == 1)]
+
+
+def _open_members(threshold: float):
+    """Members that have candidates."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        cell = _Cell(rows, threshold)
+        has = np.zeros(len(cell.ids), bool)
+        for i in range(1, len(has)):
+            at = cell.candidates(i)
+            has[at] = True
+            has[i] |= len(at) > 0
+        names = [c.split()[0] for c in cell.COLUMNS.split(", ")]
+        return cell.rows.select(names).filter(pa.array(has))
 
     return run
 
 
-def _best_earlier(members: pd.DataFrame) -> pd.DataFrame:
-    """Candidates of each failed member of a leader: the earlier ones that agree in most sketches."""
-    members = members.sort_values("id", kind="stable")
-    ids = members["id"].to_numpy()
-    flat = np.frombuffer(b"".join(members["sketch"]), np.uint32).reshape(-1, SKETCHES)
-    left, right = [], []
-    for i in range(1, len(ids)):
-        agree = (flat[:i] == flat[i]).sum(axis=1)
-        # Ties go to the smaller id.
-        best = np.argsort(-agree, kind="stable")[:PROPOSED]
-        best = best[agree[best] >= AGREEING]
-        left.extend(ids[best])
-        right.extend([ids[i]] * len(best))
-    return pd.DataFrame({"a": np.array(left, np.int64), "b": np.array(right, np.int64)})
+def _join_classes(threshold: float):
+    """Links that join the classes of a cell: fewer than its members. Pairs that earlier ones have joined are not aligned."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        cell = _Cell(rows, threshold)
+        words = [np.frombuffer(w, np.uint32) for w in cell.rows.column("words").to_pylist()]
+        known, waiting, links = cell.known, [], []
 
+        def settle() -> None:
+            pairs = [(i, j) for i, j in waiting if known[i] != known[j]]
+            same = similar([words[i] for i, _ in pairs], [words[j] for _, j in pairs], threshold, words_first=True)
+            for (i, j), ok in zip(pairs, same):
+                if ok and known[i] != known[j]:
+                    known[known == known[j]] = known[i]
+                    links.append((cell.ids[i], cell.ids[j]))
+            waiting.clear()
 
-def banded_distances(left: list[np.ndarray], right: list[np.ndarray], band: int) -> np.ndarray:
+        for i in range(1, len(words)):
+            waiting.extend((i, j) for j in cell.candidates(i))
+            if len(waiting) >= SIDE_BY_SIDE:
+                settle()
+        settle()
+        return pa.table({c: pa.array([x[k] for x in links], pa.int64()) for k, c in enumerate("ab")})
+
+    return run
+
+
+def banded_distances(
+    left: list[np.ndarray], right: list[np.ndarray], band: int, limits: np.ndarray | None = None
+) -> np.ndarray:
     """Upper bounds of the edit distances of pairs, aligned inside a band around the diagonal.
 
     Exact wherever the distance is at most ``band``. All pairs advance row by row
     together. The state holds distance minus place in the band: a step along the
-    row then costs nothing and is a running minimum, a step down costs two.
+    row then costs nothing and is a running minimum, a step down costs two. Once no
+    pair can end within its one of ``limits``, those still open stay far apart.
     """
     n = np.array([len(x) for x in left])
     m = np.array([len(x) for x in right])
@@ -218,6 +256,10 @@ def banded_distances(left: list[np.ndarray], right: list[np.ndarray], band: int)
         np.minimum.accumulate(state, axis=1, out=state)
         if ends[row] < ends[row + 1]:
             record(row)
+        if limits is not None and row % 64 == 0:
+            # Costs never fall from row to row.
+            if (((state + np.arange(width, dtype=np.int32)).min(axis=1) > limits) | (n <= row)).all():
+                break
     return out
 
 
@@ -228,17 +270,27 @@ def _shared_words(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.minimum(n[at], m[to]).sum())
 
 
-def similar(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
+def similar(
+    left: list[np.ndarray], right: list[np.ndarray], threshold: float, words_first: bool = False
+) -> np.ndarray:
     """Whether each pair's edit similarity reaches the threshold.
 
     Bands widen until one proves a pair similar or holds every distance allowed. A pair that the first band leaves
-    open goes when its words rule it out: all words that are not shared cost an edit.
+    open goes when its words rule it out: all words that are not shared cost an edit. ``words_first`` asks that
+    before the first band: for pairs of which few are similar.
     """
     longest = np.array([max(len(x), len(y)) for x, y in zip(left, right)], np.int64)
     shortest = np.array([min(len(x), len(y)) for x, y in zip(left, right)], np.int64)
     allowed = np.floor((1 - threshold) * longest + 1e-9).astype(np.int64)
     out = np.zeros(len(left), bool)
     todo = np.flatnonzero(longest - shortest <= allowed)
+
+    def by_words(todo: np.ndarray) -> np.ndarray:
+        shared = np.array([_shared_words(left[i], right[i]) for i in todo], np.int64)
+        return todo[longest[todo] - shared <= allowed[todo]]
+
+    if words_first:
+        todo = by_words(todo)
     reach = FIRST_BAND
     while len(todo):
         todo = todo[np.argsort(longest[todo], kind="stable")]
@@ -249,12 +301,13 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -
                 band = max(band, int(min(reach, allowed[todo[end]])))
                 end += 1
             part = todo[at:end]
-            out[part] = banded_distances([left[i] for i in part], [right[i] for i in part], band) <= allowed[part]
+            out[part] = (
+                banded_distances([left[i] for i in part], [right[i] for i in part], band, allowed[part]) <= allowed[part]
+            )
             at = end
         todo = todo[~out[todo] & (allowed[todo] > reach)]
-        if reach == FIRST_BAND:
-            shared = np.array([_shared_words(left[i], right[i]) for i in todo], np.int64)
-            todo = todo[longest[todo] - shared <= allowed[todo]]
+        if reach == FIRST_BAND and not words_first:
+            todo = by_words(todo)
         reach *= 4
     return out
 
@@ -276,8 +329,16 @@ def _verify(threshold: float):
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = [(word_hashes(t) >> np.uint64(32)).astype(np.uint32).tobytes() for t in utf8(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["id", "words"])
+        words = [(word_hashes(t) >> np.uint64(32)).astype(np.uint32) for t in utf8(batch.column(1))]
+        # Counts beyond 255 stay there: differences only shrink by it.
+        counts = [np.bincount(w % BINS, minlength=BINS).clip(max=255).astype(np.uint8).tobytes() for w in words]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0), pa.array([w.tobytes() for w in words], pa.binary()),
+                pa.array([len(w) for w in words], pa.int64()), pa.array(counts, pa.binary()),
+            ],
+            ["id", "words", "n", "bins"],
+        )
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -313,20 +374,48 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def _check(pairs: DataFrame, words: DataFrame, verified: list[DataFrame], threshold: float) -> DataFrame:
-    """Align the (a, b) pairs that are not in ``verified`` yet; returns all results so far."""
-    for known in verified:
-        pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+def _check(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, ok) of (a, b) pairs, aligned."""
     one = words.select(F.col("id").alias("a"), F.col("words").alias("words_a"))
     two = words.select(F.col("id").alias("b"), F.col("words").alias("words_b"))
     aligned = pairs.join(one, "a").join(two, "b").select("a", "b", "words_a", "words_b").mapInArrow(
         _verify(threshold), "a long, b long, ok boolean"
     )
-    verified.append(staged(aligned, "near-verified"))
-    known = verified[0]
-    for more in verified[1:]:
-        known = known.unionByName(more)
-    return known
+    return staged(aligned, "near-verified")
+
+
+def _joining(links: DataFrame, known: DataFrame, words: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): similar pairs of members of one leader that join the classes so far, some joined by several."""
+    classes = components(known.where("ok").select("a", "b"))
+    # Texts whose lengths are in proportion stand in one length class or in neighbours.
+    step = 1.001 * max(-math.log(max(threshold, 1e-6)), 1e-3)
+    members = (
+        links.join(words.select("id", "n"), "id").join(classes, "id", "left")
+        .select("leader", "id", "low", "high", "n", F.coalesce("component", "id").alias("known"),
+                F.floor(F.log("n") / step).alias("class"))
+        .select("*", F.explode(F.array("class", F.col("class") + 1)).alias("cell"))
+        .withColumn("own", F.col("class") == F.col("cell"))
+    )
+    cells = members.groupBy("leader", "cell").agg(
+        F.count("*").alias("size"), F.sum("n").alias("words"), F.max("own").alias("any"),
+        F.min("known").alias("least"), F.max("known").alias("most"),
+    ).where(F.col("any") & (F.col("least") < F.col("most")))
+    blocks = F.ceil(F.greatest(F.col("size") / TOGETHER, F.col("words") / WORDS)).cast("int")
+    dealt = (
+        members.join(cells.select("leader", "cell", blocks.alias("blocks")), ["leader", "cell"])
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+        .drop("n", "class", "blocks", "other", "size")
+    )
+    cell = ["leader", "cell", "lo", "hi"]
+    # Only members that have candidates take their words along.
+    found = dealt.join(words.select("id", "n", "bins"), "id").join(reps, "id").groupBy(*cell).applyInArrow(
+        _open_members(threshold), _Cell.COLUMNS
+    )
+    return staged(found, "near-open").join(words, "id").join(reps, "id").groupBy(*cell).applyInArrow(
+        _join_classes(threshold), "a long, b long"
+    )
 
 
 def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
@@ -355,38 +444,27 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> t
         .select(F.col("node").alias("id"), "sketch").dropDuplicates(["id"]),
         "near-representatives",
     )
-    members = reps.mapInArrow(_bands, "key long, id long")
-    words, verified, depth = None, [], 0
-    while True:
-        leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
-        links = staged(
-            members.join(leaders.where("leader < last"), "key").where("id <> leader").select("leader", "id").distinct(),
-            "near-links",
-        )
-        pairs = links.select(F.col("leader").alias("a"), F.col("id").alias("b"))
-        if words is None:
-            involved = links.select("id").unionByName(links.select(F.col("leader").alias("id"))).distinct()
-            needed = own.join(involved.withColumnRenamed("id", "node"), "node")
-            texts = base.join(needed, ["digest", "id"]).select(F.col("node").alias("id"), "text")
-            # Rows of one id and text are one document; equal texts are represented by the smallest id.
-            words = staged(texts.mapInArrow(_words, "id long, words binary").dropDuplicates(["id"]), "near-words")
-        known = _check(pairs, words, verified, threshold)
-        failed = links.join(
-            known.where("ok").select(F.col("a").alias("leader"), F.col("b").alias("id")), ["leader", "id"], "left_anti"
-        ).select(F.col("leader").alias("key"), "id")
-        # A leader that one member failed against holds nothing more to compare.
-        sizes = failed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        mixed = staged(failed.join(sizes, "key").join(reps, "id").select("key", "n", "id", "sketch"), "near-mixed")
-        more = mixed.where(F.col("n") <= TOGETHER).groupBy("key").applyInPandas(_best_earlier, "a long, b long")
-        known = _check(more.distinct(), words, verified, threshold)
-        crowded = mixed.where(F.col("n") > TOGETHER)
-        if not crowded.head(1):
-            break
-        members = staged(
-            crowded.select("key", "id", "sketch").mapInArrow(_finer(depth), "key long, id long").distinct(), "near-members"
-        )
-        depth += 1
-    grouped = components(known.where("ok").select("a", "b")).select(
+    members = reps.mapInArrow(_buckets, "key long, id long, at int")
+    leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
+    # Which of its buckets this leader leads, as bits.
+    half = SKETCHES // 2
+    low, high = (F.when(F.expr(f"at div {half} = {h}"), F.expr(f"shiftleft(1L, at % {half})")).otherwise(F.lit(0)) for h in (0, 1))
+    links = staged(
+        members.join(leaders.where("leader < last"), "key").where("id <> leader")
+        .groupBy("leader", "id").agg(F.bit_or(low).alias("low"), F.bit_or(high).alias("high")),
+        "near-links",
+    )
+    involved = links.select("id").unionByName(links.select(F.col("leader").alias("id"))).distinct()
+    needed = own.join(involved.withColumnRenamed("id", "node"), "node")
+    texts = base.join(needed, ["digest", "id"]).select(F.col("node").alias("id"), "text")
+    # Rows of one id and text are one document; equal texts are represented by the smallest id.
+    words = staged(
+        texts.mapInArrow(_words, "id long, words binary, n long, bins binary").dropDuplicates(["id"]), "near-words"
+    )
+    known = _check(links.select(F.col("leader").alias("a"), F.col("id").alias("b")), words, threshold)
+    joining = staged(_joining(links, known, words, reps, threshold), "near-joining")
+    edges = known.where("ok").select("a", "b").unionByName(joining)
+    grouped = components(edges).select(
         F.col("id").alias("node"), F.col("component").alias("class_node")
     )
     named = grouped.join(
