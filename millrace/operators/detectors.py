@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +74,49 @@ def scan_proven(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def normal_words(text: Column) -> Column:
     """Lower-case words of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Bijective finaliser of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def _run_hashes(lengths: Sequence[int] | None):
+    """128-bit hashes of the runs of ``lengths`` words of an array of words; None: of the whole array as one run.
+
+    A word is hashed once per batch, and a run is made of the hashes of its words, all rows side by side.
+    """
+
+    @F.arrow_udf("array<struct<one:bigint,two:bigint>>")
+    def hashes(texts: pa.Array) -> pa.Array:
+        words = texts.flatten().dictionary_encode()
+        digests = b"".join(xxhash.xxh3_128_digest(w) for w in words.dictionary.cast(pa.binary()).to_pylist())
+        halves = np.frombuffer(digests, np.uint64).reshape(-1, 2)[words.indices.to_numpy()]
+        sizes = pc.fill_null(pc.list_value_length(texts), 0).to_numpy().astype(np.int64)
+        ends = np.cumsum(sizes)
+        left = np.repeat(ends, sizes) - np.arange(len(halves))
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        found, rows = [], []
+        for n in lengths if lengths is not None else np.unique(sizes[sizes > 0]):
+            # Words left in the row at the start of a run.
+            at = np.flatnonzero(left >= n if lengths is not None else (left == n) & (sizes[row] == n))
+            run = np.zeros((len(at), 2), np.uint64) + np.uint64(n)
+            for i in range(n):
+                run = _mixed(run * np.uint64(0x9E3779B97F4A7C15) + halves[at + i])
+            found.append(run)
+            rows.append(row[at])
+        runs = np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
+        owner = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        runs = runs[np.argsort(owner, kind="stable")].view(np.int64)
+        counts = np.bincount(owner, minlength=len(sizes))
+        one, two = (pa.array(np.ascontiguousarray(runs[:, k])) for k in (0, 1))
+        values = pa.StructArray.from_arrays([one, two], ["one", "two"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+    return hashes
 
 
 def phrase_hits(df: DataFrame, keys: list[str], text: str, phrases: DataFrame, phrase: str, topic: str) -> DataFrame:
@@ -77,20 +125,11 @@ def phrase_hits(df: DataFrame, keys: list[str], text: str, phrases: DataFrame, p
     A phrase is a run of whole words. Texts give the hashes (128 bits) of their runs of as many words as the phrases have; these meet
     the phrases in an equi-join, so neither the plan nor the work per text grows with the list. Equal runs of a text count once.
     """
-    hashed = lambda words: F.struct(F.xxhash64(words).alias("one"), F.xxhash64(F.lit("second"), words).alias("two"))
     listed = phrases.select(normal_words(F.col(phrase)).alias("w"), F.col(topic)).where(F.size("w") > 0).select(
-        F.size("w").alias("n"), hashed(F.col("w")).alias("h"), topic).distinct()
+        F.size("w").alias("n"), topic, F.inline(_run_hashes(None)("w"))).distinct()
     # A few small numbers.
     lengths = sorted(r[0] for r in listed.select("n").distinct().collect())
-    none = F.array().cast("array<struct<one:bigint,two:bigint>>")
-
-    def runs_of(w: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(w) - n + 1)
-        return F.when(F.size(w) >= n, F.transform(starts, lambda i: hashed(F.slice(w, i, F.lit(n))))).otherwise(none)
-
-    # The words are the one element of an array, so that they are split once and not for every run.
-    split_once = F.transform(F.array(normal_words(F.col(text))), lambda w: F.flatten(F.array(none, *[runs_of(w, n) for n in lengths])))
-    all_runs = F.element_at(split_once, 1)
     # Runs that are no phrase end in the join; only hits are made distinct.
-    met = df.select(*keys, F.explode(all_runs).alias("h")).join(listed, "h").distinct()
+    runs = df.select(*keys, F.inline(_run_hashes(lengths)(normal_words(F.col(text)))))
+    met = runs.join(listed, ["one", "two"]).distinct()
     return met.groupBy(*keys, topic).agg(F.count(F.lit(1)).alias("hits"))
