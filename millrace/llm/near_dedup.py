@@ -384,38 +384,60 @@ def _check(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     return staged(aligned, "near-verified")
 
 
+def _taking(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rows`` with what ``texts`` holds of their ``id``: a text is joined once, however many rows it has."""
+    names = [c for c in rows.columns if c != "id"]
+    each = rows.groupBy("id").agg(F.collect_list(F.struct(*names)).alias("rows")).join(texts, "id")
+    return each.withColumn("row", F.explode("rows")).select("id", "row.*", *[c for c in texts.columns if c != "id"])
+
+
+def _mixed(links: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members with the buckets of their leader (as bits) that hold texts of another class than its own; others have no candidates."""
+    leaders = texts.select(F.col("id").alias("leader"), F.col("known").alias("led"))
+    members = links.join(texts, "id").join(leaders, "leader")
+    foreign = members.where("known <> led").groupBy("leader").agg(
+        F.bit_or("low").alias("mixed_low"), F.bit_or("high").alias("mixed_high"))
+    return (
+        members.join(foreign, "leader")
+        .withColumns({c: F.col(c).bitwiseAND(F.col(f"mixed_{c}")) for c in ("low", "high")})
+        .where("low <> 0 or high <> 0").drop("led", "mixed_low", "mixed_high")
+    )
+
+
 def _joining(links: DataFrame, known: DataFrame, words: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """(a, b): similar pairs of members of one leader that join the classes so far, some joined by several."""
     classes = components(known.where("ok").select("a", "b"))
     # Texts whose lengths are in proportion stand in one length class or in neighbours.
     step = 1.001 * max(-math.log(max(threshold, 1e-6)), 1e-3)
+    texts = words.select("id", "n").join(classes, "id", "left").select(
+        "id", "n", F.coalesce("component", "id").alias("known"), F.floor(F.log("n") / step).alias("class"))
     members = (
-        links.join(words.select("id", "n"), "id").join(classes, "id", "left")
-        .select("leader", "id", "low", "high", "n", F.coalesce("component", "id").alias("known"),
-                F.floor(F.log("n") / step).alias("class"))
+        staged(_mixed(links, texts), "near-mixed")
         .select("*", F.explode(F.array("class", F.col("class") + 1)).alias("cell"))
-        .withColumn("own", F.col("class") == F.col("cell"))
+        .withColumn("own", F.col("class") == F.col("cell")).drop("class")
     )
     cells = members.groupBy("leader", "cell").agg(
-        F.count("*").alias("size"), F.sum("n").alias("words"), F.max("own").alias("any"),
+        F.count("*").alias("size"), F.sum("n").alias("words"), F.min(F.when(F.col("own"), F.col("n"))).alias("shortest"),
         F.min("known").alias("least"), F.max("known").alias("most"),
-    ).where(F.col("any") & (F.col("least") < F.col("most")))
+    ).where(F.col("shortest").isNotNull() & (F.col("least") < F.col("most")))
     blocks = F.ceil(F.greatest(F.col("size") / TOGETHER, F.col("words") / WORDS)).cast("int")
+    # A text of the class below goes along if it is long enough for the shortest one here.
+    enough = F.col("n") >= F.col("shortest") - F.floor((1 - threshold) * F.col("shortest") + 1e-9)
     dealt = (
-        members.join(cells.select("leader", "cell", blocks.alias("blocks")), ["leader", "cell"])
+        members.join(cells.select("leader", "cell", "shortest", blocks.alias("blocks")), ["leader", "cell"])
+        .where(F.col("own") | enough).drop("n", "shortest")
+    )
+    met = (
+        _taking(dealt, words.select("id", "n", "bins").join(reps, "id"))
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-        .drop("n", "class", "blocks", "other", "size")
+        .drop("blocks", "other")
     )
     cell = ["leader", "cell", "lo", "hi"]
     # Only members that have candidates take their words along.
-    found = dealt.join(words.select("id", "n", "bins"), "id").join(reps, "id").groupBy(*cell).applyInArrow(
-        _open_members(threshold), _Cell.COLUMNS
-    )
-    return staged(found, "near-open").join(words, "id").join(reps, "id").groupBy(*cell).applyInArrow(
-        _join_classes(threshold), "a long, b long"
-    )
+    found = staged(met.groupBy(*cell).applyInArrow(_open_members(threshold), _Cell.COLUMNS), "near-open")
+    return _taking(found, words.join(reps, "id")).groupBy(*cell).applyInArrow(_join_classes(threshold), "a long, b long")
 
 
 def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:

@@ -70,3 +70,41 @@ def test_bounds_lose_nothing():
     assert 0 < want.sum() < len(want)
     for first in (False, True):
         assert (near_dedup.similar(left, right, 0.8, words_first=first) == want).all()
+
+
+def test_members_of_uniform_buckets_are_not_dealt(spark, monkeypatch):
+    """Of a group of near copies only those go to the comparison that share a bucket with texts of another class."""
+    rng = random.Random(3)
+    body = [f"b{i}" for i in range(120)]
+    passage = [f"q{i}" for i in range(22)]
+    texts = []
+    for i in range(200):
+        own = list(body)
+        own[rng.randint(0, 119)] = f"w{i}"
+        # The first ones have a passage that strangers have too; all are of like length.
+        texts.append((passage if i < 6 else [f"x{i}_{j}" for j in range(22)]) + own)
+    texts += [passage + [f"s{k}_{i}" for i in range(115)] for k in range(40)]
+    words = [" ".join(t) for t in texts]
+    dealt, known = spark.sparkContext.accumulator(0), near_dedup._open_members
+
+    def counted(threshold):
+        run = known(threshold)
+
+        def count(rows):
+            dealt.add(rows.num_rows)
+            return run(rows)
+
+        return count
+
+    monkeypatch.setattr(near_dedup, "_open_members", counted)
+    frame = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    got = {r.id: r.class_id for r in near_dedup.near_duplicate_classes(frame).collect()}
+    assert [got[i] for i in range(len(words))] == wanted(words) == [0] * 200 + list(range(200, 240))
+    assert 0 < dealt.value < 150
+
+
+def test_a_text_meets_its_rows_once(spark, rows):
+    texts = spark.createDataFrame([(1, 10, "a"), (2, 20, "b"), (3, 30, "c")], "id long, n long, words string")
+    many = spark.createDataFrame([(7, 1), (8, 1), (8, 2), (8, 2)], "leader long, id long")
+    assert rows(near_dedup._taking(many, texts).select("id", "leader", "n", "words")) == [
+        (1, 7, 10, "a"), (1, 8, 10, "a"), (2, 8, 20, "b"), (2, 8, 20, "b")]
