@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import and_
 
@@ -22,6 +22,32 @@ def timed(stream: DataFrame, ts: str, delay: str) -> DataFrame:
     return stream.withColumn(AT, F.col(ts).cast("timestamp")).withWatermark(AT, delay)
 
 
+@F.arrow_udf(T.IntegerType())
+def _ends(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Per row of (key, slot, time): 1 if its task has none later of its key and slot so far, plus 2 if none earlier.
+
+    A batch gives one row of each kind at most per key and slot, whatever the order of its rows.
+    """
+    seen: dict[tuple, tuple[int, int]] = {}
+    for keys, slots, times in batches:
+        out = np.zeros(len(times), np.int32)
+        here: dict[tuple, tuple[int, int]] = {}
+        at = times.to_pylist()
+        for row, name in enumerate(zip(keys.to_pylist(), slots.to_pylist())):
+            low, high = here.get(name, (row, row))
+            here[name] = (row if at[row] < at[low] else low, row if at[row] > at[high] else high)
+        for name, (low, high) in here.items():
+            first, last = seen.get(name, (at[low] + 1, at[high] - 1))
+            out[low] |= 2 * (at[low] < first)
+            out[high] |= 1 * (at[high] > last)
+            seen[name] = (min(first, at[low]), max(last, at[high]))
+        yield pa.array(out)
+
+
+# Depends on the other rows of its task: it stays where it is put.
+_ends = _ends.asNondeterministic()
+
+
 def escalate(
     stream: DataFrame, key: str, id_col: str, ts: str, is_alert: Column, is_ack: Column, wait: str, delay: str, splits: int = 4
 ) -> DataFrame:
@@ -30,8 +56,12 @@ def escalate(
 
     A left outer join of the stream with itself by key and time interval: alerts and acknowledgements wait in the state
     store and leave it as the watermark passes their intervals. Acknowledgements go to all ``splits`` parts of a key
-    and each alert to one, so a key with many alerts is not one state partition. Of several acknowledgements of an alert
-    the first is reported. An alert without a key or a time is never acknowledged. Rows later than ``delay`` are dropped and counted by
+    and each alert to one, so a key with many alerts is not one state partition.
+
+    Alerts and acknowledgements of a key do not all meet: time is cut into slots of ``wait``. An alert is acknowledged in time if and only if
+    the last acknowledgement of its slot is not before it or the first one of the next slot is within ``wait``. So of the
+    acknowledgements that a micro-batch brings for a key and a slot only the first and the last are joined, and an alert meets two a
+    batch, not all of its key. Late ones are dropped before that choice. An alert without a key or a time is never acknowledged. Rows later than ``delay`` are dropped and counted by
     Spark (``numRowsDroppedByWatermark``). ``id_col`` must tell alerts apart.
     """
     rows = timed(stream, ts, delay)
@@ -41,12 +71,23 @@ def escalate(
     name = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("none"))
     # Tests that read the event time are not moved below the watermark: rows of other kinds advance it too.
     known = F.col(AT).isNotNull()
+    us = F.unix_micros(AT)
+    width = F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"interval {wait}"))
+    slot = us - F.pmod(us, width)
     alerts = rows.where(F.when(known, is_alert)).select(
-        *kept, F.col(AT).alias("alert_at"), name.alias("alert_key"), part.alias("alert_part"))
-    acks = rows.where(F.when(known, is_ack & F.col(key).isNotNull())).select(
-        F.col(AT).alias("ack_at"), name.alias("ack_key"), F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("ack_part"))
+        *kept, F.col(AT).alias("alert_at"), name.alias("alert_key"), part.alias("alert_part"), slot.alias("alert_slot"))
+    # One of an instant is enough. This step also drops the late ones, which must not stand for others of their slot.
+    timely = rows.where(F.when(known, is_ack & F.col(key).isNotNull())).select(
+        F.col(AT).alias("ack_at"), name.alias("ack_key"), slot.alias("slot"), us.alias("us"), width.alias("width"),
+    ).dropDuplicatesWithinWatermark(["ack_key", "ack_at"])
+    ends = timely.repartition("ack_key", "slot").withColumn("ends", _ends("ack_key", "slot", "us"))
+    # The last one is for alerts of its slot, the first one for those of the slot before.
+    acks = ends.where("ends > 0").select(
+        "ack_at", "ack_key",
+        F.explode(F.expr("filter(array(if(ends & 1 > 0, slot, null), if(ends & 2 > 0, slot - width, null)), x -> x is not null)")).alias("ack_slot"),
+    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("ack_part"))
     within = (
-        (F.col("alert_key") == F.col("ack_key")) & (F.col("alert_part") == F.col("ack_part"))
+        (F.col("alert_key") == F.col("ack_key")) & (F.col("alert_part") == F.col("ack_part")) & (F.col("alert_slot") == F.col("ack_slot"))
         & (F.col("ack_at") >= F.col("alert_at")) & (F.col("ack_at") <= F.col("alert_at") + F.expr(f"interval {wait}"))
     )
     met = alerts.join(acks, within, "left_outer").select(

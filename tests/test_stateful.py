@@ -143,3 +143,21 @@ def test_listener_rows_and_a_lag_alarm(spark, tmp_path):
         lag.select(F.lit("s").alias("s"), F.col("newest").alias("period"), "age_seconds"), ["s"], "age_seconds", 3600, ">",
         evaluation_periods=2, period_seconds=3600)
     assert [(r.period.hour, r.state) for r in states.orderBy("period").collect()] == [(5, "OK"), (6, "ALARM"), (7, "OK")]
+
+
+def test_only_the_ends_of_a_slot_are_joined(spark, tmp_path):
+    """300 alerts and 300 acknowledgements of one user in one slot: no alert meets all of them."""
+    feed = Feed(spark, tmp_path, ALERTS, escalation)
+    last = feed.send([at(1, i, i % 290, "error") for i in range(300)] + [at(1, 1000 + i, i % 250, "click") for i in range(300)])
+    joined = [s["numRowsTotal"] for p in last.recentProgress for s in p["stateOperators"] if "Join" in s["operatorName"]]
+    assert joined and max(joined) <= 300 + 4 * 4
+    assert {(r.event_id, r.status) for r in feed.out()} == {(i, "RESOLVED") for i in range(300) if i % 290 <= 249}
+
+
+def test_a_late_acknowledgement_hides_no_other(spark, tmp_path):
+    feed = Feed(spark, tmp_path, ALERTS, escalation)
+    feed.send([at(1, 1, 290, "error"), at(9, 2, 420, "other")])
+    # The watermark is at 360: the first one is late, the last one too far, the one between counts.
+    feed.send([at(1, 3, 350, "click"), at(1, 4, 400, "click"), at(1, 5, 595, "click")])
+    feed.send([at(9, 6, 90_000, "other")])
+    assert [(r.event_id, r.status) for r in feed.out()] == [(1, "RESOLVED")]
